@@ -54,7 +54,7 @@ def lev_ratio(a, b) -> Column:
             .cast("int"))
 
 
-def entropy_term(x) -> Column:
-    """One summand of the spread statistic ``-sum(s*ln(s+1e-10))``."""
+def entropy_term(x, epsilon: float = 1e-10) -> Column:
+    """One summand of the spread statistic ``-sum(s*ln(s+epsilon))``."""
     x = _col(x)
-    return -(x * F.log(x + F.lit(1e-10)))
+    return -(x * F.log(x + F.lit(epsilon)))

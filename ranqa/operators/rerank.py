@@ -91,8 +91,9 @@ def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN
     # cosine branch: top `limit` survivors; normalised order == score order,
     # ties later-hit-first (reversed arg-sort)
     w_cos = Window.partitionBy(KEY).orderBy(F.col("score").desc(), F.col("hit_pos").desc())
+    # (no explicit projection: Catalyst prunes unused columns, and injected
+    # scorer inputs stay reachable)
     cos_top = (usable.where(F.col("score") > F.lit(min_score))
-               .select(KEY, "query_text", "hit_pos", "id", "question", "score")
                .withColumn("cos_rank", F.row_number().over(w_cos))
                .where(F.col("cos_rank") <= limit))
     cosine = (cos_top.join(stats.select(KEY, "cos_min", "cos_max"), KEY)
@@ -103,7 +104,7 @@ def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN
 
     # fuzzy branch over every usable hit: top `limit`, ties earlier-hit-first
     w_fz = Window.partitionBy(KEY).orderBy(F.col("fuzzy").desc(), F.col("hit_pos").asc())
-    fz_top = (usable.select(KEY, "query_text", "hit_pos", "id", "question")
+    fz_top = (usable
               .withColumn("fuzzy", _scored(rank_scorer, "query_text", "question"))
               .withColumn("fuzzy_rank", F.row_number().over(w_fz))
               .where(F.col("fuzzy_rank") <= limit))
@@ -138,14 +139,40 @@ def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN
                                      & (F.col("best_score") == F.col("fz_score").cast("double")),
                                      F.lit(False)).alias("flag")))
 
+    gated = entropy_gate(merged, flags, final_k=final_k, epsilon=epsilon, floor_all=floor_all,
+                         h_dominant=h_dominant, band=band, high=high)
+
+    chosen = gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
+                                        "total", "norm", "h", "branch")
+    # text -> last hit holding it (dict overwrite), then the full hit row
+    hit_cols = [c for c in hits.columns if c not in (KEY, "question")]
+    last_hit = (usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
+                .groupBy(KEY, "question")
+                .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
+    result = (chosen.join(last_hit, [KEY, "question"])
+              .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
+    return RerankStages(usable, stats, cosine, fuzzy, merged, gated, result)
+
+
+def entropy_gate(merged: DataFrame, flags: DataFrame, *, final_k: int = FINAL_K,
+                 epsilon: float = EPSILON, floor_all: float = FLOOR_ALL, h_dominant: float = H_DOMINANT,
+                 band: float = BAND, high: float = HIGH) -> DataFrame:
+    """Decide which merged texts to keep.
+
+    ``merged``: ``query_id, question, total, first_seq``; ``flags``:
+    ``query_id, flag``.  The best ``final_k`` texts (ties: first inserted)
+    are min-max normalised; ``h = -sum(n*ln(n+epsilon))``; the branch rule
+    is evaluated on unrounded values.
+    """
+    w_q = Window.partitionBy(KEY)
     w_m = Window.partitionBy(KEY).orderBy(F.col("total").desc(), F.col("first_seq").asc())
     top = (merged.withColumn("merged_rank", F.row_number().over(w_m))
            .where(F.col("merged_rank") <= final_k))
-    gated = (top
+    return (top
              .withColumn("t_min", F.min("total").over(w_q))
              .withColumn("t_max", F.max("total").over(w_q))
              .withColumn("norm", minmax("total", "t_min", "t_max"))
-             .withColumn("h", F.sum(entropy_term(F.col("norm"))).over(w_q))
+             .withColumn("h", F.sum(entropy_term(F.col("norm"), epsilon)).over(w_q))
              .withColumn("max_norm", F.max("norm").over(w_q))
              .join(flags, KEY, "left")
              .withColumn("branch",
@@ -159,17 +186,6 @@ def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN
                                & (F.col("norm") <= F.col("max_norm")))
                          .otherwise(F.col("norm") > F.lit(high))))
 
-    chosen = gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
-                                        "total", "norm", "h", "branch")
-    # text -> last hit holding it (dict overwrite), then the full hit row
-    hit_cols = [c for c in hits.columns if c not in (KEY, "question")]
-    last_hit = (usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
-                .groupBy(KEY, "question")
-                .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
-    result = (chosen.join(last_hit, [KEY, "question"])
-              .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
-    return RerankStages(usable, stats, cosine, fuzzy, merged, gated, result)
-
 
 def rerank(hits: DataFrame, **kw) -> DataFrame:
     """Kept hits per query: ``query_id, rank, <hit columns>, total, norm, h, branch``."""

@@ -125,7 +125,18 @@ def extract_score(query: str | None, choice: str | None) -> int:
 def _pair_udf(fn, name: str):
     @F.pandas_udf(T.IntegerType())
     def _udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = [None if (x is None or y is None) else fn(x, y) for x, y in zip(a, b)]
+        # catalog texts repeat a lot within an Arrow batch: score each
+        # distinct pair once per batch
+        memo: dict[tuple[str, str], int] = {}
+        out = []
+        for x, y in zip(a, b):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            v = memo.get((x, y))
+            if v is None:
+                v = memo[(x, y)] = fn(x, y)
+            out.append(v)
         return pd.Series(out, dtype="Int32")
 
     _udf.__name__ = name

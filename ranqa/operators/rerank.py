@@ -63,6 +63,7 @@ class RerankStages:
     merged: DataFrame      # per (query, text): total, first_seq
     gated: DataFrame       # top final_k texts with norm, H, flag, branch, keep
     result: DataFrame      # kept texts mapped back to their hit rows
+    scored: DataFrame      # both top-limit lists with every per-row score and the flag
 
 
 def _scored(scorer, a: str, b: str) -> Column:
@@ -76,91 +77,116 @@ def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN
                   gate_scorer=lev_ratio, rank_scorer=lev_ratio) -> RerankStages:
     usable = hits.where(F.col("question").isNotNull())
 
-    # per-query statistics: one partial+final hash aggregate over the hits
-    above = F.when(F.col("score") > F.lit(min_score), F.col("score"))
-    stats = (usable.groupBy(KEY).agg(
-        F.min(above).alias("cos_min"),
-        F.max(above).alias("cos_max"),
-        # first hit holding the highest raw score (all usable hits, not only survivors)
-        F.max_by(F.struct(F.col("question").alias("best_question"),
-                          F.col("score").alias("best_score")),
-                 F.struct(F.col("score"), -F.col("hit_pos"))).alias("cos_best"),
-    ).where(F.col("cos_max").isNotNull())
-        .select(KEY, "cos_min", "cos_max", "cos_best.best_question", "cos_best.best_score"))
-
-    # cosine branch: top `limit` survivors; normalised order == score order,
-    # ties later-hit-first (reversed arg-sort)
-    w_cos = Window.partitionBy(KEY).orderBy(F.col("score").desc(), F.col("hit_pos").desc())
-    # (no explicit projection: Catalyst prunes unused columns, and injected
-    # scorer inputs stay reachable)
-    cos_top = (usable.where(F.col("score") > F.lit(min_score))
-               .withColumn("cos_rank", F.row_number().over(w_cos))
-               .where(F.col("cos_rank") <= limit))
-    cosine = (cos_top.join(stats.select(KEY, "cos_min", "cos_max"), KEY)
-              .withColumn("cos_norm", minmax("score", "cos_min", "cos_max"))
-              .withColumn("partial", _scored(gate_scorer, "query_text", "question"))
-              .withColumn("cos_contrib", F.when(F.col("partial") > F.lit(partial_gate),
-                                                F.col("cos_norm"))))
-
-    # fuzzy branch over every usable hit: top `limit`, ties earlier-hit-first
-    w_fz = Window.partitionBy(KEY).orderBy(F.col("fuzzy").desc(), F.col("hit_pos").asc())
-    fz_top = (usable
-              .withColumn("fuzzy", _scored(rank_scorer, "query_text", "question"))
-              .withColumn("fuzzy_rank", F.row_number().over(w_fz))
-              .where(F.col("fuzzy_rank") <= limit))
-    w_q = Window.partitionBy(KEY)     # at most `limit` rows per query from here on
-    fuzzy = (fz_top
-             .withColumn("fz_min", F.min("fuzzy").over(w_q))
-             .withColumn("fz_max", F.max("fuzzy").over(w_q))
-             .withColumn("fuzzy_norm", minmax(F.col("fuzzy").cast("double"), F.col("fz_min"), F.col("fz_max")))
-             .withColumn("penalty", text_length_penalty("question", "query_text"))
-             .withColumn("fuz_score", F.col("penalty") * F.col("fuzzy_norm"))
-             .withColumn("pen_rank", F.row_number().over(
-                 Window.partitionBy(KEY).orderBy(F.col("fuz_score").desc(), F.col("fuzzy_rank").asc())))
-             .withColumn("fuz_contrib", F.when(F.col("fuz_score") > F.lit(fuzzy_gate), F.col("fuz_score"))))
-
-    # fusion: one row per contribution, summed per text; first_seq = dict insertion order
-    contrib = (cosine.where(F.col("cos_contrib").isNotNull())
-               .select(KEY, "question", F.col("cos_contrib").alias("contrib"),
-                       F.col("cos_rank").alias("seq"))
-               .unionByName(fuzzy.where(F.col("fuz_contrib").isNotNull())
-                            .select(KEY, "question", F.col("fuz_contrib").alias("contrib"),
-                                    (F.col("pen_rank") + F.lit(limit)).alias("seq"))))
-    # a query survives only when its cosine branch had survivors
-    contrib = contrib.join(stats.select(KEY), KEY, "left_semi")
-    merged = contrib.groupBy(KEY, "question").agg(F.sum("contrib").alias("total"),
-                                                   F.min("seq").alias("first_seq"))
-
-    # agreement flag: same text tops both lists and raw score equals the fuzzy int
-    fz_best = fuzzy.where(F.col("fuzzy_rank") == 1).select(
-        KEY, F.col("question").alias("fz_question"), F.col("fuzzy").alias("fz_score"))
-    flags = (stats.select(KEY, "best_question", "best_score").join(fz_best, KEY, "left")
-             .select(KEY, F.coalesce((F.col("best_question") == F.col("fz_question"))
-                                     & (F.col("best_score") == F.col("fz_score").cast("double")),
-                                     F.lit(False)).alias("flag")))
-
-    gated = entropy_gate(merged, flags, final_k=final_k, epsilon=epsilon, floor_all=floor_all,
+    # (1) ONE scan of the hits generates every ranked list the decision needs,
+    # each cut at `limit` per (query, list) by a single window whose
+    # row_number filter is planned as a map-side WindowGroupLimit: the
+    # shuffle carries at most `limit` rows per query, list and task, however
+    # large a query's hit list is.
+    #   cos  : survivors (score > min_score) by score, ties later-hit-first
+    #          (reversed arg-sort; normalised order == score order)
+    #   fz   : every usable hit by the rank scorer, ties earlier-hit-first
+    #   best : survivors by score, ties earlier-hit-first -> rank 1 = arg-max
+    #          (the arg-max over all hits is a survivor whenever one exists)
+    #   low  : survivors by ascending score -> rank 1 = min survivor score
+    # No explicit projection: Catalyst prunes unused columns, and injected
+    # scorer inputs stay reachable.
+    survivor = F.col("score") > F.lit(min_score)
+
+    def lst(name, ok, k1, k2):
+        return F.struct(F.lit(name).alias("branch"), ok.alias("ok"),
+                        k1.cast("double").alias("k1"), k2.cast("bigint").alias("k2"))
+
+    cand = (usable
+            .withColumn("fuzzy", _scored(rank_scorer, "query_text", "question").cast("int"))
+            .withColumn("_l", F.explode(F.array(
+                lst("cos", survivor, F.col("score"), F.col("hit_pos")),
+                lst("fz", F.lit(True), F.col("fuzzy"), -F.col("hit_pos")),
+                lst("best", survivor, F.col("score"), -F.col("hit_pos")),
+                lst("low", survivor, -F.col("score"), F.lit(0)))))
+            .where(F.col("_l.ok"))
+            .withColumn("branch", F.col("_l.branch")))
+    w_list = Window.partitionBy(KEY, "branch").orderBy(F.col("_l.k1").desc(), F.col("_l.k2").desc())
+    ranked = (cand.withColumn("rank", F.row_number().over(w_list))
+              .where(F.col("rank") <= limit)
+              .drop("_l"))
+
+    # (2) per-query statistics from the ranked lists (<= 4*limit rows/query);
+    # queries without survivors drop out here (the reference returns nothing)
+    w_q = Window.partitionBy(KEY)
+
+    def first_of(branch, c):
+        return F.max(F.when((F.col("branch") == branch) & (F.col("rank") == 1), F.col(c))).over(w_q)
+
+    top = (ranked
+           .withColumn("cos_max", first_of("best", "score"))
+           .withColumn("cos_min", first_of("low", "score"))
+           .withColumn("best_question", first_of("best", "question"))
+           .withColumn("best_score", first_of("best", "score"))
+           .where(F.col("cos_max").isNotNull() & F.col("branch").isin("cos", "fz")))
+    stats = (usable.groupBy(KEY).agg(F.min(F.when(survivor, F.col("score"))).alias("cos_min"),
+                                     F.max(F.when(survivor, F.col("score"))).alias("cos_max"))
+             .where(F.col("cos_max").isNotNull()))
+
+    # (3) both top-limit lists with every per-row score; windows on the
+    # query key reuse the partitioning of step (2)
+    is_cos, is_fz = F.col("branch") == "cos", F.col("branch") == "fz"
+    w_pen = Window.partitionBy(KEY, "branch").orderBy(F.col("fuz_score").desc(), F.col("rank").asc())
+    scored = (top
+              .withColumn("cos_norm", F.when(is_cos, minmax("score", "cos_min", "cos_max")))
+              # null input keeps the (possibly Python) gate scorer off fuzzy rows
+              .withColumn("partial", gate_scorer(F.col("query_text"),
+                                                 F.when(is_cos, F.col("question"))).cast("int"))
+              .withColumn("cos_contrib", F.when(is_cos & (F.col("partial") > F.lit(partial_gate)),
+                                                F.col("cos_norm")))
+              .withColumn("fz_min", F.min(F.when(is_fz, F.col("fuzzy"))).over(w_q))
+              .withColumn("fz_max", F.max(F.when(is_fz, F.col("fuzzy"))).over(w_q))
+              .withColumn("fuzzy_norm", F.when(is_fz, minmax(F.col("fuzzy").cast("double"),
+                                                             F.col("fz_min"), F.col("fz_max"))))
+              .withColumn("penalty", F.when(is_fz, text_length_penalty("question", "query_text")))
+              .withColumn("fuz_score", F.col("penalty") * F.col("fuzzy_norm"))
+              .withColumn("pen_rank", F.when(is_fz, F.row_number().over(w_pen)))
+              .withColumn("fuz_contrib", F.when(is_fz & (F.col("fuz_score") > F.lit(fuzzy_gate)),
+                                                F.col("fuz_score")))
+              # agreement flag: same text tops both lists and raw score == fuzzy int
+              .withColumn("fz_question", F.max(F.when(is_fz & (F.col("rank") == 1), F.col("question"))).over(w_q))
+              .withColumn("fz_score", F.max(F.when(is_fz & (F.col("rank") == 1), F.col("fuzzy"))).over(w_q))
+              .withColumn("flag", F.coalesce((F.col("best_question") == F.col("fz_question"))
+                                             & (F.col("best_score") == F.col("fz_score").cast("double")),
+                                             F.lit(False))))
+    cosine = scored.where(is_cos).withColumnRenamed("rank", "cos_rank")
+    fuzzy = scored.where(is_fz).withColumnRenamed("rank", "fuzzy_rank")
+
+    # (4) fusion: contributions summed per text; first_seq = dict insertion order
+    merged = (scored.withColumn("contrib", F.coalesce("cos_contrib", "fuz_contrib"))
+              .where(F.col("contrib").isNotNull())
+              .withColumn("seq", F.when(is_cos, F.col("rank")).otherwise(F.col("pen_rank") + F.lit(limit)))
+              .groupBy(KEY, "question")
+              .agg(F.sum("contrib").alias("total"), F.min("seq").alias("first_seq"),
+                   F.first("flag").alias("flag")))
+
+    # (5) entropy gate on the best final_k texts
+    gated = entropy_gate(merged, None, final_k=final_k, epsilon=epsilon, floor_all=floor_all,
                          h_dominant=h_dominant, band=band, high=high)
 
+    # (6) text -> last hit holding it (dict overwrite), then the full hit row
     chosen = gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
                                         "total", "norm", "h", "branch")
-    # text -> last hit holding it (dict overwrite), then the full hit row
     hit_cols = [c for c in hits.columns if c not in (KEY, "question")]
     last_hit = (usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
                 .groupBy(KEY, "question")
                 .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
     result = (chosen.join(last_hit, [KEY, "question"])
               .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
-    return RerankStages(usable, stats, cosine, fuzzy, merged, gated, result)
+    return RerankStages(usable, stats, cosine, fuzzy, merged, gated, result, scored)
 
 
-def entropy_gate(merged: DataFrame, flags: DataFrame, *, final_k: int = FINAL_K,
+def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = FINAL_K,
                  epsilon: float = EPSILON, floor_all: float = FLOOR_ALL, h_dominant: float = H_DOMINANT,
                  band: float = BAND, high: float = HIGH) -> DataFrame:
     """Decide which merged texts to keep.
 
-    ``merged``: ``query_id, question, total, first_seq``; ``flags``:
-    ``query_id, flag``.  The best ``final_k`` texts (ties: first inserted)
+    ``merged``: ``query_id, question, total, first_seq`` and either a
+    ``flag`` column or a separate ``flags`` table ``query_id, flag``.  The best ``final_k`` texts (ties: first inserted)
     are min-max normalised; ``h = -sum(n*ln(n+epsilon))``; the branch rule
     is evaluated on unrounded values.
     """
@@ -174,7 +200,7 @@ def entropy_gate(merged: DataFrame, flags: DataFrame, *, final_k: int = FINAL_K,
              .withColumn("norm", minmax("total", "t_min", "t_max"))
              .withColumn("h", F.sum(entropy_term(F.col("norm"), epsilon)).over(w_q))
              .withColumn("max_norm", F.max("norm").over(w_q))
-             .join(flags, KEY, "left")
+             .transform(lambda d: d if flags is None else d.join(flags, KEY, "left"))
              .withColumn("branch",
                          F.when((F.col("h") <= 0) | (F.col("t_min") > F.lit(floor_all)), F.lit("all"))
                          .when((F.col("h") > F.lit(h_dominant)) | F.col("flag"), F.lit("dominant"))
@@ -196,13 +222,22 @@ def rerank_trace(hits: DataFrame, **kw) -> DataFrame:
     """One row per usable hit with every intermediate score of both branches.
 
     Replaces per-step logging: a query's whole decision can be read back with
-    a filter on ``query_id``.
+    a filter on ``query_id``.  The two top-limit lists are folded onto their
+    hit with one aggregation, then left-joined to the hits.
     """
     st = rerank_stages(hits, **kw)
-    cos = st.cosine.select(KEY, "hit_pos", "cos_rank", "cos_norm", "partial", "cos_contrib")
-    fz = st.fuzzy.select(KEY, "hit_pos", "fuzzy", "fuzzy_rank", "fuzzy_norm", "penalty",
-                         "fuz_score", "pen_rank", "fuz_contrib")
+    is_cos, is_fz = F.col("branch") == "cos", F.col("branch") == "fz"
+
+    def pick(cond, c, name):
+        return F.max(F.when(cond, F.col(c))).alias(name)
+
+    per_hit = st.scored.groupBy(KEY, "hit_pos").agg(
+        pick(is_cos, "rank", "cos_rank"), pick(is_cos, "cos_norm", "cos_norm"),
+        pick(is_cos, "partial", "partial"), pick(is_cos, "cos_contrib", "cos_contrib"),
+        pick(is_fz, "fuzzy", "fuzzy"), pick(is_fz, "rank", "fuzzy_rank"),
+        pick(is_fz, "fuzzy_norm", "fuzzy_norm"), pick(is_fz, "penalty", "penalty"),
+        pick(is_fz, "fuz_score", "fuz_score"), pick(is_fz, "pen_rank", "pen_rank"),
+        pick(is_fz, "fuz_contrib", "fuz_contrib"))
     return (st.usable.select(KEY, "hit_pos", "id", "question", "score")
             .join(st.stats.select(KEY, "cos_min", "cos_max"), KEY, "left")
-            .join(cos, [KEY, "hit_pos"], "left")
-            .join(fz, [KEY, "hit_pos"], "left"))
+            .join(per_hit, [KEY, "hit_pos"], "left"))

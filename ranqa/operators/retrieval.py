@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.session import BROADCAST_ROW_LIMIT, bounded_broadcast
 
 # probes held in every task when scoring the catalog (proven bound)
 MAX_PROBES = 4096
@@ -57,16 +56,16 @@ def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "ques
 
     Output: ``query_id, query_text, hit_pos, id, question, score, <group_col>``.
     ``hit_pos`` is the catalog order (the id), so no window over a group is
-    needed.  The anchor table has one row per group; it is broadcast only
-    when a count shows it small, otherwise it is a shuffle join that AQE may
-    still split on a hot group.
+    needed.  The anchor table has one row per group; no broadcast is forced:
+    AQE measures it at runtime and broadcasts it below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, otherwise the join
+    stays a shuffle join whose hot groups AQE's skew handling splits.
     """
     anchors = index.groupBy(group_col).agg(F.min("id").alias("query_id"))
     queries = (anchors.join(index.select(F.col("id").alias("query_id"),
                                          F.col(text_col).alias("query_text"),
                                          F.col("v").alias("qv"), F.col("v_norm").alias("q_norm")),
                             "query_id"))
-    queries = bounded_broadcast(queries, BROADCAST_ROW_LIMIT)
     score = F.round(F.lit(100.0) * dot("v", "qv") / (F.col("v_norm") * F.col("q_norm")), score_digits)
     return (index.join(queries, group_col)
             .where(F.col("id") != F.col("query_id"))

@@ -29,17 +29,17 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(TOKEN_PATTERN), 0)
 
 
+def drop_stopwords(toks: Column, stopwords: list[str]) -> Column:
+    """Filter a token array against the stopword set (order and repeats kept)."""
+    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
+    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+
+
 def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str = "space",
                      dictionary: list[str] | None = None) -> Column:
     """Kept tokens of ``text`` joined by ``sep`` (the reference joins with '')."""
     toks = tokens(text) if segmenter == "space" else segment_udf(dictionary or [])(_col(text))
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    return F.array_join(F.filter(toks, lambda t: ~F.array_contains(stop, t)), sep)
-
-
-def kept_tokens(text, stopwords: list[str]) -> Column:
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    return F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
+    return F.array_join(drop_stopwords(toks, stopwords), sep)
 
 
 def max_match(text: str, words: set[str], max_len: int) -> list[str]:

@@ -104,7 +104,8 @@ def _samples(templates: DataFrame, num_samples: int) -> DataFrame:
 def _draw_entity(rows: DataFrame, entities: DataFrame, n_entities: int, seed: int, kind: str) -> DataFrame:
     rows = rows.withColumn("_eidx", keyed_choice_index(n_entities, seed, F.lit(kind), F.col("sample_no"),
                                                        F.col("template_id"), F.lit("entity")))
-    ents = bounded_broadcast(entities.select(F.col("idx").alias("_eidx"), F.col("name").alias("_raw")))
+    ents = bounded_broadcast(entities.select(F.col("idx").alias("_eidx"), F.col("name").alias("_raw")),
+                             known_rows=n_entities)
     return rows.join(ents, "_eidx").withColumn("entity", strip_whitespace("_raw"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranqa.operators.retrieval import group_anchor_hits, vector_index
+from ranqa.session import cut_lineage
 from ranqa.sources.tables import table
 
 
@@ -24,7 +25,13 @@ def indexed_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brand_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return group_anchor_hits(indexed_catalog(spark, sf_dir), "p_brand")
+    """The hit table, written once to the shared checkpoint folder.
+
+    It stands in for a search system's result table: the re-ranker reads it
+    several times (statistics, candidates, final lookup), so it is produced
+    once instead of re-deriving the cosine scores per read.
+    """
+    return cut_lineage(group_anchor_hits(indexed_catalog(spark, sf_dir), "p_brand"))
 
 
 # ---- the same derivation as SQL (DuckDB dialect), used by the oracle -------

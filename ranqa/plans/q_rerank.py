@@ -59,7 +59,8 @@ def length_penalty_q(spark, sf):
           with_rerank(f"""
 SELECT query_id, hit_pos, id, question, fuzzy, fuzzy_rank, {s6('fuzzy_norm')} AS fuzzy_norm,
        {s6('penalty')} AS penalty, {s6('fuz_score')} AS fuz_score, pen_rank,
-       {s6('fuz_contrib')} AS fuz_contrib FROM fuzzy"""))
+       {s6('fuz_contrib')} AS fuz_contrib FROM fuzzy
+WHERE query_id IN (SELECT query_id FROM stats)"""))
 def fuzzy_topk_native(spark, sf):
     f = rerank_stages(brand_hits(spark, sf)).fuzzy
     return f.select("query_id", "hit_pos", "id", "question", "fuzzy", "fuzzy_rank",
@@ -133,7 +134,8 @@ SELECT u.query_id, u.hit_pos, u.id, u.question, u.score, s.cos_min, s.cos_max,
        {s6('f.fuz_score')} AS fuz_score, f.pen_rank, {s6('f.fuz_contrib')} AS fuz_contrib
 FROM usable u LEFT JOIN stats s USING (query_id)
 LEFT JOIN cosine2 c ON c.query_id = u.query_id AND c.hit_pos = u.hit_pos
-LEFT JOIN fuzzy f ON f.query_id = u.query_id AND f.hit_pos = u.hit_pos"""))
+LEFT JOIN (SELECT * FROM fuzzy WHERE query_id IN (SELECT query_id FROM stats)) f
+  ON f.query_id = u.query_id AND f.hit_pos = u.hit_pos"""))
 def rerank_trace_q(spark, sf):
     t = rerank_trace(brand_hits(spark, sf))
     return t.select("query_id", "hit_pos", "id", "question", "score", "cos_min", "cos_max", "cos_rank",
@@ -148,11 +150,6 @@ SELECT s.query_id, b.best_question, b.best_score, f.question AS fz_question, f.f
 FROM stats s JOIN best b USING (query_id) JOIN flags fl USING (query_id)
 LEFT JOIN (SELECT * FROM fuzzy WHERE fuzzy_rank = 1) f USING (query_id)"""))
 def agreement_flag(spark, sf):
-    st = rerank_stages(brand_hits(spark, sf))
-    fz = st.fuzzy.where("fuzzy_rank = 1").select("query_id", F.col("question").alias("fz_question"),
-                                                 F.col("fuzzy").alias("fz_score"))
-    return (st.stats.select("query_id", "best_question", "best_score").join(fz, "query_id", "left")
-            .withColumn("flag", F.coalesce((F.col("best_question") == F.col("fz_question"))
-                                           & (F.col("best_score") == F.col("fz_score").cast("double")),
-                                           F.lit(False)))
-            .select("query_id", "best_question", "best_score", "fz_question", "fz_score", "flag"))
+    sc = rerank_stages(brand_hits(spark, sf)).scored
+    return sc.groupBy("query_id").agg(*[F.first(c).alias(c) for c in
+                                        ("best_question", "best_score", "fz_question", "fz_score", "flag")])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranqa.operators.stopwords import TOKEN_PATTERN, kept_tokens, remove_stopwords, tokens
+from ranqa.operators.stopwords import TOKEN_PATTERN, drop_stopwords, tokens
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import q, sql_list
 from ranqa.sources.tables import table
@@ -29,6 +29,7 @@ SELECT doc_id, len({_sql_tokens('text')}) AS n_tokens, len({_sql_kept('text')})
        array_to_string({_sql_kept('text')}, ' ') AS cleaned FROM documents""")
 def stopwords_q(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.size(tokens("text")).alias("n_tokens"),
-                    F.size(kept_tokens("text", TEST_STOPWORDS)).alias("n_kept"),
-                    remove_stopwords("text", TEST_STOPWORDS, sep=" ").alias("cleaned"))
+    toks = d.select("doc_id", tokens("text").alias("toks"))
+    kept = toks.select("doc_id", "toks", drop_stopwords(F.col("toks"), TEST_STOPWORDS).alias("kept"))
+    return kept.select("doc_id", F.size("toks").alias("n_tokens"), F.size("kept").alias("n_kept"),
+                       F.array_join("kept", " ").alias("cleaned"))

@@ -66,7 +66,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
+                      known_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when a count proves it small; otherwise leave it to AQE.
 
     The count is one cheap job over an already-reduced side (a per-group
@@ -75,5 +76,5 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
     """
     from pyspark.sql import functions as F
 
-    n = df.limit(max_rows + 1).count()
+    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df

@@ -39,3 +39,14 @@ def keyed_choice_index(n, seed: int, *parts) -> Column:
 def keyed_randint(lo: int, hi: int, seed: int, *parts) -> Column:
     """Uniform integer in [lo, hi], both ends inclusive."""
     return F.lit(lo) + F.pmod(keyed_hash32(seed, *parts), F.lit(hi - lo + 1))
+
+
+def keyed_digest(seed: int, *parts) -> Column:
+    """The md5 hex digest of the key: 32 hex digits = four independent
+    32-bit draws (slices 0..3) from one hash evaluation."""
+    return F.md5(key_string(seed, *parts))
+
+
+def digest_slice(digest: Column, i: int) -> Column:
+    """Draw ``i`` (0..3) of a digest as a non-negative bigint in [0, 2^32)."""
+    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("bigint")

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from ranqa.session import cut_lineage
 
 
+# dimensions up to this many rows are indexed by one window in one task
+LOCAL_INDEX_ROWS = 100_000
+
+
+def dense_index_counted(df: DataFrame, order_cols: list[str], out_col: str = "idx",
+                        local_rows: int = LOCAL_INDEX_ROWS) -> tuple[DataFrame, int]:
+    """``dense_index`` plus the row count, choosing the plan by that count.
+
+    A dimension proven small by the count (at most ``local_rows``) gets a
+    plain ``row_number()`` window; anything larger takes the distributed
+    partition-offset path.
+    """
+    n = df.count()
+    if n <= local_rows:
+        w = Window.orderBy(*order_cols)
+        return df.withColumn(out_col, F.row_number().over(w).cast("bigint") - F.lit(1)), n
+    return dense_index(df, order_cols, out_col), n
+
+
 def dense_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Attach ``out_col`` = position of each row in ``order_cols`` order (0-based).

@@ -22,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranqa.functions.keyed import DEFAULT_SEED, keyed_choice_index, keyed_randint
+from ranqa.functions.keyed import DEFAULT_SEED, digest_slice, keyed_digest
 from ranqa.functions.text import json_object, strip_whitespace
-from ranqa.operators.indexing import dense_index
+from ranqa.operators.indexing import dense_index_counted
 from ranqa.operators.tagger import DEFAULT_LEXICON, Lexicon, tag_string
 from ranqa.session import bounded_broadcast
 
@@ -68,15 +68,16 @@ def answer_json(entity, labels) -> Column:
 
 
 def indexed_entities(catalog: DataFrame, name_col: str = "name") -> tuple[DataFrame, int]:
-    """Distinct, whitespace-free entity names with a dense index ``idx``; and their count.
+    """Distinct raw entity names with a dense index ``idx`` and their
+    whitespace-free form ``entity``; plus their count.
 
-    Names are stripped of whitespace *after* the draw in the reference, so the
-    index runs over the raw distinct names and stripping happens on lookup.
+    The reference draws from the distinct *raw* names and strips whitespace
+    after the draw, so the index runs over raw names; stripping is done here
+    once per entity instead of once per generated row.
     """
     names = catalog.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
-    idx = dense_index(names, ["name"])
-    n = idx.count()
-    return idx, n
+    idx, n = dense_index_counted(names, ["name"])
+    return idx.withColumn("entity", strip_whitespace("name")), n
 
 
 def ordered_templates(templates: DataFrame, keep_blank: bool = False,
@@ -88,8 +89,7 @@ def ordered_templates(templates: DataFrame, keep_blank: bool = False,
     t = templates.select(*cols).where(F.col("template").isNotNull())
     if not keep_blank:
         t = t.where(F.col("template") != "")
-    t = dense_index(t, order_cols, "template_ord")
-    return t, t.count()
+    return dense_index_counted(t, order_cols, "template_ord")
 
 
 def _valid_base(template: Column) -> Column:
@@ -97,58 +97,64 @@ def _valid_base(template: Column) -> Column:
     return ~F.replace(template, F.lit(ENTITY_SLOT), F.lit("")).rlike("[{}]")
 
 
-def _samples(templates: DataFrame, num_samples: int) -> DataFrame:
-    return templates.withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
+def _samples(templates: DataFrame, num_samples: int, lexicon: Lexicon) -> DataFrame:
+    """Tag each template once, then fan it out to ``num_samples`` rows."""
+    return (templates.withColumn("labels", tag_string(F.col("template"), lexicon))
+            .withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1)))))
 
 
-def _draw_entity(rows: DataFrame, entities: DataFrame, n_entities: int, seed: int, kind: str) -> DataFrame:
-    rows = rows.withColumn("_eidx", keyed_choice_index(n_entities, seed, F.lit(kind), F.col("sample_no"),
-                                                       F.col("template_id"), F.lit("entity")))
-    ents = bounded_broadcast(entities.select(F.col("idx").alias("_eidx"), F.col("name").alias("_raw")),
-                             known_rows=n_entities)
-    return rows.join(ents, "_eidx").withColumn("entity", strip_whitespace("_raw"))
+def _draw_entity(rows: DataFrame, entities: tuple[DataFrame, int], seed: int, kind: str) -> DataFrame:
+    """One md5 per row; its first 32 bits pick the entity (equi-join on the index)."""
+    ents, n_entities = entities
+    rows = (rows.withColumn("_digest", keyed_digest(seed, F.lit(kind), F.col("sample_no"), F.col("template_id")))
+            .withColumn("_eidx", F.pmod(digest_slice(F.col("_digest"), 0), F.lit(n_entities))))
+    ents = bounded_broadcast(ents.select(F.col("idx").alias("_eidx"), "entity"), known_rows=n_entities)
+    return rows.join(ents, "_eidx")
 
 
-def expand_base(templates: DataFrame, catalog: DataFrame, *, num_samples: int = NUM_SAMPLES,
-                seed: int = DEFAULT_SEED, lexicon: Lexicon = DEFAULT_LEXICON,
-                name_col: str = "name", keep_blank: bool = False) -> DataFrame:
-    t, n_t = ordered_templates(templates, keep_blank)
-    t = t.where(_valid_base(F.col("template")))
-    ents, n_e = indexed_entities(catalog, name_col)
-    rows = _draw_entity(_samples(t, num_samples), ents, n_e, seed, "base")
+def _finish(rows: DataFrame, n_t: int, question: Column, kind: str) -> DataFrame:
     return (rows
             .withColumn("id", F.col("sample_no").cast("bigint") * F.lit(n_t) + F.col("template_ord") + F.lit(1))
-            .withColumn("question", F.replace(F.col("template"), F.lit(ENTITY_SLOT), F.col("entity")))
-            .withColumn("labels", tag_string(F.col("template"), lexicon))
+            .withColumn("question", question)
             .withColumn("answer", answer_json("entity", "labels"))
-            .withColumn("kind", F.lit("base"))
+            .withColumn("kind", F.lit(kind))
             .select(*OUT_COLS))
 
 
-def expand_advanced(templates: DataFrame, catalog: DataFrame, *, num_samples: int = NUM_SAMPLES,
-                    seed: int = DEFAULT_SEED, lexicon: Lexicon = DEFAULT_LEXICON,
-                    name_col: str = "name", locations: list[str] = LOCATIONS,
-                    weathers: list[str] = WEATHERS, years: tuple[int, int] = YEAR_RANGE,
-                    keep_blank: bool = False) -> DataFrame:
+def expand_base(templates: DataFrame, catalog: DataFrame | None = None, *, num_samples: int = NUM_SAMPLES,
+                seed: int = DEFAULT_SEED, lexicon: Lexicon = DEFAULT_LEXICON,
+                name_col: str = "name", keep_blank: bool = False,
+                entities: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Base kind.  Pass ``entities=indexed_entities(catalog)`` to share one
+    catalog index between generators."""
+    t, n_t = ordered_templates(templates, keep_blank)
+    t = t.where(_valid_base(F.col("template")))
+    entities = entities or indexed_entities(catalog, name_col)
+    rows = _draw_entity(_samples(t, num_samples, lexicon), entities, seed, "base")
+    return _finish(rows, n_t, F.replace(F.col("template"), F.lit(ENTITY_SLOT), F.col("entity")), "base")
+
+
+def expand_advanced(templates: DataFrame, catalog: DataFrame | None = None, *,
+                    num_samples: int = NUM_SAMPLES, seed: int = DEFAULT_SEED,
+                    lexicon: Lexicon = DEFAULT_LEXICON, name_col: str = "name",
+                    locations: list[str] = LOCATIONS, weathers: list[str] = WEATHERS,
+                    years: tuple[int, int] = YEAR_RANGE, keep_blank: bool = False,
+                    entities: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Advanced kind: entity, year, location, weather drawn independently per
+    row from the four 32-bit slices of one digest, replaced in that order."""
     t, n_t = ordered_templates(templates, keep_blank)
-    ents, n_e = indexed_entities(catalog, name_col)
-    rows = _draw_entity(_samples(t, num_samples), ents, n_e, seed, "advanced")
-    key = (F.lit("advanced"), F.col("sample_no"), F.col("template_id"))
+    entities = entities or indexed_entities(catalog, name_col)
+    rows = _draw_entity(_samples(t, num_samples, lexicon), entities, seed, "advanced")
+    d = F.col("_digest")
+    year = (F.lit(years[0]) + F.pmod(digest_slice(d, 1), F.lit(years[1] - years[0] + 1))).cast("string")
     loc = F.element_at(F.array(*[F.lit(x) for x in locations]),
-                       (keyed_choice_index(len(locations), seed, *key, F.lit("location")) + 1).cast("int"))
+                       (F.pmod(digest_slice(d, 2), F.lit(len(locations))) + 1).cast("int"))
     wea = F.element_at(F.array(*[F.lit(x) for x in weathers]),
-                       (keyed_choice_index(len(weathers), seed, *key, F.lit("weather")) + 1).cast("int"))
-    year = keyed_randint(years[0], years[1], seed, *key, F.lit("year")).cast("string")
+                       (F.pmod(digest_slice(d, 3), F.lit(len(weathers))) + 1).cast("int"))
     filled = F.replace(F.replace(F.replace(F.replace(
         F.col("template"), F.lit(ENTITY_SLOT), F.col("entity")),
         F.lit(YEAR_SLOT), year), F.lit(LOCATION_SLOT), loc), F.lit(WEATHER_SLOT), wea)
-    return (rows
-            .withColumn("id", F.col("sample_no").cast("bigint") * F.lit(n_t) + F.col("template_ord") + F.lit(1))
-            .withColumn("question", filled)
-            .withColumn("labels", tag_string(F.col("template"), lexicon))
-            .withColumn("answer", answer_json("entity", "labels"))
-            .withColumn("kind", F.lit("advanced"))
-            .select(*OUT_COLS))
+    return _finish(rows, n_t, filled, "advanced")
 
 
 def no_entity_questions(templates: DataFrame, *, lexicon: Lexicon = DEFAULT_LEXICON,

@@ -10,7 +10,7 @@ from ranqa.operators.split import (VAL_FRACTION, exact_split, finetune_split, ha
                                    keyed_shuffle, val_count)
 from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
-                                       expand_advanced, expand_base, negative_questions,
+                                       expand_advanced, expand_base, indexed_entities, negative_questions,
                                        no_entity_questions, union_corpus, with_records)
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import (q, sql_answer, sql_hash32, sql_hash60, sql_keyword_hits, sql_list,
@@ -63,10 +63,11 @@ def catalog(spark, sf):
 
 
 def corpus(spark, sf):
-    cat = catalog(spark, sf)
+    ents = indexed_entities(catalog(spark, sf))      # one catalog index for both kinds
     parts = [
-        expand_base(base_templates(spark, sf), cat, num_samples=SAMPLES, seed=SEED, lexicon=TEST_LEXICON),
-        expand_advanced(advanced_templates(spark, sf), cat, num_samples=SAMPLES, seed=SEED,
+        expand_base(base_templates(spark, sf), entities=ents, num_samples=SAMPLES, seed=SEED,
+                    lexicon=TEST_LEXICON),
+        expand_advanced(advanced_templates(spark, sf), entities=ents, num_samples=SAMPLES, seed=SEED,
                         lexicon=TEST_LEXICON),
         negative_questions(turn_texts(spark, sf, "assistant"), order_cols=["template_id", "turn"]),
         no_entity_questions(turn_texts(spark, sf, "user"), lexicon=TEST_LEXICON,
@@ -90,13 +91,18 @@ btpl AS (
   FROM btpl0 WHERE template <> '')"""
 
 
+def _slice(dg: str, i: int) -> str:
+    return f"CAST('0x' || substr({dg}, {8 * i + 1}, 8) AS BIGINT)"
+
+
 def _sql_samples(kind: str, tpl: str) -> str:
     return f"""
 {kind}_s AS (
   SELECT t.*, g.range AS sample_no FROM {tpl} t CROSS JOIN range(0, {SAMPLES}) g),
+{kind}_h AS (SELECT *, md5(concat_ws('|', {q(str(SEED))}, {q(kind)}, sample_no, template_id)) AS dg FROM {kind}_s),
 {kind}_d AS (
-  SELECT s.*, e.name AS raw_name FROM {kind}_s s JOIN ents e
-    ON e.idx = {sql_hash32(SEED, q(kind), 's.sample_no', 's.template_id', q('entity'))} % e.n),
+  SELECT s.*, e.name AS raw_name FROM {kind}_h s JOIN ents e
+    ON e.idx = {_slice('s.dg', 0)} % e.n),
 {kind}_e AS (SELECT *, {sql_strip_ws('raw_name')} AS entity FROM {kind}_d)"""
 
 
@@ -109,9 +115,9 @@ base AS (
          {sql_tag_string('template', TEST_LEXICON)} AS labels
   FROM base_e)"""
 
-_LOC = f"{sql_list(LOCATIONS)}[{sql_hash32(SEED, q('advanced'), 'sample_no', 'template_id', q('location'))} % {len(LOCATIONS)} + 1]"
-_WEA = f"{sql_list(WEATHERS)}[{sql_hash32(SEED, q('advanced'), 'sample_no', 'template_id', q('weather'))} % {len(WEATHERS)} + 1]"
-_YEAR = f"CAST(2015 + {sql_hash32(SEED, q('advanced'), 'sample_no', 'template_id', q('year'))} % 9 AS VARCHAR)"
+_YEAR = f"CAST(2015 + {_slice('dg', 1)} % 9 AS VARCHAR)"
+_LOC = f"{sql_list(LOCATIONS)}[{_slice('dg', 2)} % {len(LOCATIONS)} + 1]"
+_WEA = f"{sql_list(WEATHERS)}[{_slice('dg', 3)} % {len(WEATHERS)} + 1]"
 
 SQL_ADV = f"""
 atpl AS (
@@ -243,9 +249,10 @@ def qa_table(spark, sf):
 SELECT kind, id, {sql_hash60(SEED, q('shuffle'), 'kind', 'id')} AS shuffle_key,
        {_rec_sql('id', 'question', 'answer')} AS record_json FROM corpus""")
 def conversation_records(spark, sf):
-    recs = with_records(corpus(spark, sf))
-    return (keyed_shuffle(recs, ["kind", "id"], seed=SEED, partition_cols=["kind_ord"])
-            .select("kind", "id", "shuffle_key", "record_json"))
+    # sort the narrow rows first, then build the JSON (the constant system
+    # prompt is not carried through the shuffle)
+    shuffled = keyed_shuffle(corpus(spark, sf), ["kind", "id"], seed=SEED, partition_cols=["kind_ord"])
+    return with_records(shuffled).select("kind", "id", "shuffle_key", "record_json")
 
 
 @register("corpus_counts", "D16 A12 U2 U4: records per kind and in total (rollup)",
@@ -330,12 +337,12 @@ WITH pairs AS (
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS id FROM pairs)
 SELECT conv_id, turn, id, {_rec_sql('id', 'user_text', 'assistant_text')} AS record_json FROM numbered""")
 def turn_records(spark, sf):
-    from ranqa.operators.indexing import dense_index
+    from ranqa.operators.indexing import dense_index_counted
     c = table(spark, sf, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
     a = c.where(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
-    pairs = dense_index(u.join(a, ["conv_id", "turn"]), ["conv_id", "turn"], "idx")
+    pairs, _ = dense_index_counted(u.join(a, ["conv_id", "turn"]), ["conv_id", "turn"], "idx")
     rec = conversation_record((F.col("idx") + 1), F.lit(SYSTEM_PROMPT), "user_text", "assistant_text")
     return pairs.select("conv_id", "turn", (F.col("idx") + 1).alias("id"),
                         F.to_json(rec).alias("record_json"))

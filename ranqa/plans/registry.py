@@ -25,7 +25,14 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str, covers: str, sql: str | None = None):
     def deco(fn: Builder) -> Builder:
-        REGISTRY[name] = Query(name, fn, sql, covers)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ranqa.session import prepare
+            prepare(spark)
+            return fn(spark, sf_dir)
+
+        build.__name__ = fn.__name__
+        build.__doc__ = covers
+        REGISTRY[name] = Query(name, build, sql, covers)
         return fn
     return deco
 

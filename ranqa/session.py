@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +22,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """
     active = SparkSession.getActiveSession()
     if active is not None:
-        ensure_checkpoint_dir(active)
-        return active
+        return prepare(active)
     master = master or os.environ.get("RANQA_MASTER", "local[8]")
     parts = shuffle_partitions or int(os.environ.get("RANQA_SHUFFLE_PARTITIONS", "8"))
     spark = (
@@ -41,7 +41,41 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ranqa`` importable in Python workers (what ``--py-files`` does).
+
+    Arrow UDFs and ``mapInPandas`` functions are pickled by reference to this
+    package; the package is zipped once per SparkContext and added with
+    ``addPyFile`` so every executor (and a local worker started from any
+    working directory) can import it.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="ranqa-pkg-"), "ranqa.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(root, fn)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Checkpoint folder + package shipping: call before running any query."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

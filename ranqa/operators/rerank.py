@@ -30,7 +30,7 @@ holds at most ``2*limit`` rows per query.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,132 +52,160 @@ HIGH = 0.5            # otherwise keep normalised totals above this
 KEY = "query_id"
 
 
-@dataclass
 class RerankStages:
-    """Every intermediate relation of one re-rank run (all lazily planned)."""
-
-    usable: DataFrame      # hits with a question
-    stats: DataFrame       # per query: cosine min/max over survivors, arg-max hit
-    cosine: DataFrame      # top-limit cosine rows with norm, gate score, contribution
-    fuzzy: DataFrame       # top-limit fuzzy rows with norm, penalty, contribution
-    merged: DataFrame      # per (query, text): total, first_seq
-    gated: DataFrame       # top final_k texts with norm, H, flag, branch, keep
-    result: DataFrame      # kept texts mapped back to their hit rows
-    scored: DataFrame      # both top-limit lists with every per-row score and the flag
-
-
-def _scored(scorer, a: str, b: str) -> Column:
-    return scorer(F.col(a), F.col(b))
-
-
-def rerank_stages(hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN_SCORE,
-                  partial_gate: float = PARTIAL_GATE, fuzzy_gate: float = FUZZY_GATE,
-                  final_k: int = FINAL_K, epsilon: float = EPSILON, floor_all: float = FLOOR_ALL,
-                  h_dominant: float = H_DOMINANT, band: float = BAND, high: float = HIGH,
-                  gate_scorer=lev_ratio, rank_scorer=lev_ratio) -> RerankStages:
-    usable = hits.where(F.col("question").isNotNull())
-
-    # (1) ONE scan of the hits generates every ranked list the decision needs,
-    # each cut at `limit` per (query, list) by a single window whose
-    # row_number filter is planned as a map-side WindowGroupLimit: the
-    # shuffle carries at most `limit` rows per query, list and task, however
-    # large a query's hit list is.
-    #   cos  : survivors (score > min_score) by score, ties later-hit-first
-    #          (reversed arg-sort; normalised order == score order)
-    #   fz   : every usable hit by the rank scorer, ties earlier-hit-first
-    #   best : survivors by score, ties earlier-hit-first -> rank 1 = arg-max
-    #          (the arg-max over all hits is a survivor whenever one exists)
-    #   low  : survivors by ascending score -> rank 1 = min survivor score
-    # No explicit projection: Catalyst prunes unused columns, and injected
-    # scorer inputs stay reachable.
-    survivor = F.col("score") > F.lit(min_score)
-
-    def lst(name, ok, k1, k2):
-        return F.struct(F.lit(name).alias("branch"), ok.alias("ok"),
-                        k1.cast("double").alias("k1"), k2.cast("bigint").alias("k2"))
-
-    cand = (usable
-            .withColumn("fuzzy", _scored(rank_scorer, "query_text", "question").cast("int"))
-            .withColumn("_l", F.explode(F.array(
-                lst("cos", survivor, F.col("score"), F.col("hit_pos")),
-                lst("fz", F.lit(True), F.col("fuzzy"), -F.col("hit_pos")),
-                lst("best", survivor, F.col("score"), -F.col("hit_pos")),
-                lst("low", survivor, -F.col("score"), F.lit(0)))))
-            .where(F.col("_l.ok"))
-            .withColumn("branch", F.col("_l.branch")))
-    w_list = Window.partitionBy(KEY, "branch").orderBy(F.col("_l.k1").desc(), F.col("_l.k2").desc())
-    ranked = (cand.withColumn("rank", F.row_number().over(w_list))
-              .where(F.col("rank") <= limit)
-              .drop("_l"))
-
-    # (2) per-query statistics from the ranked lists (<= 4*limit rows/query);
-    # queries without survivors drop out here (the reference returns nothing)
-    w_q = Window.partitionBy(KEY)
+    """Every intermediate relation of one re-rank run.
 
-    def first_of(branch, c):
-        return F.max(F.when((F.col("branch") == branch) & (F.col("rank") == 1), F.col(c))).over(w_q)
-
-    top = (ranked
-           .withColumn("cos_max", first_of("best", "score"))
-           .withColumn("cos_min", first_of("low", "score"))
-           .withColumn("best_question", first_of("best", "question"))
-           .withColumn("best_score", first_of("best", "score"))
-           .where(F.col("cos_max").isNotNull() & F.col("branch").isin("cos", "fz")))
-    stats = (usable.groupBy(KEY).agg(F.min(F.when(survivor, F.col("score"))).alias("cos_min"),
-                                     F.max(F.when(survivor, F.col("score"))).alias("cos_max"))
-             .where(F.col("cos_max").isNotNull()))
-
-    # (3) both top-limit lists with every per-row score; windows on the
-    # query key reuse the partitioning of step (2)
-    is_cos, is_fz = F.col("branch") == "cos", F.col("branch") == "fz"
-    w_pen = Window.partitionBy(KEY, "branch").orderBy(F.col("fuz_score").desc(), F.col("rank").asc())
-    scored = (top
-              .withColumn("cos_norm", F.when(is_cos, minmax("score", "cos_min", "cos_max")))
-              # null input keeps the (possibly Python) gate scorer off fuzzy rows
-              .withColumn("partial", gate_scorer(F.col("query_text"),
-                                                 F.when(is_cos, F.col("question"))).cast("int"))
-              .withColumn("cos_contrib", F.when(is_cos & (F.col("partial") > F.lit(partial_gate)),
-                                                F.col("cos_norm")))
-              .withColumn("fz_min", F.min(F.when(is_fz, F.col("fuzzy"))).over(w_q))
-              .withColumn("fz_max", F.max(F.when(is_fz, F.col("fuzzy"))).over(w_q))
-              .withColumn("fuzzy_norm", F.when(is_fz, minmax(F.col("fuzzy").cast("double"),
-                                                             F.col("fz_min"), F.col("fz_max"))))
-              .withColumn("penalty", F.when(is_fz, text_length_penalty("question", "query_text")))
-              .withColumn("fuz_score", F.col("penalty") * F.col("fuzzy_norm"))
-              .withColumn("pen_rank", F.when(is_fz, F.row_number().over(w_pen)))
-              .withColumn("fuz_contrib", F.when(is_fz & (F.col("fuz_score") > F.lit(fuzzy_gate)),
-                                                F.col("fuz_score")))
-              # agreement flag: same text tops both lists and raw score == fuzzy int
-              .withColumn("fz_question", F.max(F.when(is_fz & (F.col("rank") == 1), F.col("question"))).over(w_q))
-              .withColumn("fz_score", F.max(F.when(is_fz & (F.col("rank") == 1), F.col("fuzzy"))).over(w_q))
-              .withColumn("flag", F.coalesce((F.col("best_question") == F.col("fz_question"))
-                                             & (F.col("best_score") == F.col("fz_score").cast("double")),
-                                             F.lit(False))))
-    cosine = scored.where(is_cos).withColumnRenamed("rank", "cos_rank")
-    fuzzy = scored.where(is_fz).withColumnRenamed("rank", "fuzzy_rank")
-
-    # (4) fusion: contributions summed per text; first_seq = dict insertion order
-    merged = (scored.withColumn("contrib", F.coalesce("cos_contrib", "fuz_contrib"))
-              .where(F.col("contrib").isNotNull())
-              .withColumn("seq", F.when(is_cos, F.col("rank")).otherwise(F.col("pen_rank") + F.lit(limit)))
-              .groupBy(KEY, "question")
-              .agg(F.sum("contrib").alias("total"), F.min("seq").alias("first_seq"),
-                   F.first("flag").alias("flag")))
-
-    # (5) entropy gate on the best final_k texts
-    gated = entropy_gate(merged, None, final_k=final_k, epsilon=epsilon, floor_all=floor_all,
-                         h_dominant=h_dominant, band=band, high=high)
-
-    # (6) text -> last hit holding it (dict overwrite), then the full hit row
-    chosen = gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
-                                        "total", "norm", "h", "branch")
-    hit_cols = [c for c in hits.columns if c not in (KEY, "question")]
-    last_hit = (usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
+    Each stage is defined on first access only (defining a DataFrame costs
+    driver-side analysis), and the whole decision is one chain of
+    dependency-level ``withColumns`` steps.
+    """
+
+    def __init__(self, hits: DataFrame, *, limit: int = LIMIT, min_score: float = MIN_SCORE,
+                 partial_gate: float = PARTIAL_GATE, fuzzy_gate: float = FUZZY_GATE,
+                 final_k: int = FINAL_K, epsilon: float = EPSILON, floor_all: float = FLOOR_ALL,
+                 h_dominant: float = H_DOMINANT, band: float = BAND, high: float = HIGH,
+                 gate_scorer=lev_ratio, rank_scorer=lev_ratio):
+        self.hits = hits
+        self.p = dict(limit=limit, min_score=min_score, partial_gate=partial_gate, fuzzy_gate=fuzzy_gate,
+                      final_k=final_k, epsilon=epsilon, floor_all=floor_all, h_dominant=h_dominant,
+                      band=band, high=high)
+        self.gate_scorer, self.rank_scorer = gate_scorer, rank_scorer
+
+    @cached_property
+    def usable(self) -> DataFrame:
+        """Hits with a question."""
+        return self.hits.where(F.col("question").isNotNull())
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """Per query: min/max survivor score (queries without survivors absent)."""
+        survivor = F.col("score") > F.lit(self.p["min_score"])
+        return (self.usable.groupBy(KEY)
+                .agg(F.min(F.when(survivor, F.col("score"))).alias("cos_min"),
+                     F.max(F.when(survivor, F.col("score"))).alias("cos_max"))
+                .where(F.col("cos_max").isNotNull()))
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Both top-limit lists (``branch`` cos / fz) with every per-row score and the flag.
+
+        ONE scan of the hits generates every ranked list the decision needs,
+        each cut at ``limit`` per (query, list) by one window whose
+        ``row_number`` filter is planned as a map-side WindowGroupLimit: the
+        shuffle carries at most ``limit`` rows per query, list and task.
+
+        * cos  : survivors (score > min_score) by score, ties later-hit-first
+          (reversed arg-sort; normalised order == score order)
+        * fz   : every usable hit by the rank scorer, ties earlier-hit-first
+        * best : survivors by score, ties earlier-hit-first -> rank 1 = arg-max
+          (the arg-max over all hits is a survivor whenever one exists)
+        * low  : survivors by ascending score -> rank 1 = min survivor score
+
+        No explicit projection: Catalyst prunes unused columns, and injected
+        scorer inputs stay reachable.
+        """
+        p, limit = self.p, self.p["limit"]
+        survivor = F.col("score") > F.lit(p["min_score"])
+
+        def lst(name, ok, k1, k2):
+            return F.struct(F.lit(name).alias("branch"), ok.alias("ok"),
+                            k1.cast("double").alias("k1"), k2.cast("bigint").alias("k2"))
+
+        fuzzy = self.rank_scorer(F.col("query_text"), F.col("question")).cast("int")
+        cand = (self.usable.withColumn("fuzzy", fuzzy)
+                .withColumn("_l", F.explode(F.array(
+                    lst("cos", survivor, F.col("score"), F.col("hit_pos")),
+                    lst("fz", F.lit(True), F.col("fuzzy"), -F.col("hit_pos")),
+                    lst("best", survivor, F.col("score"), -F.col("hit_pos")),
+                    lst("low", survivor, -F.col("score"), F.lit(0))))))
+        w_list = Window.partitionBy(KEY, F.col("_l.branch")).orderBy(F.col("_l.k1").desc(), F.col("_l.k2").desc())
+        ranked = (cand.where(F.col("_l.ok"))
+                  .withColumns({"branch": F.col("_l.branch"), "rank": F.row_number().over(w_list)})
+                  .where(F.col("rank") <= limit)
+                  .drop("_l"))
+
+        # <= 4*limit rows per query from here; windows reuse the query partitioning
+        w_q = Window.partitionBy(KEY)
+        is_cos, is_fz = F.col("branch") == "cos", F.col("branch") == "fz"
+
+        def first_of(cond, c):
+            return F.max(F.when(cond & (F.col("rank") == 1), F.col(c))).over(w_q)
+
+        lvl1 = ranked.withColumns({
+            "cos_max": first_of(F.col("branch") == "best", "score"),
+            "cos_min": first_of(F.col("branch") == "low", "score"),
+            "best_question": first_of(F.col("branch") == "best", "question"),
+            "best_score": first_of(F.col("branch") == "best", "score"),
+            "fz_question": first_of(is_fz, "question"),
+            "fz_score": first_of(is_fz, "fuzzy"),
+            "fz_min": F.min(F.when(is_fz, F.col("fuzzy"))).over(w_q),
+            "fz_max": F.max(F.when(is_fz, F.col("fuzzy"))).over(w_q),
+        })
+        # queries without survivors drop out (the reference returns nothing)
+        lvl1 = lvl1.where(F.col("cos_max").isNotNull() & F.col("branch").isin("cos", "fz"))
+        lvl2 = lvl1.withColumns({
+            "cos_norm": F.when(is_cos, minmax("score", "cos_min", "cos_max")),
+            # null input keeps the (possibly Python) gate scorer off fuzzy rows
+            "partial": self.gate_scorer(F.col("query_text"), F.when(is_cos, F.col("question"))).cast("int"),
+            "fuzzy_norm": F.when(is_fz, minmax(F.col("fuzzy").cast("double"), F.col("fz_min"), F.col("fz_max"))),
+            "penalty": F.when(is_fz, text_length_penalty("question", "query_text")),
+            # agreement flag: same text tops both lists and raw score == fuzzy int
+            "flag": F.coalesce((F.col("best_question") == F.col("fz_question"))
+                               & (F.col("best_score") == F.col("fz_score").cast("double")), F.lit(False)),
+        })
+        lvl3 = lvl2.withColumns({
+            "cos_contrib": F.when(is_cos & (F.col("partial") > F.lit(p["partial_gate"])), F.col("cos_norm")),
+            "fuz_score": F.col("penalty") * F.col("fuzzy_norm"),
+        })
+        w_pen = Window.partitionBy(KEY, "branch").orderBy(F.col("fuz_score").desc(), F.col("rank").asc())
+        return lvl3.withColumns({
+            "pen_rank": F.when(is_fz, F.row_number().over(w_pen)),
+            "fuz_contrib": F.when(is_fz & (F.col("fuz_score") > F.lit(p["fuzzy_gate"])), F.col("fuz_score")),
+        })
+
+    @cached_property
+    def cosine(self) -> DataFrame:
+        return self.scored.where(F.col("branch") == "cos").withColumnRenamed("rank", "cos_rank")
+
+    @cached_property
+    def fuzzy(self) -> DataFrame:
+        return self.scored.where(F.col("branch") == "fz").withColumnRenamed("rank", "fuzzy_rank")
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """Per (query, text): summed contributions; first_seq = dict insertion order."""
+        is_cos = F.col("branch") == "cos"
+        return (self.scored
+                .withColumns({"contrib": F.coalesce("cos_contrib", "fuz_contrib"),
+                              "seq": F.when(is_cos, F.col("rank"))
+                                      .otherwise(F.col("pen_rank") + F.lit(self.p["limit"]))})
+                .where(F.col("contrib").isNotNull())
                 .groupBy(KEY, "question")
-                .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
-    result = (chosen.join(last_hit, [KEY, "question"])
-              .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
-    return RerankStages(usable, stats, cosine, fuzzy, merged, gated, result, scored)
+                .agg(F.sum("contrib").alias("total"), F.min("seq").alias("first_seq"),
+                     F.first("flag").alias("flag")))
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        p = self.p
+        return entropy_gate(self.merged, None, final_k=p["final_k"], epsilon=p["epsilon"],
+                            floor_all=p["floor_all"], h_dominant=p["h_dominant"], band=p["band"],
+                            high=p["high"])
+
+    @cached_property
+    def result(self) -> DataFrame:
+        """Kept texts mapped to their last hit (dict overwrite), full hit row kept."""
+        chosen = self.gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
+                                                 "total", "norm", "h", "branch")
+        hit_cols = [c for c in self.hits.columns if c not in (KEY, "question")]
+        last_hit = (self.usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
+                    .groupBy(KEY, "question")
+                    .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
+        return (chosen.join(last_hit, [KEY, "question"])
+                .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
+
+
+def rerank_stages(hits: DataFrame, **kw) -> RerankStages:
+    return RerankStages(hits, **kw)
 
 
 def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = FINAL_K,
@@ -186,31 +214,30 @@ def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = F
     """Decide which merged texts to keep.
 
     ``merged``: ``query_id, question, total, first_seq`` and either a
-    ``flag`` column or a separate ``flags`` table ``query_id, flag``.  The best ``final_k`` texts (ties: first inserted)
-    are min-max normalised; ``h = -sum(n*ln(n+epsilon))``; the branch rule
-    is evaluated on unrounded values.
+    ``flag`` column or a separate ``flags`` table ``query_id, flag``.  The
+    best ``final_k`` texts (ties: first inserted) are min-max normalised;
+    ``h = -sum(n*ln(n+epsilon))``; the branch rule is evaluated on unrounded
+    values.
     """
     w_q = Window.partitionBy(KEY)
     w_m = Window.partitionBy(KEY).orderBy(F.col("total").desc(), F.col("first_seq").asc())
     top = (merged.withColumn("merged_rank", F.row_number().over(w_m))
            .where(F.col("merged_rank") <= final_k))
-    return (top
-             .withColumn("t_min", F.min("total").over(w_q))
-             .withColumn("t_max", F.max("total").over(w_q))
-             .withColumn("norm", minmax("total", "t_min", "t_max"))
-             .withColumn("h", F.sum(entropy_term(F.col("norm"), epsilon)).over(w_q))
-             .withColumn("max_norm", F.max("norm").over(w_q))
-             .transform(lambda d: d if flags is None else d.join(flags, KEY, "left"))
-             .withColumn("branch",
-                         F.when((F.col("h") <= 0) | (F.col("t_min") > F.lit(floor_all)), F.lit("all"))
-                         .when((F.col("h") > F.lit(h_dominant)) | F.col("flag"), F.lit("dominant"))
-                         .otherwise(F.lit("high")))
-             .withColumn("keep",
-                         F.when(F.col("branch") == "all", F.lit(True))
-                         .when(F.col("branch") == "dominant",
-                               (F.col("norm") >= F.col("max_norm") - F.lit(band))
-                               & (F.col("norm") <= F.col("max_norm")))
-                         .otherwise(F.col("norm") > F.lit(high))))
+    if flags is not None:
+        top = top.join(flags, KEY, "left")
+    top = top.withColumns({"t_min": F.min("total").over(w_q), "t_max": F.max("total").over(w_q)})
+    top = top.withColumn("norm", minmax("total", "t_min", "t_max"))
+    top = top.withColumns({"h": F.sum(entropy_term(F.col("norm"), epsilon)).over(w_q),
+                           "max_norm": F.max("norm").over(w_q)})
+    branch = (F.when((F.col("h") <= 0) | (F.col("t_min") > F.lit(floor_all)), F.lit("all"))
+              .when((F.col("h") > F.lit(h_dominant)) | F.col("flag"), F.lit("dominant"))
+              .otherwise(F.lit("high")))
+    top = top.withColumn("branch", branch)
+    keep = (F.when(F.col("branch") == "all", F.lit(True))
+            .when(F.col("branch") == "dominant",
+                  (F.col("norm") >= F.col("max_norm") - F.lit(band)) & (F.col("norm") <= F.col("max_norm")))
+            .otherwise(F.col("norm") > F.lit(high)))
+    return top.withColumn("keep", keep)
 
 
 def rerank(hits: DataFrame, **kw) -> DataFrame:

@@ -240,9 +240,26 @@ def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = F
     return top.withColumn("keep", keep)
 
 
-def rerank(hits: DataFrame, **kw) -> DataFrame:
-    """Kept hits per query: ``query_id, rank, <hit columns>, total, norm, h, branch``."""
-    return rerank_stages(hits, **kw).result
+def dedupe_hits(hits: DataFrame) -> DataFrame:
+    """Keep the last hit (by ``hit_pos``) of each ``(query_id, id)``.
+
+    A repeated id in one hit list overwrites the earlier entry in the
+    reference; this restores the unique-id precondition.  The shuffle key
+    includes the id, so a large query spreads over many tasks, and the
+    aggregate is partial (map-side) first.
+    """
+    cols = [c for c in hits.columns if c not in (KEY, "id")]
+    return (hits.groupBy(KEY, "id").agg(F.max_by(F.struct(*cols), F.col("hit_pos")).alias("_h"))
+            .select(KEY, "id", "_h.*").select(*hits.columns))
+
+
+def rerank(hits: DataFrame, *, dedupe_ids: bool = False, **kw) -> DataFrame:
+    """Kept hits per query: ``query_id, rank, <hit columns>, total, norm, h, branch``.
+
+    ``dedupe_ids=True`` first applies :func:`dedupe_hits` (needed only when an
+    id can repeat inside one query's hit list).
+    """
+    return rerank_stages(dedupe_hits(hits) if dedupe_ids else hits, **kw).result
 
 
 def rerank_trace(hits: DataFrame, **kw) -> DataFrame:

@@ -94,3 +94,12 @@ def test_entropy_gate_golden(spark):
         assert {r["branch"] for r in rows} == {branch}, q
         assert sorted(r["merged_rank"] for r in rows if r["keep"]) == kept, q
         assert rows[0]["h"] == pytest.approx(h, abs=1e-6), q
+
+
+def test_dedupe_ids_keeps_last(spark):
+    rows = [(1, 7, "aaaaa", 40.0, 90, 80), (2, 8, "bbbbb", 30.0, 60, 100), (3, 7, "ccccc", 20.0, 40, 60)]
+    from ranqa.operators.rerank import dedupe_hits
+    d = dedupe_hits(_hits(spark, rows)).collect()
+    assert sorted((r["id"], r["question"]) for r in d) == [(7, "ccccc"), (8, "bbbbb")]
+    out = rerank(_hits(spark, rows), dedupe_ids=True, **_injected()).collect()
+    assert {r["id"] for r in out} <= {7, 8}

@@ -23,7 +23,11 @@ def dense_index_counted(df: DataFrame, order_cols: list[str], out_col: str = "id
     n = df.count()
     if n <= local_rows:
         w = Window.orderBy(*order_cols)
-        return df.withColumn(out_col, F.row_number().over(w).cast("bigint") - F.lit(1)), n
+        indexed = df.withColumn(out_col, F.row_number().over(w).cast("bigint") - F.lit(1))
+        # the window leaves one partition; spread the (small) result again so
+        # per-row work downstream runs in parallel
+        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 256 + 1))
+        return indexed.repartition(parts, *order_cols), n
     return dense_index(df, order_cols, out_col), n
 
 

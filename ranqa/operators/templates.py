@@ -97,10 +97,28 @@ def _valid_base(template: Column) -> Column:
     return ~F.replace(template, F.lit(ENTITY_SLOT), F.lit("")).rlike("[{}]")
 
 
-def _samples(templates: DataFrame, num_samples: int, lexicon: Lexicon) -> DataFrame:
-    """Tag each template once, then fan it out to ``num_samples`` rows."""
-    return (templates.withColumn("labels", tag_string(F.col("template"), lexicon))
-            .withColumn("sample_no", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1)))))
+SAMPLE_BLOCK = 64             # samples generated per (template, block) row
+ROWS_PER_TASK = 500_000       # target generated rows per task
+
+
+def _samples(templates: DataFrame, num_samples: int, lexicon: Lexicon, n_templates: int) -> DataFrame:
+    """Tag each template once, then fan it out to ``num_samples`` rows.
+
+    The template table is tiny (and may sit in one partition after its
+    index), so the fan-out is two-level: (template, block) rows are spread
+    over enough tasks with a small hash shuffle, then each block explodes to
+    its samples inside its task.  The generated rows never cross a shuffle.
+    """
+    spark = templates.sparkSession
+    n_blocks = -(-num_samples // SAMPLE_BLOCK)
+    tasks = max(spark.sparkContext.defaultParallelism,
+                -(-(n_templates * num_samples) // ROWS_PER_TASK))
+    blocks = (templates.withColumn("labels", tag_string(F.col("template"), lexicon))
+              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+              .repartition(min(tasks, max(1, n_templates * n_blocks)), "template_id", "_blk"))
+    lo = F.col("_blk") * F.lit(SAMPLE_BLOCK)
+    hi = F.least(lo + F.lit(SAMPLE_BLOCK), F.lit(num_samples)) - F.lit(1)
+    return blocks.withColumn("sample_no", F.explode(F.sequence(lo, hi))).drop("_blk")
 
 
 def _draw_entity(rows: DataFrame, entities: tuple[DataFrame, int], seed: int, kind: str) -> DataFrame:
@@ -130,7 +148,7 @@ def expand_base(templates: DataFrame, catalog: DataFrame | None = None, *, num_s
     t, n_t = ordered_templates(templates, keep_blank)
     t = t.where(_valid_base(F.col("template")))
     entities = entities or indexed_entities(catalog, name_col)
-    rows = _draw_entity(_samples(t, num_samples, lexicon), entities, seed, "base")
+    rows = _draw_entity(_samples(t, num_samples, lexicon, n_t), entities, seed, "base")
     return _finish(rows, n_t, F.replace(F.col("template"), F.lit(ENTITY_SLOT), F.col("entity")), "base")
 
 
@@ -144,7 +162,7 @@ def expand_advanced(templates: DataFrame, catalog: DataFrame | None = None, *,
     row from the four 32-bit slices of one digest, replaced in that order."""
     t, n_t = ordered_templates(templates, keep_blank)
     entities = entities or indexed_entities(catalog, name_col)
-    rows = _draw_entity(_samples(t, num_samples, lexicon), entities, seed, "advanced")
+    rows = _draw_entity(_samples(t, num_samples, lexicon, n_t), entities, seed, "advanced")
     d = F.col("_digest")
     year = (F.lit(years[0]) + F.pmod(digest_slice(d, 1), F.lit(years[1] - years[0] + 1))).cast("string")
     loc = F.element_at(F.array(*[F.lit(x) for x in locations]),

@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranqa.functions.scoring import entropy_term, lev_ratio, minmax, text_length_penalty
+from ranqa.session import spread
 
 # Fixed values (defaults equal to the reference's):
 MIN_SCORE = 15.0      # raw score threshold, strict
@@ -112,7 +113,7 @@ class RerankStages:
                             k1.cast("double").alias("k1"), k2.cast("bigint").alias("k2"))
 
         fuzzy = self.rank_scorer(F.col("query_text"), F.col("question")).cast("int")
-        cand = (self.usable.withColumn("fuzzy", fuzzy)
+        cand = (spread(self.usable, KEY, "hit_pos").withColumn("fuzzy", fuzzy)
                 .withColumn("_l", F.explode(F.array(
                     lst("cos", survivor, F.col("score"), F.col("hit_pos")),
                     lst("fz", F.lit(True), F.col("fuzzy"), -F.col("hit_pos")),

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranqa.session import spread
+
 
 # probes held in every task when scoring the catalog (proven bound)
 MAX_PROBES = 4096
@@ -97,7 +99,7 @@ def fuzzy_catalog_topk(probes: DataFrame, catalog: DataFrame, *, k: int = 8,
                 f"{cand_text} string, fuzzy int")
     probe_arr = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("pid"),
                                    F.lit(r[1]).alias("ptext")) for r in rows])
-    scored = (catalog.select(F.col(cand_id), F.col(cand_text))
+    scored = (spread(catalog.select(F.col(cand_id), F.col(cand_text)), cand_id)
               .withColumn("p", F.explode(probe_arr))
               .select(F.col("p.pid").alias(probe_id), F.col("p.ptext").alias(probe_text),
                       cand_id, cand_text)

@@ -15,6 +15,7 @@ from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conve
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import (q, sql_answer, sql_hash32, sql_hash60, sql_keyword_hits, sql_list,
                                     sql_strip_ws, sql_tag_labels, sql_tag_string)
+from ranqa.session import spread
 from ranqa.sources.catalog import column_union, distinct_catalog
 from ranqa.sources.tables import table
 
@@ -192,7 +193,7 @@ SELECT doc_id, array_to_string({sql_keyword_hits('text', TEST_LEXICON)}, ',') AS
        len({sql_keyword_hits('text', TEST_LEXICON)}) AS n_hits,
        {sql_tag_string('text', TEST_LEXICON)} AS labels FROM documents""")
 def keyword_tags(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     hits = keyword_hits("text", TEST_LEXICON)
     return d.select("doc_id", F.array_join(hits, ",").alias("hits"), F.size(hits).alias("n_hits"),
                     tag_string("text", TEST_LEXICON).alias("labels"))
@@ -203,7 +204,7 @@ SELECT lab AS label, lang, count(*) AS n_docs
 FROM (SELECT lang, unnest({sql_tag_labels('text', TEST_LEXICON)}) AS lab FROM documents)
 GROUP BY lab, lang""")
 def keyword_tag_counts(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     return (d.select("lang", F.explode(tag_labels("text", TEST_LEXICON)).alias("label"))
             .groupBy("label", "lang").agg(F.count(F.lit(1)).alias("n_docs")))
 

@@ -78,29 +78,51 @@ def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "ques
 def fuzzy_catalog_topk(probes: DataFrame, catalog: DataFrame, *, k: int = 8,
                        scorer: Callable[[Column, Column], Column] | None = None,
                        probe_id: str = "probe_id", probe_text: str = "probe_text",
-                       cand_id: str = "id", cand_text: str = "name") -> DataFrame:
+                       cand_id: str = "id", cand_text: str = "name",
+                       max_probes: int = MAX_PROBES) -> DataFrame:
     """Top-``k`` catalog entries per probe by a fuzzy scorer (ties: smaller id).
 
-    The probe list is size-checked (at most ``MAX_PROBES``) and shipped to
-    every task as a literal array; each catalog row is scored against every
-    probe inside the scan (a generator, not a join), and ``row_number() <= k``
-    is planned as a map-side partial top-k, so the shuffle carries at most
-    ``k`` rows per probe per task.  Work is linear in the catalog.
+    Probes travel to the tasks as a literal array of at most ``max_probes``
+    entries; each catalog row is scored against every probe of the array
+    inside the scan (a generator, not a join), and ``row_number() <= k`` is
+    planned as a map-side partial top-k, so the shuffle carries at most ``k``
+    rows per probe per task.  A larger probe set is cut into chunks of
+    ``max_probes`` (dense probe index, one chunk on the driver at a time) and
+    the per-chunk results are unioned: the exact top-k needs every
+    (probe, entry) score, and this keeps memory bounded while doing exactly
+    that work.
     """
     from ranqa.functions.scoring import lev_ratio
+    from ranqa.operators.indexing import dense_index_counted
 
     scorer = scorer or lev_ratio
-    rows = probes.select(probe_id, probe_text).limit(MAX_PROBES + 1).collect()
-    if len(rows) > MAX_PROBES:
-        raise ValueError(f"fuzzy_catalog_topk: more than {MAX_PROBES} probes; split the probe set")
-    if not rows:
+    probes = probes.select(F.col(probe_id).cast("bigint").alias(probe_id), F.col(probe_text))
+    head = probes.limit(max_probes + 1).collect()
+    if len(head) <= max_probes:
+        chunks = [head]
+    else:
+        indexed, n = dense_index_counted(probes, [probe_id], "_pidx")
+        chunks = [indexed.where((F.col("_pidx") >= lo) & (F.col("_pidx") < lo + max_probes))
+                  .select(probe_id, probe_text).collect()
+                  for lo in range(0, n, max_probes)]
+    cat = spread(catalog.select(F.col(cand_id), F.col(cand_text)), cand_id)
+    out = None
+    for rows in chunks:
+        if not rows:
+            continue
+        part = _score_chunk(cat, rows, k, scorer, probe_id, probe_text, cand_id, cand_text)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
         return catalog.sparkSession.createDataFrame(
             [], f"{probe_id} bigint, {probe_text} string, rank int, {cand_id} bigint, "
                 f"{cand_text} string, fuzzy int")
+    return out
+
+
+def _score_chunk(cat: DataFrame, rows, k, scorer, probe_id, probe_text, cand_id, cand_text) -> DataFrame:
     probe_arr = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("pid"),
                                    F.lit(r[1]).alias("ptext")) for r in rows])
-    scored = (spread(catalog.select(F.col(cand_id), F.col(cand_text)), cand_id)
-              .withColumn("p", F.explode(probe_arr))
+    scored = (cat.withColumn("p", F.explode(probe_arr))
               .select(F.col("p.pid").alias(probe_id), F.col("p.ptext").alias(probe_text),
                       cand_id, cand_text)
               .withColumn("fuzzy", scorer(F.col(probe_text), F.col(cand_text))))

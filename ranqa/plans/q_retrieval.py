@@ -41,7 +41,7 @@ _PROBES_SQL = "(VALUES " + ", ".join(f"({i}, {q(p)})" for i, p in enumerate(TEST
 @register("fuzzy_catalog_join", "J7 D2: per probe, top-8 catalog entries by edit ratio (exact)", f"""
 SELECT probe_id, probe_text, rank, id, name, fuzzy FROM (
   SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY fuzzy DESC, id ASC) AS rank FROM (
-    SELECT pr.probe_id, pr.probe_text, p.p_partkey AS id, p.p_name AS name,
+    SELECT CAST(pr.probe_id AS BIGINT) AS probe_id, pr.probe_text, p.p_partkey AS id, p.p_name AS name,
            {sql_lev_ratio('pr.probe_text', 'p.p_name')} AS fuzzy
     FROM part p CROSS JOIN {_PROBES_SQL}))
 WHERE rank <= {TOP_K}""")

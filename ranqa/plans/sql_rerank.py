@@ -8,8 +8,8 @@ from ranqa.plans.fixtures import SQL_HITS_CTE
 
 def sql_lev_ratio(a: str, b: str) -> str:
     L = f"greatest(length({a}), length({b}))"
-    return (f"CASE WHEN {L} = 0 THEN 100 ELSE CAST(round(100.0 * ({L} - levenshtein({a}, {b})) / {L}) "
-            f"AS INTEGER) END")
+    return (f"CAST(CASE WHEN {L} = 0 THEN 100 ELSE round(100.0 * ({L} - levenshtein({a}, {b})) / {L}) "
+            f"END AS BIGINT)")
 
 
 def sql_penalty(len_a: str, len_b: str) -> str:

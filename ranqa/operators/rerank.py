@@ -195,14 +195,20 @@ class RerankStages:
     @cached_property
     def result(self) -> DataFrame:
         """Kept texts mapped to their last hit (dict overwrite), full hit row kept."""
-        chosen = self.gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("rank"),
-                                                 "total", "norm", "h", "branch")
+        # the chosen rows (<= final_k per query) are referenced once: joined to
+        # the hits holding their text, then one aggregate keeps the last hit
+        # (decision columns are constant per group)
+        chosen = self.gated.where("keep").select(KEY, "question", F.col("merged_rank").alias("_rank"),
+                                                 F.col("total").alias("_total"), F.col("norm").alias("_norm"),
+                                                 F.col("h").alias("_h"), F.col("branch").alias("_branch"))
         hit_cols = [c for c in self.hits.columns if c not in (KEY, "question")]
-        last_hit = (self.usable.join(chosen.select(KEY, "question"), [KEY, "question"], "left_semi")
-                    .groupBy(KEY, "question")
-                    .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit")))
-        return (chosen.join(last_hit, [KEY, "question"])
-                .select(KEY, "rank", "hit.*", "question", "total", "norm", "h", "branch"))
+        picked = (self.usable.join(chosen, [KEY, "question"])
+                  .groupBy(KEY, "question")
+                  .agg(F.max_by(F.struct(*hit_cols), F.col("hit_pos")).alias("hit"),
+                       *[F.first(c).alias(c) for c in ("_rank", "_total", "_norm", "_h", "_branch")]))
+        return picked.select(KEY, F.col("_rank").alias("rank"), "hit.*", "question",
+                             F.col("_total").alias("total"), F.col("_norm").alias("norm"),
+                             F.col("_h").alias("h"), F.col("_branch").alias("branch"))
 
 
 def rerank_stages(hits: DataFrame, **kw) -> RerankStages:

@@ -21,10 +21,22 @@ def strip_whitespace(c) -> Column:
     return F.regexp_replace(_col(c), WHITESPACE_CLASS, "")
 
 
+# control characters whose \u00XX escape contains a hex letter; Python's json
+# writes those letters lower-case, Spark's JSON writer upper-case
+_UPPER_HEX_ESCAPES = ["000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F"]
+
+
 def json_quote(c) -> Column:
-    """A JSON string literal for ``c`` (quotes included, non-ASCII kept)."""
+    """A JSON string literal for ``c`` (quotes included, non-ASCII kept),
+    byte-identical to ``json.dumps(value, ensure_ascii=False)``."""
     j = F.to_json(F.array(_col(c)))          # ["..."]
-    return j.substr(F.lit(2), F.length(j) - F.lit(2))
+    q = j.substr(F.lit(2), F.length(j) - F.lit(2))
+    fixed = q
+    for h in _UPPER_HEX_ESCAPES:
+        # an escape, not an escaped backslash followed by text: the run of
+        # backslashes before "u" must be odd
+        fixed = F.regexp_replace(fixed, r"(?<!\\)((?:\\\\)*)\\u" + h, "$1\\\\u" + h.lower())
+    return F.when(F.instr(q, "\\u00") > 0, fixed).otherwise(q)
 
 
 def json_object(pairs: list[tuple[str, Column]]) -> Column:

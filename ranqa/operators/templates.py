@@ -92,9 +92,27 @@ def ordered_templates(templates: DataFrame, keep_blank: bool = False,
     return dense_index_counted(t, order_cols, "template_ord")
 
 
-def _valid_base(template: Column) -> Column:
-    """Only the entity slot may appear; any other brace would fail the format call."""
-    return ~F.replace(template, F.lit(ENTITY_SLOT), F.lit("")).rlike("[{}]")
+# Base templates are filled like ``str.format(package_name=...)``: scanned left
+# to right, "{{" and "}}" are literal braces, "{package_name}" is the field,
+# and any other brace makes the call fail (the template is dropped).  Each
+# token is wrapped in two control characters once per template; the fill is
+# then plain literal replacement per row.
+FORMAT_TOKEN = r"\{\{|\}\}|\{package_name\}|[{}]"
+_OPEN, _CLOSE = "\u0001", "\u0002"
+
+
+def _format_marked(template: Column) -> Column:
+    return F.regexp_replace(template, FORMAT_TOKEN, _OPEN + "$0" + _CLOSE)
+
+
+def _valid_base(marked: Column) -> Column:
+    return ~(F.instr(marked, _OPEN + "{" + _CLOSE) > 0) & ~(F.instr(marked, _OPEN + "}" + _CLOSE) > 0)
+
+
+def _fill_base(marked: Column, entity: Column) -> Column:
+    out = F.replace(marked, F.lit(_OPEN + "{{" + _CLOSE), F.lit("{"))
+    out = F.replace(out, F.lit(_OPEN + "}}" + _CLOSE), F.lit("}"))
+    return F.replace(out, F.lit(_OPEN + ENTITY_SLOT + _CLOSE), entity)
 
 
 SAMPLE_BLOCK = 64             # samples generated per (template, block) row
@@ -146,10 +164,10 @@ def expand_base(templates: DataFrame, catalog: DataFrame | None = None, *, num_s
     """Base kind.  Pass ``entities=indexed_entities(catalog)`` to share one
     catalog index between generators."""
     t, n_t = ordered_templates(templates, keep_blank)
-    t = t.where(_valid_base(F.col("template")))
+    t = t.withColumn("_marked", _format_marked(F.col("template"))).where(_valid_base(F.col("_marked")))
     entities = entities or indexed_entities(catalog, name_col)
     rows = _draw_entity(_samples(t, num_samples, lexicon, n_t), entities, seed, "base")
-    return _finish(rows, n_t, F.replace(F.col("template"), F.lit(ENTITY_SLOT), F.col("entity")), "base")
+    return _finish(rows, n_t, _fill_base(F.col("_marked"), F.col("entity")), "base")
 
 
 def expand_advanced(templates: DataFrame, catalog: DataFrame | None = None, *,

@@ -107,12 +107,22 @@ def _sql_samples(kind: str, tpl: str) -> str:
 {kind}_e AS (SELECT *, {sql_strip_ws('raw_name')} AS entity FROM {kind}_d)"""
 
 
+SQL_BMARKED = r"""
+bmarked AS (
+  SELECT *, regexp_replace(template, '\{\{|\}\}|\{package_name\}|[{}]', chr(1) || '\0' || chr(2), 'g') AS marked
+  FROM btpl)"""
+SQL_BVALID = ("(SELECT * FROM bmarked WHERE NOT (contains(marked, chr(1) || '{' || chr(2)) "
+              "OR contains(marked, chr(1) || '}' || chr(2))))")
+SQL_BFILL = ("replace(replace(replace(marked, chr(1) || '{{' || chr(2), '{'), chr(1) || '}}' || chr(2), '}'), "
+             "chr(1) || '{package_name}' || chr(2), entity)")
+
 SQL_BASE = f"""
 {SQL_BASE_TPL},
-{_sql_samples('base', "(SELECT * FROM btpl WHERE NOT regexp_matches(replace(template, '{package_name}', ''), '[{}]'))")},
+{SQL_BMARKED},
+{_sql_samples('base', SQL_BVALID)},
 base AS (
   SELECT 'base' AS kind, sample_no * n_t + template_ord + 1 AS id, sample_no, template_id, entity,
-         replace(template, '{{package_name}}', entity) AS question,
+         {SQL_BFILL} AS question,
          {sql_tag_string('template', TEST_LEXICON)} AS labels
   FROM base_e)"""
 

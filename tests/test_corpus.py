@@ -153,3 +153,25 @@ def test_fuzzy_topk_chunked_equals_single(spark):
     one = sorted(map(tuple, fuzzy_catalog_topk(probes, cat, k=3).collect()))
     many = sorted(map(tuple, fuzzy_catalog_topk(probes, cat, k=3, max_probes=2).collect()))
     assert one == many and len(one) == 15
+
+
+def test_base_fill_follows_str_format(spark):
+    tpls = ["{{{package_name}}}", "a {{b}} {package_name}", "{package_name}}", "{year}{package_name}", "{",
+            "x}}y", "plain {package_name} and {package_name}", "{{package_name}}"]
+    t = _templates(spark, list(enumerate(tpls)))
+    cat = spark.createDataFrame([("X",)], "name string")
+    got = {r["template_id"]: r["question"] for r in expand_base(t, cat, num_samples=1).collect()}
+    for i, tpl in enumerate(tpls):
+        try:
+            want = tpl.format(package_name="X")
+        except (KeyError, ValueError, IndexError):
+            assert i not in got, tpl
+            continue
+        assert got[i] == want, tpl
+
+
+def test_json_quote_matches_python(spark):
+    from ranqa.functions.text import json_quote
+    vals = ["a\x01b\x1fc\x7fd", "x\\u001F", "\\\x1f", "\x0e\x0f\x1a", "/<>&'\"", "g\U0001F600h"]
+    df = spark.createDataFrame([(v,) for v in vals], "s string")
+    assert [r[0] for r in df.select(json_quote("s")).collect()] == [json.dumps(v, ensure_ascii=False) for v in vals]

@@ -37,3 +37,13 @@ def test_every_query_registered_with_coverage():
     reg = all_queries()
     assert len(reg) >= 30
     assert all(q.covers for q in reg.values())
+
+
+def test_entity_dimension_broadcast(spark):
+    plan = _plan(all_queries()["template_base"].build(spark, SF_SMALL))
+    assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
+
+
+def test_rerank_generates_candidates_from_one_scan(spark):
+    plan = _plan(all_queries()["rerank_native"].build(spark, SF_SMALL))
+    assert plan.count("Generate explode") == 1

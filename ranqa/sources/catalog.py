@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def column_union(tables: list[DataFrame], column: str, out_col: str | None = None) -> DataFrame:
@@ -29,11 +28,20 @@ def distinct_catalog(tables: list[DataFrame], column: str, out_col: str = "name"
 
 def read_lines(spark: SparkSession, path: str, *, id_col: str = "line_no",
                value_col: str = "value") -> DataFrame:
-    """A text file as ``(line_no, value)``: newline stripped, blank lines kept,
-    ``line_no`` dense from 0 in file order (file splits are indexed in order)."""
-    lines = spark.sparkContext.textFile(path).zipWithIndex()
-    schema = T.StructType([T.StructField(value_col, T.StringType()), T.StructField(id_col, T.LongType())])
-    return spark.createDataFrame(lines, schema).select(id_col, value_col)
+    """A text file as ``(line_no, value)``: line breaks stripped, blank lines
+    kept, ``line_no`` dense from 0 in file order (one file; a folder of files
+    is numbered in Spark's split order).
+
+    Splits of one file are read in offset order, so the monotonically
+    increasing row id follows the file; the dense index turns it into line
+    numbers without a Python round trip.
+    """
+    from ranqa.operators.indexing import dense_index_counted
+
+    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_mid"),
+                                       F.col("value").alias(value_col))
+    indexed, _ = dense_index_counted(raw, ["_mid"], id_col)
+    return indexed.select(id_col, value_col)
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

@@ -175,3 +175,14 @@ def test_json_quote_matches_python(spark):
     vals = ["a\x01b\x1fc\x7fd", "x\\u001F", "\\\x1f", "\x0e\x0f\x1a", "/<>&'\"", "g\U0001F600h"]
     df = spark.createDataFrame([(v,) for v in vals], "s string")
     assert [r[0] for r in df.select(json_quote("s")).collect()] == [json.dumps(v, ensure_ascii=False) for v in vals]
+
+
+def test_read_lines_order_crlf(spark):
+    d = tempfile.mkdtemp(prefix="ranqa-test-")
+    p = os.path.join(d, "t.txt")
+    lines = [f"line {i}" if i % 7 else "" for i in range(3000)]
+    with open(p, "w", encoding="utf-8", newline="") as f:
+        f.write("\r\n".join(lines) + "\r\n")
+    rows = read_lines(spark, p).orderBy("line_no").collect()
+    assert [r["value"] for r in rows] == lines
+    assert [r["line_no"] for r in rows] == list(range(3000))

@@ -269,6 +269,24 @@ def rerank(hits: DataFrame, *, dedupe_ids: bool = False, **kw) -> DataFrame:
     return rerank_stages(dedupe_hits(hits) if dedupe_ids else hits, **kw).result
 
 
+def observed_rerank(hits: DataFrame, name: str = "rerank", **kw):
+    """``rerank`` plus an ``Observation`` filled while the result is written:
+    kept rows, distinct-free per-branch row counts and the summed totals (the
+    counters the reference logs), gathered in the same pass, no extra job."""
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    out = rerank(hits, **kw).observe(
+        obs,
+        F.count(F.lit(1)).alias("kept_rows"),
+        F.sum(F.when(F.col("branch") == "all", 1).otherwise(0)).alias("rows_all"),
+        F.sum(F.when(F.col("branch") == "dominant", 1).otherwise(0)).alias("rows_dominant"),
+        F.sum(F.when(F.col("branch") == "high", 1).otherwise(0)).alias("rows_high"),
+        F.sum(F.when(F.col("rank") == 1, 1).otherwise(0)).alias("queries_answered"),
+    )
+    return out, obs
+
+
 def rerank_trace(hits: DataFrame, **kw) -> DataFrame:
     """One row per usable hit with every intermediate score of both branches.
 

@@ -103,3 +103,11 @@ def test_dedupe_ids_keeps_last(spark):
     assert sorted((r["id"], r["question"]) for r in d) == [(7, "ccccc"), (8, "bbbbb")]
     out = rerank(_hits(spark, rows), dedupe_ids=True, **_injected()).collect()
     assert {r["id"] for r in out} <= {7, 8}
+
+
+def test_observed_rerank(spark):
+    from ranqa.operators.rerank import observed_rerank
+    out, obs = observed_rerank(_hits(spark, HAND), **_injected())
+    rows = out.collect()
+    m = obs.get
+    assert m["kept_rows"] == len(rows) == 2 and m["rows_all"] == 2 and m["queries_answered"] == 1

@@ -13,11 +13,24 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+_DUCK = {}
+_TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(all_queries()))
-def test_no_cross_products(spark, name):
-    plan = _plan(all_queries()[name].build(spark, SF_SMALL))
+def test_no_cross_products_and_oracle_schema(spark, name):
+    q = all_queries()[name]
+    df = q.build(spark, SF_SMALL)
+    plan = _plan(df)
     for op in FORBIDDEN:
         assert op not in plan, f"{name} plans a {op}"
+    if q.sql is not None:
+        from ranqa.plans.oracle_check import duck
+        con = _DUCK.setdefault("con", duck(SF_SMALL))
+        desc = con.execute(f"SELECT * FROM ({q.sql}) LIMIT 0").description
+        assert sorted(df.columns) == sorted(d[0] for d in desc)
+        spark_types = {c: _TYPES.get(t, t) for c, t in df.dtypes}
+        assert spark_types == {d[0]: str(d[1]) for d in desc}
 
 
 def test_rerank_partial_topk_before_shuffle(spark):

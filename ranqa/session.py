@@ -121,6 +121,7 @@ def spread(df: DataFrame, *key_cols: str) -> DataFrame:
     large inputs, which already have many partitions, this is a no-op.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    # partition count of the planned scan, read JVM-side (no Python RDD)
+    if df._jdf.rdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *key_cols) if key_cols else df.repartition(cores)

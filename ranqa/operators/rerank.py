@@ -247,6 +247,18 @@ def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = F
     return top.withColumn("keep", keep)
 
 
+def attach_queries(hits: DataFrame, queries: DataFrame, text_col: str = "query_text") -> DataFrame:
+    """Give each hit its query text from ``queries(query_id, <text_col>)``.
+
+    An N:1 equi-join on the query key; hits of queries missing from the table
+    are dropped.  The query table is not force-broadcast: AQE broadcasts it
+    when its runtime size is small and otherwise splits a hot query's
+    partition of the hits (skew join).
+    """
+    q = queries.select(F.col(KEY), F.col(text_col).alias("query_text"))
+    return hits.drop("query_text").join(q, KEY)
+
+
 def dedupe_hits(hits: DataFrame) -> DataFrame:
     """Keep the last hit (by ``hit_pos``) of each ``(query_id, id)``.
 

@@ -111,3 +111,11 @@ def test_observed_rerank(spark):
     rows = out.collect()
     m = obs.get
     assert m["kept_rows"] == len(rows) == 2 and m["rows_all"] == 2 and m["queries_answered"] == 1
+
+
+def test_attach_queries(spark):
+    from ranqa.operators.rerank import attach_queries
+    hits = _hits(spark, HAND).drop("query_text")
+    queries = spark.createDataFrame([(1, "qqqqq"), (2, "other")], "query_id bigint, query_text string")
+    out = rerank(attach_queries(hits, queries), **_injected()).orderBy("rank").collect()
+    assert [r["id"] for r in out] == [1, 2] and out[0]["query_text"] == "qqqqq"

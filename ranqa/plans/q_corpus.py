@@ -249,6 +249,12 @@ def template_negative(spark, sf):
     return negative_questions(turn_texts(spark, sf, "assistant"), order_cols=["template_id", "turn"])
 
 
+@register("answer_json", "X13 P11: answer objects of every corpus record (entity, tagged labels)",
+          SQL_CORPUS + "SELECT kind, id, entity, labels, answer FROM corpus")
+def answer_json_q(spark, sf):
+    return corpus(spark, sf).select("kind", "id", "entity", "labels", "answer")
+
+
 @register("qa_table", "S6 U3 X13: the merged Q/A table with JSON answers",
           SQL_CORPUS + "SELECT kind, id, question AS Q, answer AS A FROM corpus")
 def qa_table(spark, sf):

@@ -247,16 +247,24 @@ def entropy_gate(merged: DataFrame, flags: DataFrame | None, *, final_k: int = F
     return top.withColumn("keep", keep)
 
 
-def attach_queries(hits: DataFrame, queries: DataFrame, text_col: str = "query_text") -> DataFrame:
+def attach_queries(hits: DataFrame, queries: DataFrame, text_col: str = "query_text",
+                   salt: int = 1) -> DataFrame:
     """Give each hit its query text from ``queries(query_id, <text_col>)``.
 
     An N:1 equi-join on the query key; hits of queries missing from the table
     are dropped.  The query table is not force-broadcast: AQE broadcasts it
     when its runtime size is small and otherwise splits a hot query's
-    partition of the hits (skew join).
+    partition of the hits (skew join).  ``salt > 1`` additionally replicates
+    each query row ``salt`` times and spreads the hits over the salts by
+    ``hit_pos``, for clusters without AQE skew handling.
     """
     q = queries.select(F.col(KEY), F.col(text_col).alias("query_text"))
-    return hits.drop("query_text").join(q, KEY)
+    h = hits.drop("query_text")
+    if salt <= 1:
+        return h.join(q, KEY)
+    q = q.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    h = h.withColumn("_salt", F.pmod(F.xxhash64("hit_pos"), F.lit(salt)))
+    return h.join(q, [KEY, "_salt"]).drop("_salt")
 
 
 def dedupe_hits(hits: DataFrame) -> DataFrame:

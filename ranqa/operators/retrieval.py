@@ -52,7 +52,7 @@ def vector_index(catalog: DataFrame, vectors: DataFrame, *, id_col: str = "id",
 
 
 def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "question",
-                      score_digits: int = 4) -> DataFrame:
+                      score_digits: int = 4, salt: int = 8) -> DataFrame:
     """Hit lists: per group, the member with the smallest id is the query and
     every other member a hit, scored ``round(100*cosine, 4)``.
 
@@ -60,8 +60,11 @@ def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "ques
     ``hit_pos`` is the catalog order (the id), so no window over a group is
     needed.  The anchor table has one row per group; no broadcast is forced:
     AQE measures it at runtime and broadcasts it below
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``, otherwise the join
-    stays a shuffle join whose hot groups AQE's skew handling splits.
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``.  When it stays a
+    shuffle join, the join is salted: each group's single query row is
+    replicated ``salt`` times and the catalog side spread over the salts by
+    a hash of the id, so a group holding a third of the catalog is split over
+    ``salt`` tasks even without AQE's skew handling.
     """
     anchors = index.groupBy(group_col).agg(F.min("id").alias("query_id"))
     queries = (anchors.join(index.select(F.col("id").alias("query_id"),
@@ -69,7 +72,13 @@ def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "ques
                                          F.col("v").alias("qv"), F.col("v_norm").alias("q_norm")),
                             "query_id"))
     score = F.round(F.lit(100.0) * dot("v", "qv") / (F.col("v_norm") * F.col("q_norm")), score_digits)
-    return (index.join(queries, group_col)
+    if salt > 1:
+        queries = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        index = index.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
+        keys = [group_col, "_salt"]
+    else:
+        keys = [group_col]
+    return (index.join(queries, keys)
             .where(F.col("id") != F.col("query_id"))
             .select("query_id", "query_text", F.col("id").alias("hit_pos"), "id",
                     F.col(text_col).alias("question"), score.alias("score"), group_col))

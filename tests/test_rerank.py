@@ -119,3 +119,5 @@ def test_attach_queries(spark):
     queries = spark.createDataFrame([(1, "qqqqq"), (2, "other")], "query_id bigint, query_text string")
     out = rerank(attach_queries(hits, queries), **_injected()).orderBy("rank").collect()
     assert [r["id"] for r in out] == [1, 2] and out[0]["query_text"] == "qqqqq"
+    salted = rerank(attach_queries(hits, queries, salt=4), **_injected()).orderBy("rank").collect()
+    assert [tuple(r) for r in salted] == [tuple(r) for r in out]

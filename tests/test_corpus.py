@@ -186,3 +186,15 @@ def test_read_lines_order_crlf(spark):
     rows = read_lines(spark, p).orderBy("line_no").collect()
     assert [r["value"] for r in rows] == lines
     assert [r["line_no"] for r in rows] == list(range(3000))
+
+
+def test_aho_corasick_path_matches_native(spark, monkeypatch):
+    import ranqa.operators.tagger as tg
+    lex = [("L1", ["ab", "abc", "bc"]), ("L2", ["x", "资费"]), ("L3", ["zz"])]
+    texts = [("abc x",), ("资费标准",), ("nothing",), ("zzz ab",), (None,)]
+    df = spark.createDataFrame(texts, "t string")
+    native = [r[0] for r in df.select(tg.keyword_hits("t", lex)).collect()]
+    monkeypatch.setattr(tg, "MAX_LITERAL_KEYWORDS", 0)
+    ac = [r[0] for r in df.select(tg.keyword_hits("t", lex)).collect()]
+    assert native[:4] == ac[:4]
+    assert ac[0] == ["L1", "L1", "L1", "L2"]

@@ -72,6 +72,8 @@ def export_finetuning(qa: DataFrame, out_dir: str, *, fraction: float = VAL_FRAC
     if keys is None:
         keys = [c for c in ("kind", "id") if c in qa.columns]
         if not keys:
+            # a Q/A table without a key: row ids of the scan (stable across
+            # the split's passes, which re-read the same files)
             qa = qa.withColumn("_row", F.monotonically_increasing_id())
             keys = ["_row"]
     split = finetune_split(qa, keys, fraction=fraction, seed=seed, exact=exact)

@@ -36,17 +36,30 @@ def val_count(n: int, fraction: float = VAL_FRACTION) -> int:
 
 
 def exact_split(df: DataFrame, keys: list[str], *, fraction: float = VAL_FRACTION,
-                seed: int = DEFAULT_SEED, out_col: str = "split") -> DataFrame:
-    """Label rows ``'val'`` (the ``ceil(fraction*n)`` smallest split keys) or ``'train'``."""
-    # several passes follow (count, histogram, k-th key, labelling): read the
-    # input once into the shared checkpoint folder instead of recomputing it
-    h = cut_lineage(df.withColumn("_h", split_key(keys, seed)))
-    n = h.count()
+                seed: int = DEFAULT_SEED, out_col: str = "split", materialize: bool = False) -> DataFrame:
+    """Label rows ``'val'`` (the ``ceil(fraction*n)`` smallest split keys) or ``'train'``.
+
+    Only the key columns and their hash are written to the checkpoint folder
+    (a column-pruned pass over the input); the count, the histogram and the
+    k-th key read that narrow copy, and the input itself is read once more
+    to attach the label, so a stored table is never copied.  For an
+    expensive derived input pass ``materialize=True``: it is then written
+    once to the checkpoint folder and every pass reads that copy.  The input
+    must be deterministic (a table, or keyed generation).
+    """
+    if materialize:
+        base = cut_lineage(df.withColumn("_h", split_key(keys, seed)))   # one full copy
+        narrow = base.select(*keys, "_h")
+    else:
+        base = df.withColumn("_h", split_key(keys, seed))                # re-read at the end
+        narrow = cut_lineage(df.select(*keys).withColumn("_h", split_key(keys, seed)))
+    n = narrow.count()
     k = val_count(n, fraction)
     if k == 0:
         return df.withColumn(out_col, F.lit("train"))
-    h = h.withColumn("_b", F.shiftright(F.col("_h"), _BUCKET_SHIFT))
-    hist = sorted((r["_b"], r["n"]) for r in h.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
+    narrow = narrow.withColumn("_b", F.shiftright(F.col("_h"), _BUCKET_SHIFT))
+    hist = sorted((r["_b"], r["n"]) for r in
+                  narrow.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
     below, bucket, rem = 0, None, 0
     for b, c in hist:
         if below + c >= k:
@@ -54,13 +67,14 @@ def exact_split(df: DataFrame, keys: list[str], *, fraction: float = VAL_FRACTIO
             break
         below += c
     order = [F.col("_h")] + [F.col(c) for c in keys]
-    kth = (h.where(F.col("_b") == bucket).select(F.struct(*order).alias("_s"))
+    kth = (narrow.where(F.col("_b") == bucket).select(F.struct(*order).alias("_s"))
            .orderBy("_s").limit(rem).agg(F.max("_s").alias("_t")).collect()[0]["_t"])
-    types = {f.name: f.dataType for f in h.schema.fields}
+    types = {f.name: f.dataType for f in narrow.schema.fields}
     names = ["_h", *keys]
     threshold = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(names, kth)])
-    return (h.withColumn(out_col, F.when(F.struct(*order) <= threshold, F.lit("val")).otherwise(F.lit("train")))
-            .drop("_h", "_b"))
+    return (base.withColumn(out_col, F.when(F.struct(*order) <= threshold, F.lit("val"))
+                            .otherwise(F.lit("train")))
+            .drop("_h"))
 
 
 def hash_split(df: DataFrame, keys: list[str], *, fraction: float = VAL_FRACTION,
@@ -79,8 +93,11 @@ def keyed_shuffle(df: DataFrame, keys: list[str], *, seed: int = DEFAULT_SEED,
 
 
 def finetune_split(qa: DataFrame, keys: list[str], *, fraction: float = VAL_FRACTION,
-                   seed: int = DEFAULT_SEED, exact: bool = True) -> DataFrame:
+                   seed: int = DEFAULT_SEED, exact: bool = True, materialize: bool = False) -> DataFrame:
     """Q/A rows -> ``split, query, response, shuffle_key`` ordered for export."""
-    labelled = (exact_split if exact else hash_split)(qa, keys, fraction=fraction, seed=seed)
+    if exact:
+        labelled = exact_split(qa, keys, fraction=fraction, seed=seed, materialize=materialize)
+    else:
+        labelled = hash_split(qa, keys, fraction=fraction, seed=seed)
     renamed = labelled.select(*keys, "split", F.col("Q").alias("query"), F.col("A").alias("response"))
     return keyed_shuffle(renamed, keys, seed=seed, partition_cols=["split"])

@@ -296,7 +296,8 @@ SELECT kind, id, CASE WHEN rn <= ceil({VAL_FRACTION} * n) THEN 'val' ELSE 'train
        Q AS query, A AS response, {sql_hash60(SEED, q('shuffle'), 'kind', 'id')} AS shuffle_key
 FROM ranked""")
 def split_exact(spark, sf):
-    return finetune_split(_qa(spark, sf), ["kind", "id"], seed=SEED)
+    # the input is the generated corpus (expensive to re-derive): materialise it once
+    return finetune_split(_qa(spark, sf), ["kind", "id"], seed=SEED, materialize=True)
 
 
 _HASH_CUT = int(VAL_FRACTION * (1 << 60))
@@ -329,7 +330,8 @@ def split_sizes(spark, sf):
     out = []
     for src, df, keys in (("corpus", qa, ["kind", "id"]), ("turns", turns, ["conv_id", "turn"])):
         for mode, fn in (("exact", exact_split), ("hash", hash_split)):
-            out.append(fn(df, keys, seed=SEED).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+            kw = {"materialize": True} if fn is exact_split and src == "corpus" else {}
+            out.append(fn(df, keys, seed=SEED, **kw).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
                        .select(F.lit(src).alias("source"), F.lit(mode).alias("mode"), "split", "n"))
     res = out[0]
     for o in out[1:]:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ranqa.functions.text import strip_whitespace
 from ranqa.operators.split import (VAL_FRACTION, exact_split, finetune_split, hash_split,
-                                   keyed_shuffle, val_count)
+                                   keyed_shuffle)
 from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
                                        expand_advanced, expand_base, indexed_entities, negative_questions,
                                        no_entity_questions, union_corpus, with_records)
 from ranqa.plans.registry import register
-from ranqa.plans.sql_common import (q, sql_answer, sql_hash32, sql_hash60, sql_keyword_hits, sql_list,
+from ranqa.plans.sql_common import (q, sql_answer, sql_hash60, sql_keyword_hits, sql_list,
                                     sql_strip_ws, sql_tag_labels, sql_tag_string)
 from ranqa.session import spread
 from ranqa.sources.catalog import column_union, distinct_catalog

@@ -330,3 +330,11 @@ def rerank_trace(hits: DataFrame, **kw) -> DataFrame:
     return (st.usable.select(KEY, "hit_pos", "id", "question", "score")
             .join(st.stats.select(KEY, "cos_min", "cos_max"), KEY, "left")
             .join(per_hit, [KEY, "hit_pos"], "left"))
+
+
+def preview_trace(trace: DataFrame, n: int = 10, order_col: str = "hit_pos") -> DataFrame:
+    """The first ``n`` trace rows of every query (the per-query preview the
+    step-by-step log printed); a ``row_number() <= n`` cut, planned as a
+    partial top-n before the shuffle."""
+    w = Window.partitionBy(KEY).orderBy(F.col(order_col).asc())
+    return trace.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -121,3 +121,11 @@ def test_attach_queries(spark):
     assert [r["id"] for r in out] == [1, 2] and out[0]["query_text"] == "qqqqq"
     salted = rerank(attach_queries(hits, queries, salt=4), **_injected()).orderBy("rank").collect()
     assert [tuple(r) for r in salted] == [tuple(r) for r in out]
+
+
+def test_preview_trace(spark):
+    from ranqa.operators.rerank import preview_trace, rerank_trace
+    rows = [(p, 100 + p, f"t{p % 3}", float(20 + p), 60, 50) for p in range(1, 15)]
+    t = rerank_trace(_hits(spark, rows), **_injected())
+    prev = preview_trace(t, n=10).collect()
+    assert sorted(r["hit_pos"] for r in prev) == list(range(1, 11))

@@ -43,14 +43,24 @@ def assemble_corpus(spark: SparkSession, *, base_path: str, advanced_path: str,
 
 def export_corpus(corpus: DataFrame, out_dir: str, *, seed: int = DEFAULT_SEED,
                   prompt: str = SYSTEM_PROMPT) -> dict[str, int]:
-    """Write the chat records (each kind shuffled, kinds in corpus order) as
-    JSONL and the Q/A table as parquet; return record counts per kind and total."""
-    shuffled = keyed_shuffle(corpus, ["kind", "id"], seed=seed, partition_cols=["kind_ord"])
+    """Write the Q/A table as parquet, then, reading that table back, the chat
+    records (each kind shuffled, kinds in corpus order) as JSONL; return
+    record counts per kind and total.
+
+    The corpus is generated once: the written table is the hand-off for the
+    shuffled export (whose range sort reads its input twice) and the counts.
+    """
+    spark = corpus.sparkSession
+    qa_path = os.path.join(out_dir, "qa")
+    (corpus.select("kind", "kind_ord", "id", F.col("question").alias("Q"), F.col("answer").alias("A"))
+     .write.mode("overwrite").parquet(qa_path))
+    qa = spark.read.parquet(qa_path)
+    shuffled = keyed_shuffle(qa.select("kind", "kind_ord", "id", F.col("Q").alias("question"),
+                                       F.col("A").alias("answer")),
+                             ["kind", "id"], seed=seed, partition_cols=["kind_ord"])
     records = with_records(shuffled, prompt).select(F.col("record.*"))
     write_jsonl(records, os.path.join(out_dir, "conversations"))
-    qa = corpus.select("kind", "id", F.col("question").alias("Q"), F.col("answer").alias("A"))
-    qa.write.mode("overwrite").parquet(os.path.join(out_dir, "qa"))
-    counts = {r["kind"]: r["n"] for r in corpus.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["kind"]: r["n"] for r in qa.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts["total"] = sum(counts.values())
     return counts
 

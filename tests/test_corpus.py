@@ -198,3 +198,19 @@ def test_aho_corasick_path_matches_native(spark, monkeypatch):
     ac = [r[0] for r in df.select(tg.keyword_hits("t", lex)).collect()]
     assert native[:4] == ac[:4]
     assert ac[0] == ["L1", "L1", "L1", "L2"]
+
+
+def test_read_any_formats(spark):
+    from ranqa.sources.tables import read_any
+    d = tempfile.mkdtemp(prefix="ranqa-test-")
+    with open(os.path.join(d, "a.csv"), "w", encoding="utf-8") as f:
+        f.write("Q,A\n云手机,x\n宽带,y\n")
+    with open(os.path.join(d, "b.jsonl"), "w", encoding="utf-8") as f:
+        f.write('{"Q": "云电脑", "A": "z"}\n')
+    with open(os.path.join(d, "c.txt"), "w", encoding="utf-8") as f:
+        f.write("l1\n\nl3\n")
+    assert sorted(r["Q"] for r in read_any(spark, os.path.join(d, "a.csv")).collect()) == sorted(["宽带", "云手机"])
+    assert [r["Q"] for r in read_any(spark, os.path.join(d, "b.jsonl")).collect()] == ["云电脑"]
+    assert read_any(spark, os.path.join(d, "c.txt")).count() == 3
+    cat = column_union([read_any(spark, os.path.join(d, "a.csv")), read_any(spark, os.path.join(d, "b.jsonl"))], "Q")
+    assert cat.count() == 3

@@ -129,19 +129,25 @@ def rerank_fuzzy(spark, sf):
 @register("rerank_trace", "S10: every intermediate score per usable hit",
           with_rerank(f"""
 SELECT u.query_id, u.hit_pos, u.id, u.question, u.score, s.cos_min, s.cos_max,
-       c.cos_rank, {s6('c.cos_norm')} AS cos_norm, c.partial, {s6('c.cos_contrib')} AS cos_contrib,
-       f.fuzzy, f.fuzzy_rank, {s6('f.fuzzy_norm')} AS fuzzy_norm, {s6('f.penalty')} AS penalty,
-       {s6('f.fuz_score')} AS fuz_score, f.pen_rank, {s6('f.fuz_contrib')} AS fuz_contrib
+       CAST(c.cos_rank AS DOUBLE) AS cos_rank, {s6('c.cos_norm')} AS cos_norm,
+       CAST(c.partial AS DOUBLE) AS partial, {s6('c.cos_contrib')} AS cos_contrib,
+       CAST(f.fuzzy AS DOUBLE) AS fuzzy, CAST(f.fuzzy_rank AS DOUBLE) AS fuzzy_rank,
+       {s6('f.fuzzy_norm')} AS fuzzy_norm, {s6('f.penalty')} AS penalty,
+       {s6('f.fuz_score')} AS fuz_score, CAST(f.pen_rank AS DOUBLE) AS pen_rank,
+       {s6('f.fuz_contrib')} AS fuz_contrib
 FROM usable u LEFT JOIN stats s USING (query_id)
 LEFT JOIN cosine2 c ON c.query_id = u.query_id AND c.hit_pos = u.hit_pos
 LEFT JOIN (SELECT * FROM fuzzy WHERE query_id IN (SELECT query_id FROM stats)) f
   ON f.query_id = u.query_id AND f.hit_pos = u.hit_pos"""))
 def rerank_trace_q(spark, sf):
+    # ranks and integer scores are NULL for hits outside a top-limit list;
+    # reported as double so a missing value converts alike in every engine
     t = rerank_trace(brand_hits(spark, sf))
-    return t.select("query_id", "hit_pos", "id", "question", "score", "cos_min", "cos_max", "cos_rank",
-                    r6("cos_norm").alias("cos_norm"), "partial", r6("cos_contrib").alias("cos_contrib"),
-                    "fuzzy", "fuzzy_rank", r6("fuzzy_norm").alias("fuzzy_norm"), r6("penalty").alias("penalty"),
-                    r6("fuz_score").alias("fuz_score"), "pen_rank", r6("fuz_contrib").alias("fuz_contrib"))
+    d = {c: F.col(c).cast("double").alias(c) for c in ("cos_rank", "partial", "fuzzy", "fuzzy_rank", "pen_rank")}
+    return t.select("query_id", "hit_pos", "id", "question", "score", "cos_min", "cos_max", d["cos_rank"],
+                    r6("cos_norm").alias("cos_norm"), d["partial"], r6("cos_contrib").alias("cos_contrib"),
+                    d["fuzzy"], d["fuzzy_rank"], r6("fuzzy_norm").alias("fuzzy_norm"), r6("penalty").alias("penalty"),
+                    r6("fuz_score").alias("fuz_score"), d["pen_rank"], r6("fuz_contrib").alias("fuz_contrib"))
 
 
 @register("agreement_flag", "A5 A6 D6: arg-max of both lists and the agreement flag",

@@ -10,11 +10,12 @@ Four generators, one DataFrame each, all with the same output columns
 * ``no_entity_questions``: each template once, entity ``''``, labels tagged;
 * ``negative_questions``: each text once, entity and labels ``''``.
 
-Labels are tagged on the *template*, never on the filled text.  Draws are
-keyed hashes of ``(seed, kind, sample_no, template_id, slot)``: reproducible,
-independent of partitioning, and a re-run task draws the same values.  The
-sample axis is a generator (``explode(sequence)``), not a join, and the
-entity lookup is an equi-join on a dense catalog index.
+Labels are tagged on the *template*, never on the filled text.  Each row's
+draws are the four 32-bit slices of one md5 digest of
+``(seed, kind, sample_no, template_id)``: reproducible, independent of
+partitioning, and a re-run task draws the same values.  The sample axis is a
+generator (``explode(sequence)``), not a join, and the entity lookup is an
+equi-join on a dense catalog index.
 """
 
 from __future__ import annotations

@@ -214,3 +214,15 @@ def test_read_any_formats(spark):
     assert read_any(spark, os.path.join(d, "c.txt")).count() == 3
     cat = column_union([read_any(spark, os.path.join(d, "a.csv")), read_any(spark, os.path.join(d, "b.jsonl"))], "Q")
     assert cat.count() == 3
+
+
+def test_keyed_draw_helpers(spark):
+    from ranqa.functions.keyed import digest_slice, keyed_choice_index, keyed_digest, keyed_randint
+    df = spark.range(5000).select(keyed_randint(2015, 2023, 42, F.col("id")).alias("y"),
+                                  keyed_choice_index(34, 42, F.col("id")).alias("c"),
+                                  digest_slice(keyed_digest(42, F.col("id")), 3).alias("s"))
+    r = df.agg(F.min("y"), F.max("y"), F.countDistinct("y"), F.min("c"), F.max("c"), F.max("s")).first()
+    assert (r[0], r[1], r[2]) == (2015, 2023, 9)
+    assert (r[3], r[4]) == (0, 33) and r[5] < 2 ** 32
+    again = spark.range(5000).repartition(7).select(keyed_randint(2015, 2023, 42, F.col("id")).alias("y"))
+    assert sorted(x[0] for x in again.collect()) == sorted(x[0] for x in df.select("y").collect())

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # Row bound under which a derived (not literal) dimension is broadcast.  Above
@@ -23,23 +25,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     active = SparkSession.getActiveSession()
     if active is not None:
         return prepare(active)
-    master = master or os.environ.get("RANQA_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("RANQA_SHUFFLE_PARTITIONS", "8"))
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("RANQA_DRIVER_MEMORY", "8g"))
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ranqa-ckpt-"))
-        .getOrCreate()
-    )
+    # what spark-submit hands over is in a SparkConf made after the JVM's start; only missing keys get a default
+    if "PYSPARK_GATEWAY_PORT" in os.environ or "PYSPARK_SUBMIT_ARGS" in os.environ:
+        SparkContext._ensure_initialized()
+        given = SparkConf()
+    else:
+        given = SparkConf(loadDefaults=False)
+    wanted = {
+        "spark.master": master or os.environ.get("RANQA_MASTER", "local[8]"),
+        "spark.app.name": app_name,
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    }
+    parts = shuffle_partitions or os.environ.get("RANQA_SHUFFLE_PARTITIONS")
+    if parts or not given.contains("spark.master"):
+        wanted["spark.sql.shuffle.partitions"] = str(parts or 8)
+    if not given.contains("spark.master"):
+        wanted["spark.driver.memory"] = os.environ.get("RANQA_DRIVER_MEMORY", "8g")
+    missing = {k: v for k, v in wanted.items() if not given.contains(k)}
+    spark = SparkSession.builder.config(map=missing).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
     return spark
@@ -86,14 +91,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     fresh temporary folder stands in for it.
     """
     sc = spark.sparkContext
+    present = sc._jsc.sc().getCheckpointDir()
+    if present.isDefined():
+        return str(present.get())
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        # only reached on a session built without one (tests, notebooks)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # only reached on a local session built without one (tests, notebooks)
         current = tempfile.mkdtemp(prefix="ranqa-ckpt-")
     sc.setCheckpointDir(current)
     return current
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the
+    cluster names one, otherwise the checkpoint folder the session has."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
+
+
+def write_shared(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage,
+    prunes columns on re-reads and survives lost executors.  The folder's clean-up
+    is the cluster's (results that are still lazy may read it)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/ranqa-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

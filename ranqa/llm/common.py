@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is broadcast only after its row count was checked against this bound.
 BROADCAST_ROWS = 50_000
@@ -55,3 +59,69 @@ def binary_views(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     off = np.frombuffer(bufs[1], dtype=np.int64 if wide else np.int32)[arr.offset: arr.offset + len(arr) + 1]
     data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
     return data, off.astype(np.int64)
+
+
+def append_columns(df: DataFrame, inputs: list[str], schema: T.StructType, make: Callable[[], Callable]) -> DataFrame:
+    """``df`` plus the columns of ``schema`` in one pass without a shuffle.
+
+    ``make()`` is called once per task and returns a function from the Arrow arrays of
+    ``inputs`` to one Arrow array per new column.  Columns of ``df`` with a new column's name are replaced.
+    """
+    keep = [c for c in df.columns if c not in schema.names]
+    given = [F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]
+    src = df.select(*given, *[F.col(f"`{c}`") for c in keep])
+    out = T.StructType([*[df.schema[c] for c in keep], *schema.fields])
+    n = len(inputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[n:], *fn(*b.columns[:n])], names=out.names)
+
+    return src.mapInArrow(run, out)
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash of its lower-case form; remembers at most ``limit`` words.
+
+    ``bare`` strips everything but letters and digits first (a word of signs only hashes to 0).
+    """
+
+    def __init__(self, bare: bool = False, limit: int = 500_000):
+        super().__init__()
+        self.bare, self.limit = bare, limit
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        w = word.lower()
+        if self.bare:
+            w = "".join(filter(str.isalnum, w))
+        self[word] = h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 if w else 0
+        return h
+
+    def tokens(self, text: str | None) -> np.ndarray:
+        """Hashes of the words between white space, words without a hash left out."""
+        words = (text or "").split()
+        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return out[out != 0] if self.bare else out
+
+
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
+def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hash of every run of ``n`` tokens (prefix sums modulo 2**64, then scrambled)."""
+    if len(tokens) < n:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(len(tokens) + 1, np.uint64)
+    np.cumsum(tokens * powers(BASE, len(tokens)), out=sums[1:], dtype=np.uint64)
+    return mix64((sums[n:] - sums[:-n]) * powers(INVERSE, len(tokens))[: len(tokens) - n + 1])

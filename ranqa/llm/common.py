@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,41 +81,23 @@ def append_columns(df: DataFrame, inputs: list[str], schema: T.StructType, make:
     return src.mapInArrow(run, out)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash of its lower-case form; remembers at most ``limit`` words.
-
-    ``bare`` strips everything but letters and digits first (a word of signs only hashes to 0).
-    """
-
-    def __init__(self, bare: bool = False, limit: int = 500_000):
-        super().__init__()
-        self.bare, self.limit = bare, limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        w = word.lower()
-        if self.bare:
-            w = "".join(filter(str.isalnum, w))
-        self[word] = h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) | 1 if w else 0
-        return h
-
-    def tokens(self, text: str | None) -> np.ndarray:
-        """Hashes of the words between white space, words without a hash left out."""
-        words = (text or "").split()
-        out = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-        return out[out != 0] if self.bare else out
-
-
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    if n:
+    """``base`` to the powers 0 .. n-1 modulo 2**64; the longest list so far is kept (up to a bound)."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        out = np.full(max(n, 4096), np.uint64(base))
         out[0] = 1
-    return np.multiply.accumulate(out, dtype=np.uint64)
+        known = np.multiply.accumulate(out, dtype=np.uint64)
+        if len(known) <= 4_000_000:
+            _POWERS[base] = known
+    return known[:n]
 
 
 def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
@@ -125,3 +107,49 @@ def rolling(tokens: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(tokens * powers(BASE, len(tokens)), out=sums[1:], dtype=np.uint64)
     return mix64((sums[n:] - sums[:-n]) * powers(INVERSE, len(tokens))[: len(tokens) - n + 1])
+
+
+_SPACE, _SIGN, _OTHER = 1, 0, 2
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[[i for i in range(128) if not chr(i).isalnum()]] = _SIGN
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+
+
+def tokens(texts: pa.Array, bare: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of the lower-case words of every text, words being what ASCII white space separates.
+
+    ``bare`` leaves out signs (ASCII characters that are neither letters nor digits) and words that hold
+    nothing else.  Null texts have no words.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    data, off = binary_views(pc.utf8_lower(pc.fill_null(texts, "")))
+    out: list[np.ndarray] = []
+    first = 0
+    while first < len(off) - 1:  # documents in groups of about a megabyte
+        last = max(first + 1, int(np.searchsorted(off, off[first] + (1 << 20), "right")) - 1)
+        out += _tokens_of(data[off[first]:off[last]], off[first:last + 1] - off[first], bare)
+        first = last
+    return out
+
+
+def _tokens_of(b: np.ndarray, off: np.ndarray, bare: bool) -> list[np.ndarray]:
+    kind = _CLASS[b]
+    if bare:
+        keep = kind != _SIGN
+        off = np.concatenate([[0], np.cumsum(keep)])[off]
+        b, kind = b[keep], kind[keep]
+    space = np.empty(len(b) + 2, bool)
+    space[0] = space[-1] = True
+    np.equal(kind, _SPACE, out=space[1:-1])
+    starts = ~space[1:-1] & space[:-2]
+    ends = space[2:] & ~space[1:-1]  # at the last byte of a word
+    inner = off[(off > 0) & (off < len(b))]  # a document's end ends a word
+    starts[inner] |= ~space[1:-1][inner]
+    ends[inner - 1] |= ~space[1:-1][inner - 1]
+    s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(b)), out=sums[1:])
+    h = mix64((sums[e] - sums[s]) * powers(INVERSE, len(b) + 1)[s])
+    at = np.searchsorted(s, off)
+    return [h[i:j] for i, j in zip(at[:-1], at[1:])]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.llm.common import WordHashes, append_columns, rolling, row_key, table
+from ranqa.llm.common import append_columns, rolling, row_key, table, tokens
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
 #: benchmark characters up to which the item side is broadcast
@@ -84,20 +84,24 @@ class Items:
     """Benchmark items with their seeds sorted for lookups."""
 
     def __init__(self, rows: list[tuple[int, str | None]], min_match: int):
-        words = WordHashes(bare=True)
         self.ids = [i for i, _ in rows]
-        self.tokens = [words.tokens(t) for _, t in rows]
+        self.tokens = tokens(pa.array([t for _, t in rows], pa.string()), bare=True)
         seeds = [rolling(t, min_match) for t in self.tokens]
         flat = np.concatenate([*seeds, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(rows)), [len(x) for x in seeds])
         place = np.concatenate([*(np.arange(len(x)) for x in seeds), np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(flat, kind="stable")
         self.seeds, self.owner, self.place = flat[order], owner[order], place[order]
+        # low bits of the seeds: most runs of a clean document end here
+        self.low = np.uint64((1 << max(16, (8 * len(flat)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.low) + 1, bool)
+        self.maybe[(flat & self.low).astype(np.int64)] = True
 
     def coverage(self, doc: np.ndarray, min_match: int, min_coverage: float) -> list[tuple[int, float]]:
         """(item id, coverage) of the items that reach ``min_coverage`` in a document."""
-        h = np.unique(rolling(doc, min_match))
-        if not len(h) or not len(self.seeds):
+        h = rolling(doc, min_match)
+        h = np.unique(h[self.maybe[(h & self.low).view(np.int64)]])
+        if not len(h):
             return []
         lo, hi = np.searchsorted(h, self.seeds), np.searchsorted(h, self.seeds, "right")
         hit = hi > lo
@@ -134,9 +138,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         rows = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])
 
         def make():
-            known, words = Items(rows.value, min_match), WordHashes(bare=True)
-            return lambda texts: _summary([known.coverage(words.tokens(t.as_py()), min_match, min_coverage)
-                                           for t in texts])
+            known = Items(rows.value, min_match)
+            return lambda texts: _summary([known.coverage(t, min_match, min_coverage) for t in tokens(texts, bare=True)])
 
         return append_columns(docs, [text], FOUND, make)
     return _by_shuffles(docs, items, doc_id, text, min_match, min_coverage)
@@ -148,9 +151,8 @@ def _by_shuffles(docs: DataFrame, items: DataFrame, doc_id: str, text: str, min_
     seed = T.StructType([T.StructField("seeds", T.ArrayType(T.LongType()))])
 
     def seeds_of():
-        words = WordHashes(bare=True)
-        return lambda texts: [pa.array([np.unique(rolling(words.tokens(t.as_py()), min_match)).view(np.int64)
-                                        for t in texts], pa.list_(pa.int64()))]
+        return lambda texts: [pa.array([np.unique(rolling(t, min_match)).view(np.int64)
+                                        for t in tokens(texts, bare=True)], pa.list_(pa.int64()))]
 
     keyed = docs.withColumn("__key", row_key(F.col(doc_id), F.col(text)))
     d = append_columns(keyed.select("__key", F.col(text).alias("__t")).dropDuplicates(["__key"]), ["__t"], seed, seeds_of)
@@ -162,13 +164,11 @@ def _by_shuffles(docs: DataFrame, items: DataFrame, doc_id: str, text: str, min_
     cover = T.StructType([T.StructField("c", T.DoubleType())])
 
     def tiles():
-        words = WordHashes(bare=True)
-
-        def one(item: str, doc: str) -> float:
-            f = Items([(0, item)], min_match).coverage(words.tokens(doc), min_match, min_coverage)
+        def one(item: str, doc: np.ndarray) -> float:
+            f = Items([(0, item)], min_match).coverage(doc, min_match, min_coverage)
             return f[0][1] if f else 0.0
 
-        return lambda ts, ds: [pa.array([one(a.as_py(), b.as_py()) for a, b in zip(ts, ds)], pa.float64())]
+        return lambda ts, ds: [pa.array([one(a.as_py(), b) for a, b in zip(ts, tokens(ds, bare=True))], pa.float64())]
 
     times = items.groupBy("i", "t").agg(F.count("*").alias("times"))
     found = (append_columns(both, ["t", "__t"], cover, tiles).where(F.col("c") >= min_coverage)

@@ -72,3 +72,24 @@ def test_finds_planted_and_reordered_items_both_ways(spark):
     assert sorted((str(r.doc_id), r.item_ids) for r in rows) == [("4", [3, 3]), ("7", [5]), ("7", [5]), ("None", [0])]
     assert D.decontaminate(docs.limit(0), bench).count() == 0
     assert D.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_tokens_are_the_words():
+    import pyarrow as pa
+
+    from ranqa.llm.common import tokens
+
+    rnd = random.Random(8)
+    texts = [None, "", "a", " a", "a ", "ab", "AB cd", "ab\ncd", "éÉ x-y ... Z"]
+    texts += ["".join(rnd.choice("ab, \n.é") for _ in range(rnd.randrange(40))) for _ in range(400)]
+    texts += ["big " * 400_000, "x"]
+    for bare in (False, True):
+        clean = lambda w: "".join(c for c in w if c.isalnum()) if bare else w  # noqa: E731, B023
+        want = [[w for w in map(clean, (t or "").lower().split()) if w] for t in texts]
+        names: dict[int, str] = {}
+        got = tokens(pa.array(texts), bare)
+        assert [len(g) for g in got] == [len(w) for w in want]
+        for g, w in zip(got, want):
+            for h, word in zip(g.tolist(), w):
+                assert names.setdefault(h, word) == word
+        assert len(names) == len({w for ws in want for w in ws})

@@ -153,3 +153,21 @@ def _tokens_of(b: np.ndarray, off: np.ndarray, bare: bool) -> list[np.ndarray]:
     h = mix64((sums[e] - sums[s]) * powers(INVERSE, len(b) + 1)[s])
     at = np.searchsorted(s, off)
     return [h[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, seed: int = 11,
+                    doc_id: str = "doc_id") -> DataFrame:
+    """The documents of at most ``max_rows`` labelled ids with their label in ``__label``.
+
+    Ids are taken in the order of a keyed hash; ids labelled both ways or with null are left out.
+    The bounded id list is broadcast, so documents are scanned without a shuffle.
+    """
+    ids = (labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).dropna()
+           .groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__max"))
+           .where("__label = __max").drop("__max")
+           .orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(max_rows))
+    return docs.join(F.broadcast(ids), F.col(doc_id) == F.col("__id")).drop("__id")
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1.0 + np.tanh(0.5 * x))

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranqa.llm import chat_format, decontaminate, line_dedup, packing, quality
+from ranqa.llm import chat_format, decontaminate, line_dedup, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat_format.op2_chat_format,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_pii": pii.op4_pii,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,

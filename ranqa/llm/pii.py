@@ -33,7 +33,7 @@ from math import isqrt
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -244,5 +244,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     kinds = ("email", "phone", "card", "ssn", "iban", "ip", "date")
-    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), *[
-        F.size(F.filter("pii", lambda p, k=k: p["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), *map(count, kinds))

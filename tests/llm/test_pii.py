@@ -60,3 +60,8 @@ def test_documents(spark):
     assert got[0] == got[1] and got[2].text is None and got[5].text == "plain"
     assert [(r.doc_id, r.text) for r in P.pseudonymise(out, KEY, back=True).collect()] == [(r[0], r[1]) for r in rows]
     assert P.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_query_counts_kinds(spark):
+    r = P.op4_pii(spark, "/root/testdata/sf0.001").agg({"n_found": "sum", "n_card": "sum", "n_email": "sum"}).first()
+    assert r["sum(n_card)"] > 0 and r["sum(n_email)"] > 0 and r["sum(n_found)"] >= r["sum(n_card)"] + r["sum(n_email)"]

@@ -49,6 +49,7 @@ def content_view(texts: pa.Array) -> np.ndarray:
     """Square roots of the shares of hashed byte pairs, then indicators of text figures."""
     data, off = binary_views(pc.fill_null(texts, ""))
     out = np.zeros((len(off) - 1, BINS), np.float32)
+    kinds = [np.zeros(len(out)) for _ in (_CAPITAL, _SIGN)]
     first = 0
     while first < len(out):  # in groups of about a megabyte
         last = max(first + 1, int(np.searchsorted(off, off[first] + (1 << 20), "right")) - 1)
@@ -57,23 +58,19 @@ def content_view(texts: pa.Array) -> np.ndarray:
         doc = np.repeat(np.arange(last - first), np.diff(rel))
         pair = ((b[:-1] * 256 + b[1:]) * 40503 >> 7) % BINS + doc[:-1] * BINS
         pair = pair[doc[:-1] == doc[1:]]  # not across documents
+        for count, kind in zip(kinds, (_CAPITAL, _SIGN)):
+            count[first:last] = np.bincount(doc[kind[b]], minlength=last - first)
         out[first:last] = np.bincount(pair, minlength=(last - first) * BINS).reshape(-1, BINS)
         first = last
-    total = out.sum(axis=1, keepdims=True)
-    # a few bytes say little: their shares shrink
-    shares = np.sqrt(out / (total + SMALL_TEXT), dtype=np.float32)
-    return np.concatenate([shares, _text_figures(data, off, tokens(texts))], axis=1)
-
-
-def _text_figures(data: np.ndarray, off: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
-    """Indicators of the shares of repeated words, capitals and signs."""
-    n = len(words)
-    again = np.array([(w[1:] == w[:-1]).sum() / (len(w) + 5) for w in words])
-    size = np.diff(off) + 20.0
-    figures = [again]
-    for kind in (_CAPITAL, _SIGN):
-        sums = np.concatenate([[0], np.cumsum(kind[data[off[0]:off[-1]]], dtype=np.int64)]) if n else np.zeros(1)
-        figures.append(np.diff(sums[off - off[0]]) / size)
+    out /= out.sum(axis=1, keepdims=True) + SMALL_TEXT  # a few bytes say little: their shares shrink
+    np.sqrt(out, out=out)
+    again = np.array([(w[1:] == w[:-1]).sum() / (len(w) + 5) for w in tokens(texts)])
+    return np.concatenate([out, _steps([again, *(c / (np.diff(off) + 20.0) for c in kinds)])], axis=1)
+
+
+def _steps(figures: list[np.ndarray]) -> np.ndarray:
+    """Indicators of the step that each figure is in."""
+    n = len(figures[0])
     block = np.zeros((n, len(figures), len(_STEPS) + 1), np.float32)
     for k, f in enumerate(figures):
         block[np.arange(n), k, np.searchsorted(_STEPS, f)] = 1

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranqa.llm import chat_format, decontaminate, line_dedup, packing, pii, quality, toxicity
+from ranqa.llm import chat_format, decontaminate, embedding_dedup, line_dedup, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
+    "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.OP2_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.OP2_SQL, "op5_embedding_dedup": embedding_dedup.OP5_SQL,
+                              "op7_line_dedup": line_dedup.OP7_SQL}

@@ -171,3 +171,47 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
+
+
+def clustered_map(df: DataFrame, keys: list[str], schema: str, make: Callable[[], Callable]) -> DataFrame:
+    """Bring the rows of each key (integer columns) together, sorted, and map many groups per call.
+
+    ``make()`` gives, once per task, a function of an Arrow table and its group bounds (positions
+    where groups begin, with the end appended) that returns an Arrow table.  A call holds whole groups; the caller keeps
+    groups bounded, see :func:`block_pairs`.
+    """
+    src = df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        change = np.zeros(max(len(t) - 1, 0), bool)
+        for k in keys:
+            v = t[k].to_numpy()
+            change |= v[1:] != v[:-1]
+        return np.concatenate([[0], np.flatnonzero(change) + 1, [len(t)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn, held = make(), None
+        for b in batches:
+            if not len(b):
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            at = bounds(t)
+            held = t.slice(at[-2])  # the last group may go on
+            if len(at) > 2:
+                yield from fn(t.slice(0, at[-2]).combine_chunks(), at[:-1]).to_batches()
+        if held is not None:
+            yield from fn(held.combine_chunks(), np.array([0, len(held)])).to_batches()
+
+    return src.mapInArrow(run, schema)
+
+
+def block_pairs(df: DataFrame, blocks: Column, by: Column) -> DataFrame:
+    """Rows of a group dealt into ``blocks`` blocks by the hash of ``by`` and copied to every pair of blocks.
+
+    Adds ``blk`` (the row's block) and the pair ``bi <= bj``: the rows of one (group, bi, bj) are at most two
+    blocks, and any two rows of a group meet in one pair.
+    """
+    dealt = df.withColumn("__nb", blocks.cast("int")).withColumn("blk", F.pmod(F.xxhash64(by), F.col("__nb")).cast("int"))
+    both = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
+    return both.select("*", F.least("blk", "__o").alias("bi"), F.greatest("blk", "__o").alias("bj")).drop("__nb", "__o")

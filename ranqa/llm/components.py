@@ -60,6 +60,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cur = write_shared(_star(_star(cur, True), False))
         state = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == last:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         last = state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranqa.llm import chat_format, decontaminate, embedding_dedup, line_dedup, packing, pii, quality, toxicity
+from ranqa.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_decontaminate": decontaminate.op9_decontaminate,

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Rows that a Python function gets at once: what it makes from them stays small.
+SLICE_ROWS = 2_000
+
 # A side is broadcast only after its row count was checked against this bound.
 BROADCAST_ROWS = 50_000
 
@@ -75,8 +78,10 @@ def append_columns(df: DataFrame, inputs: list[str], schema: T.StructType, make:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[n:], *fn(*b.columns[:n])], names=out.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([*b.columns[n:], *fn(*b.columns[:n])], names=out.names)
 
     return src.mapInArrow(run, out)
 

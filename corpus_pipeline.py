@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranqa.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from ranqa.llm.common import table
+from ranqa.llm.common import maybe_broadcast, table
 from ranqa.session import prepare, write_shared
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -47,7 +47,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
         k = keys.select(F.col("doc_id").alias("__k"), F.col("digest").alias("__d")).distinct()
-        return rows.join(k, (F.col("doc_id") == F.col("__k")) & (F.col("__digest") == F.col("__d")), "left_anti")
+        return rows.join(maybe_broadcast(k), (F.col("doc_id") == F.col("__k")) & (F.col("__digest") == F.col("__d")), "left_anti")
 
     # representatives whose id has several linked rows: one of them stays
     repeated = found.where("doc_id = class_id").groupBy("doc_id").agg(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.llm.common import append_columns, block_pairs, clustered_map, mix64, rolling, table, tokens
+from ranqa.llm.common import append_columns, block_pairs, clustered_map, maybe_broadcast, mix64, rolling, table, tokens
 from ranqa.llm.components import components, local_forest
 from ranqa.session import write_shared
 
@@ -201,12 +201,12 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     inside = (one.select("node", "digest", "w", "runs")
               .join(clusters.select("node", F.col("component").alias("cluster")), "node"))
     sizes = inside.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("runs").alias("all_runs"))
-    inside = inside.join(sizes, "cluster")
+    inside = write_shared(inside.join(sizes, "cluster"))
 
     # verification: every cluster's texts by pairs of blocks
     texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
                         F.col(text).alias("text"))
-    rows = texts.join(inside, ["node", "digest"])
+    rows = texts.join(maybe_broadcast(inside), ["node", "digest"])
     blocks = F.greatest(F.ceil(F.col("rows") / verify_rows), F.ceil(F.col("all_runs") / verify_runs))
     rows = block_pairs(rows, blocks, F.struct("node", "digest"))
 

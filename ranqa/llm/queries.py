@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranqa.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, toxicity
+from ranqa.llm import chat_format, decontaminate, embedding_dedup, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_pii": pii.op4_pii,

@@ -264,13 +264,14 @@ def _hot_stretches(suffixes: DataFrame, length: int) -> DataFrame:
 def covered(keyed: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, digest, start, end): stretches whose every byte is in a repeated string; they may overlap."""
     rows = write_shared(_anchor_rows(keyed, length))
-    twice = rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    # stored sides leave plain exchanges on both sides of the joins, so a hot run's partition can be split
+    twice = write_shared(rows.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"))
     found = write_shared(rows.join(twice, "run"))
     context = ["run", "context", "shape"]
     # contexts: those that occur twice are covered as a whole; one of each goes on
     contexts = write_shared(found.groupBy(*context).agg(
         F.count("*").alias("n"), F.min(F.struct("id", "digest", "first")).alias("rep")))
-    kinds = contexts.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = write_shared(contexts.groupBy("run").agg(F.count("*").alias("kinds")).where("kinds > 1"))
     owned = F.col("shape").bitwiseAND(F.lit(WINDOWS))
     whole = found.join(contexts.where("n > 1").select(*context), context).select(
         "id", "digest", F.col("first").alias("start"), (F.col("first") + owned + (length - 1)).alias("end"))

@@ -39,7 +39,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step on directed rows (u, v): join every neighbour to u's smallest neighbour."""
     both = (edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large
             else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # stored, so the join below has plain exchanges on both sides and a hub's partition can be split
+    low = write_shared(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     near = both.join(low, "u")
     if large:  # neighbours larger than u point to the smallest
         out = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -7,39 +7,16 @@ to the operators directly to batch them).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranqa.functions.fuzzy import wratio_col, partial_ratio_col
-from ranqa.functions.scoring import PENALTY_CAP, PENALTY_K_FAST, PENALTY_K_SLOW, PENALTY_KNEE
 from ranqa.operators.rerank import rerank
 from ranqa.operators.retrieval import fuzzy_catalog_topk
 from ranqa.operators.stopwords import remove_stopwords
-from ranqa.operators.tagger import DEFAULT_LEXICON, Lexicon, lexicon_rows
 from ranqa.operators.templates import SYSTEM_PROMPT
 
-HIT_SCHEMA = "query_id bigint, query_text string, hit_pos bigint, id bigint, question string, score double"
-
-
-def similarity_penalty(s1_length: int, s2_length: int) -> float:
-    """Scalar form of the length penalty (same formula as the Column version)."""
-    d = abs(s1_length - s2_length)
-    factor = 1 - math.exp(-PENALTY_K_SLOW * d) if d <= PENALTY_KNEE else \
-        1 - math.exp(-PENALTY_K_FAST * (d - PENALTY_KNEE))
-    return 1 - max(0.0, min(factor, PENALTY_CAP))
-
-
-def find_values(text: str, lexicon: Lexicon = DEFAULT_LEXICON) -> list[str]:
-    """Labels of the keywords found in ``text`` (lexicon order, duplicates kept)."""
-    return [label for label, _, kw, _ in lexicon_rows(lexicon) if kw in text]
-
-
-def generate_conversation_data(id: int, system_value: str, user_value: str, assistant_value: str) -> dict:
-    return {"id": id, "conversations": [{"from": "system", "value": system_value},
-                                        {"from": "user", "value": user_value},
-                                        {"from": "assistant", "value": assistant_value}]}
+HIT_SCHEMA = "query_id bigint, query_text string, hit_pos bigint, id string, question string, score double"
 
 
 def search_similar_packages(spark: SparkSession, query: str, packages: DataFrame | list[str],
@@ -57,18 +34,24 @@ def search_similar_packages(spark: SparkSession, query: str, packages: DataFrame
 
 
 def search_similar_packages_with_score(spark: SparkSession, Q: str, result: DataFrame | list[dict],
-                                       limit: int = 5) -> DataFrame:
-    """Re-rank one query's hits (``id``, ``question``, ``score``, payload) with
-    the partial-ratio gate and weighted-ratio ranking; returns the kept hits."""
+                                       limit: int = 5) -> DataFrame | list[dict]:
+    """Re-rank one query's hits (``id`` of any type, ``question``, ``score``, payload) with
+    the partial-ratio gate and weighted-ratio ranking.
+
+    A DataFrame gives the kept hits with their payload; a list of dicts gives
+    the kept dicts themselves, in rank order.  Of hits that repeat an id the last counts.
+    """
     if isinstance(result, list):
-        rows = [(0, Q, pos, int(h["id"]), h.get("question"), float(h["score"])) for pos, h in enumerate(result)]
+        rows = [(0, Q, pos, f"{type(h['id']).__name__}:{h['id']}", h.get("question"), float(h["score"]))
+                for pos, h in enumerate(result)]
         hits = spark.createDataFrame(rows, HIT_SCHEMA)
-    else:
-        hits = result
-        if "hit_pos" not in hits.columns:
-            hits = hits.withColumn("hit_pos", F.monotonically_increasing_id())
-        hits = hits.withColumn("query_id", F.lit(0).cast("bigint")).withColumn("query_text", F.lit(Q))
-    return rerank(hits, limit=limit, gate_scorer=partial_ratio_col, rank_scorer=wratio_col)
+        kept = rerank(hits, limit=limit, gate_scorer=partial_ratio_col, rank_scorer=wratio_col, dedupe_ids=True)
+        return [result[r["hit_pos"]] for r in kept.orderBy("rank").select("hit_pos").collect()]   # at most FINAL_K
+    hits = result
+    if "hit_pos" not in hits.columns:
+        hits = hits.withColumn("hit_pos", F.monotonically_increasing_id())
+    hits = hits.withColumn("query_id", F.lit(0).cast("bigint")).withColumn("query_text", F.lit(Q))
+    return rerank(hits, limit=limit, gate_scorer=partial_ratio_col, rank_scorer=wratio_col, dedupe_ids=True)
 
 
 def remove_stopwords_col(text_col: str, stopwords: list[str], dictionary: list[str] | None = None):

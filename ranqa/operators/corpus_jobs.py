@@ -82,10 +82,12 @@ def export_finetuning(qa: DataFrame, out_dir: str, *, fraction: float = VAL_FRAC
     if keys is None:
         keys = [c for c in ("kind", "id") if c in qa.columns]
         if not keys:
-            # a Q/A table without a key: row ids of the scan (stable across
-            # the split's passes, which re-read the same files)
-            qa = qa.withColumn("_row", F.monotonically_increasing_id())
-            keys = ["_row"]
+            # a Q/A table without a key: the content and the number of its
+            # occurrence (equal rows are interchangeable), whatever the file layout
+            qa = (qa.groupBy("Q", "A").agg(F.count(F.lit(1)).alias("_n"))
+                  .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n")
+                  .withColumn("_row", F.xxhash64("Q", "A")))
+            keys = ["_row", "_copy"]
     split = finetune_split(qa, keys, fraction=fraction, seed=seed, exact=exact)
     write_splits(split, out_dir)
     return split

@@ -2,55 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ranqa.session import cut_lineage
-
-
-# dimensions up to this many rows are indexed by one window in one task
-LOCAL_INDEX_ROWS = 100_000
+from ranqa.session import write_shared
 
 
-def dense_index_counted(df: DataFrame, order_cols: list[str], out_col: str = "idx",
-                        local_rows: int = LOCAL_INDEX_ROWS) -> tuple[DataFrame, int]:
-    """``dense_index`` plus the row count, choosing the plan by that count.
-
-    A dimension proven small by the count (at most ``local_rows``) gets a
-    plain ``row_number()`` window; anything larger takes the distributed
-    partition-offset path.
-    """
-    n = df.count()
-    if n <= local_rows:
-        w = Window.orderBy(*order_cols)
-        indexed = df.withColumn(out_col, F.row_number().over(w).cast("bigint") - F.lit(1))
-        # the window leaves one partition; spread the (small) result again so
-        # per-row work downstream runs in parallel
-        parts = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 256 + 1))
-        return indexed.repartition(parts, *order_cols), n
-    return dense_index(df, order_cols, out_col), n
+def dense_index_counted(df: DataFrame, order_cols: list[str], out_col: str = "idx") -> tuple[DataFrame, int]:
+    """``dense_index`` plus the row count."""
+    idx = _positions(df, order_cols, out_col, None)
+    return _attach(df, idx, order_cols, out_col), idx.count()
 
 
 def dense_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
                 num_partitions: int | None = None) -> DataFrame:
     """Attach ``out_col`` = position of each row in ``order_cols`` order (0-based).
 
-    ``order_cols`` must form a unique key.  Rows are range-partitioned and
-    sorted, checkpointed (so partition ids and in-partition positions are
-    fixed), then each row's position is its partition's offset plus its rank
-    inside the partition.  Only the per-partition counts (one row per
-    partition) meet in one place.
+    ``order_cols`` must form a unique key.  Only the keys are range-partitioned
+    and sorted; they are written with their partition and their rank in it
+    (so both are fixed), the partitions' counts give the offsets, and the
+    positions are joined back by key.  Only the counts, one row per
+    partition, meet in one place; text and other columns stay out of it.
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols))
-    tagged = (ordered.withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()
-                          - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    return _attach(df, _positions(df, order_cols, out_col, num_partitions), order_cols, out_col)
+
+
+def _positions(df: DataFrame, order_cols: list[str], out_col: str, num_partitions: int | None) -> DataFrame:
+    keys = df.select(*order_cols)
+    dealt = keys.repartitionByRange(num_partitions, *order_cols) if num_partitions else keys.repartitionByRange(*order_cols)
+    pid = F.spark_partition_id()
+    tagged = write_shared(dealt.sortWithinPartitions(*order_cols).withColumn("_pid", pid).withColumn(
+        "_pos", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = F.broadcast(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")))
-    return (tagged.join(offsets, "_pid")
-            .withColumn(out_col, F.col("_off") + F.col("_pos"))
-            .drop("_pid", "_pos", "_off"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return tagged.join(F.broadcast(offsets), "_pid").select(   # one row per partition
+        *order_cols, (F.col("_off") + F.col("_pos")).alias(out_col))
+
+
+def _attach(df: DataFrame, idx: DataFrame, order_cols: list[str], out_col: str) -> DataFrame:
+    named = idx.select(out_col, *[F.col(c).alias(f"_key{i}") for i, c in enumerate(order_cols)])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(order_cols)])
+    return df.join(named, same).drop(*[f"_key{i}" for i in range(len(order_cols))])

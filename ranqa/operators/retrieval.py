@@ -9,6 +9,7 @@ shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,9 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.session import spread
-
-
 # probes held in every task when scoring the catalog (proven bound)
 MAX_PROBES = 4096
 
@@ -114,7 +112,7 @@ def fuzzy_catalog_topk(probes: DataFrame, catalog: DataFrame, *, k: int = 8,
         chunks = [indexed.where((F.col("_pidx") >= lo) & (F.col("_pidx") < lo + max_probes))
                   .select(probe_id, probe_text).collect()
                   for lo in range(0, n, max_probes)]
-    cat = spread(catalog.select(F.col(cand_id), F.col(cand_text)), cand_id)
+    cat = catalog.select(F.col(cand_id), F.col(cand_text))
     out = None
     for rows in chunks:
         if not rows:
@@ -141,26 +139,40 @@ def _score_chunk(cat: DataFrame, rows, k, scorer, probe_id, probe_text, cand_id,
             .select(probe_id, probe_text, "rank", cand_id, cand_text, "fuzzy"))
 
 
+_ENCODERS: dict[str, Callable] = {}
+
+
+def _encoder(token: str, factory: Callable) -> Callable:
+    """The worker's encoder for one ``encode_texts`` call; an older call's is let go."""
+    if token not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[token] = factory()
+    return _ENCODERS[token]
+
+
 def encode_texts(df: DataFrame, encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]],
                  *, text_col: str = "name", out_col: str = "embedding",
                  batch_size: int = 256) -> DataFrame:
     """Batch-encode a text column with ``mapInPandas``.
 
-    ``encoder_factory`` is called once per Python worker task and returns a
-    function ``list[str] -> ndarray[n, dim]`` (e.g. a sentence encoder); texts
+    ``encoder_factory`` is called once per Python worker process (reused by its
+    tasks; null texts get a null vector) and returns a function ``list[str] -> ndarray[n, dim]`` (e.g. a sentence encoder); texts
     go through it in batches of ``batch_size`` instead of one call per text.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType()))])
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder_factory()
+        encode = _encoder(token, encoder_factory)
         for pdf in batches:
-            texts = pdf[text_col].fillna("").tolist()
+            there = pdf[text_col].notna()
+            texts = pdf.loc[there, text_col].tolist()
             vecs: list[list[float]] = []
             for i in range(0, len(texts), batch_size):
                 arr = np.asarray(encode(texts[i:i + batch_size]), dtype=np.float32)
                 vecs.extend(arr.tolist())
-            yield pdf.assign(**{out_col: vecs})
+            it = iter(vecs)
+            yield pdf.assign(**{out_col: [next(it) if t else None for t in there]})
 
     return df.mapInPandas(run, schema)
 

@@ -3,8 +3,8 @@
 ``exact_split`` gives the validation side exactly ``ceil(fraction * n)`` rows
 (the count rule of the usual test-size split) without a global sort: a
 65,536-bucket histogram of the hash finds the bucket that holds the k-th
-smallest key, only that bucket is ordered, and the k-th key becomes a single
-scalar threshold.  ``hash_split`` is the one-pass variant with the expected
+smallest key, further hash bits refine it until it is small, only that is
+ordered, and the k-th key becomes a single scalar threshold.  ``hash_split`` is the one-pass variant with the expected
 size.  Neither reproduces a library's own permutation; both are stable under
 re-partitioning and re-execution.
 """
@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranqa.functions.keyed import DEFAULT_SEED, keyed_hash60
-from ranqa.session import cut_lineage
+from ranqa.session import write_shared
 
 VAL_FRACTION = 0.001     # fixed value equal to the reference's test size
-_BUCKET_SHIFT = 44       # 60-bit hash -> 16-bit histogram bucket
+_BUCKET_SHIFTS = (44, 28, 12, 0)   # 60-bit hash -> histograms of at most 2^16 buckets each
+_SMALL_BUCKET = 10_000   # rows that may be ordered in one task
 
 
 def split_key(keys: list[str], seed: int = DEFAULT_SEED) -> Column:
@@ -48,26 +49,29 @@ def exact_split(df: DataFrame, keys: list[str], *, fraction: float = VAL_FRACTIO
     must be deterministic (a table, or keyed generation).
     """
     if materialize:
-        base = cut_lineage(df.withColumn("_h", split_key(keys, seed)))   # one full copy
+        base = write_shared(df.withColumn("_h", split_key(keys, seed)))   # one full copy
         narrow = base.select(*keys, "_h")
     else:
         base = df.withColumn("_h", split_key(keys, seed))                # re-read at the end
-        narrow = cut_lineage(df.select(*keys).withColumn("_h", split_key(keys, seed)))
-    n = narrow.count()
-    k = val_count(n, fraction)
-    if k == 0:
-        return df.withColumn(out_col, F.lit("train"))
-    narrow = narrow.withColumn("_b", F.shiftright(F.col("_h"), _BUCKET_SHIFT))
-    hist = sorted((r["_b"], r["n"]) for r in
-                  narrow.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect())
-    below, bucket, rem = 0, None, 0
-    for b, c in hist:
-        if below + c >= k:
-            bucket, rem = b, k - below
+        narrow = write_shared(df.select(*keys).withColumn("_h", split_key(keys, seed)))
+    rest, rem = narrow, None
+    for shift in _BUCKET_SHIFTS:   # the bucket that holds the k-th key, refined until it is small
+        hist = sorted((r["_b"], r["n"]) for r in
+                      rest.groupBy(F.shiftright(F.col("_h"), shift).alias("_b"))
+                      .agg(F.count(F.lit(1)).alias("n")).collect())
+        if rem is None:
+            rem = val_count(sum(c for _, c in hist), fraction)
+            if rem == 0:
+                return df.withColumn(out_col, F.lit("train"))
+        for b, c in hist:
+            if rem <= c:
+                break
+            rem -= c
+        rest = rest.where(F.shiftright(F.col("_h"), shift) == b)
+        if c <= _SMALL_BUCKET:
             break
-        below += c
     order = [F.col("_h")] + [F.col(c) for c in keys]
-    kth = (narrow.where(F.col("_b") == bucket).select(F.struct(*order).alias("_s"))
+    kth = (rest.select(F.struct(*order).alias("_s"))
            .orderBy("_s").limit(rem).agg(F.max("_s").alias("_t")).collect()[0]["_t"])
     types = {f.name: f.dataType for f in narrow.schema.fields}
     names = ["_h", *keys]

@@ -2,17 +2,15 @@
 
 The lexicon is a small dimension (label order, keywords in order).  Tagging
 is a per-row native expression over a literal array of (keyword, label)
-pairs, so it needs no join and stays inside whole-stage codegen; a lexicon
-larger than ``MAX_LITERAL_KEYWORDS`` goes through an Aho-Corasick Arrow UDF
-instead of a per-keyword scan.
+pairs, so it needs no join; the same expression serves a lexicon of any
+size.  A null text holds no keyword (empty list); a keyword that two labels
+share counts for both.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Lexicon = list[tuple[str, list[str]]]
 
@@ -28,8 +26,6 @@ DEFAULT_LEXICON: Lexicon = [
     ("活动规则", ["活动规则", "活动的规则", "规则", "参与规则", "参与的规则"]),
 ]
 
-MAX_LITERAL_KEYWORDS = 2000
-
 
 def lexicon_rows(lexicon: Lexicon) -> list[tuple[str, int, str, int]]:
     """Flatten to (label, label_ord, keyword, keyword_ord) in lexicon order."""
@@ -59,9 +55,7 @@ def _pairs(lexicon: Lexicon) -> Column:
 def keyword_hits(text, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     """One label per keyword found (case-sensitive substring), lexicon order,
     duplicates kept: a label whose two synonyms both occur appears twice."""
-    if len(lexicon_rows(lexicon)) > MAX_LITERAL_KEYWORDS:
-        return _ac_hits_udf(lexicon)(_col(text))
-    t = _col(text)
+    t = F.coalesce(_col(text), F.lit(""))
     return F.transform(F.filter(_pairs(lexicon), lambda p: F.instr(t, p["k"]) > 0), lambda p: p["l"])
 
 
@@ -73,26 +67,3 @@ def tag_labels(text, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
 def tag_string(text, lexicon: Lexicon = DEFAULT_LEXICON, sep: str = ",") -> Column:
     return F.array_join(tag_labels(text, lexicon), sep)
 
-
-def _ac_hits_udf(lexicon: Lexicon):
-    """Aho-Corasick variant for large lexicons (one automaton per Python worker)."""
-    rows = lexicon_rows(lexicon)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def hits(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for label, _, kw, kord in rows:
-            auto.add_word(kw, (kord, label))
-        auto.make_automaton()
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            found = {v for _, v in auto.iter(t)}
-            out.append([label for _, label in sorted(found)])
-        return pd.Series(out)
-
-    return hits

@@ -245,3 +245,17 @@ def union_corpus(parts: list[DataFrame]) -> DataFrame:
         out = out.unionByName(p)
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     return out.withColumn("kind_ord", order)
+
+
+def conversation_regroup(turns: DataFrame) -> DataFrame:
+    """Turn table (conv_id, turn, role, text) -> one record per conversation with every
+    turn: ``conv_id, conversations array<struct<turn, from, value>>`` in turn order
+    (turns that repeat a number follow role and text)."""
+    t = F.struct(F.col("turn"), F.col("role").alias("from"), F.col("text").alias("value"))
+    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(t)).alias("conversations"))
+
+
+def conversation_turns(records: DataFrame) -> DataFrame:
+    """Inverse of :func:`conversation_regroup`."""
+    return records.select("conv_id", F.explode("conversations").alias("t")).select(
+        "conv_id", "t.turn", F.col("t.from").alias("role"), F.col("t.value").alias("text"))

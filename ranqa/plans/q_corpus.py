@@ -10,12 +10,12 @@ from ranqa.operators.split import (VAL_FRACTION, exact_split, finetune_split, ha
                                    keyed_shuffle)
 from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
+                                       conversation_regroup, conversation_turns,
                                        expand_advanced, expand_base, indexed_entities, negative_questions,
                                        no_entity_questions, union_corpus, with_records)
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import (q, sql_answer, sql_hash60, sql_keyword_hits, sql_list,
                                     sql_strip_ws, sql_tag_labels, sql_tag_string)
-from ranqa.session import spread
 from ranqa.sources.catalog import column_union, distinct_catalog
 from ranqa.sources.tables import table
 
@@ -203,7 +203,7 @@ SELECT doc_id, array_to_string({sql_keyword_hits('text', TEST_LEXICON)}, ',') AS
        len({sql_keyword_hits('text', TEST_LEXICON)}) AS n_hits,
        {sql_tag_string('text', TEST_LEXICON)} AS labels FROM documents""")
 def keyword_tags(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     hits = keyword_hits("text", TEST_LEXICON)
     return d.select("doc_id", F.array_join(hits, ",").alias("hits"), F.size(hits).alias("n_hits"),
                     tag_string("text", TEST_LEXICON).alias("labels"))
@@ -214,7 +214,7 @@ SELECT lab AS label, lang, count(*) AS n_docs
 FROM (SELECT lang, unnest({sql_tag_labels('text', TEST_LEXICON)}) AS lab FROM documents)
 GROUP BY lab, lang""")
 def keyword_tag_counts(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
     return (d.select("lang", F.explode(tag_labels("text", TEST_LEXICON)).alias("label"))
             .groupBy("label", "lang").agg(F.count(F.lit(1)).alias("n_docs")))
 
@@ -365,3 +365,39 @@ def turn_records(spark, sf):
     rec = conversation_record((F.col("idx") + 1), F.lit(SYSTEM_PROMPT), "user_text", "assistant_text")
     return pairs.select("conv_id", "turn", (F.col("idx") + 1).alias("id"),
                         F.to_json(rec).alias("record_json"))
+
+
+@register("conversation_regroup", "D18: whole conversations, every turn kept in order", """
+SELECT conv_id, count(*) AS n_turns, string_agg(role, '|' ORDER BY turn, role, text) AS roles,
+       string_agg(text, chr(10) ORDER BY turn, role, text) AS texts
+FROM conversations GROUP BY conv_id""")
+def conversation_regroup_q(spark, sf):
+    g = conversation_regroup(table(spark, sf, "conversations"))
+    return g.select("conv_id", F.size("conversations").alias("n_turns"),
+                    F.array_join(F.col("conversations")["from"], "|").alias("roles"),
+                    F.array_join(F.col("conversations")["value"], "\n").alias("texts"))
+
+
+@register("conversation_turns", "D18 inverse: turns of the regrouped conversations, equal to the turn table",
+          "SELECT conv_id, turn, role, text FROM conversations")
+def conversation_turns_q(spark, sf):
+    return conversation_turns(conversation_regroup(table(spark, sf, "conversations")))
+
+
+# more than 2,000 keywords: all pairs and some triples of letters, each shared by two labels
+BIG_LEXICON = [(f"L{k:02d}", [a + b + c for a in "abcdefghij" for b in "aeiou" for c in chars])
+               for k, chars in enumerate(["abcdefghijk", "hijklmnopqr", "qrstuvwxyz ", "a!?.,:;ghi"])]
+
+
+@register("keyword_tags_large", "D9: over 2,000 keywords, shared keywords, null texts", f"""
+WITH d AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN text END AS t FROM documents),
+kw AS (SELECT unnest({sql_list([kw for _, kws in BIG_LEXICON for kw in kws])}) AS k,
+              unnest({sql_list([lab for lab, kws in BIG_LEXICON for _ in kws])}) AS l),
+hits AS (SELECT doc_id, l FROM d JOIN kw ON contains(d.t, kw.k))
+SELECT d.doc_id, count(h.l) AS n_hits, coalesce(string_agg(DISTINCT h.l, ',' ORDER BY h.l), '') AS labels
+FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id GROUP BY d.doc_id""")
+def keyword_tags_large(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("t"))
+    hits = d.select("doc_id", keyword_hits("t", BIG_LEXICON).alias("hits"))
+    return hits.select("doc_id", F.size("hits").alias("n_hits"),
+                       F.array_join(F.array_distinct("hits"), ",").alias("labels"))

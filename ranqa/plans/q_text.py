@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ranqa.operators.stopwords import TOKEN_PATTERN, drop_stopwords, tokens
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import q, sql_list
-from ranqa.session import spread
 from ranqa.sources.tables import table
 
 # Parameter of the registered query: function words of the driver's four
@@ -29,7 +28,7 @@ def _sql_kept(x: str) -> str:
 SELECT doc_id, len({_sql_tokens('text')}) AS n_tokens, len({_sql_kept('text')}) AS n_kept,
        array_to_string({_sql_kept('text')}, ' ') AS cleaned FROM documents""")
 def stopwords_q(spark, sf):
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     toks = d.select("doc_id", tokens("text").alias("toks"))
     kept = toks.select("doc_id", "toks", drop_stopwords(F.col("toks"), TEST_STOPWORDS).alias("kept"))
     return kept.select("doc_id", F.size("toks").alias("n_tokens"), F.size("kept").alias("n_kept"),

@@ -139,15 +139,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
     n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
-
-def spread(df: DataFrame, *key_cols: str) -> DataFrame:
-    """Hash-repartition ``df`` on ``key_cols`` when it has fewer partitions
-    than the cluster has cores, so CPU-heavy per-row work is not confined to
-    a few tasks (a small single-row-group file scans as one partition).  On
-    large inputs, which already have many partitions, this is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # partition count of the planned scan, read JVM-side (no Python RDD)
-    if df._jdf.rdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *key_cols) if key_cols else df.repartition(cores)

@@ -37,9 +37,11 @@ def read_lines(spark: SparkSession, path: str, *, id_col: str = "line_no",
     numbers without a Python round trip.
     """
     from ranqa.operators.indexing import dense_index_counted
+    from ranqa.session import write_shared
 
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("_mid"),
-                                       F.col("value").alias(value_col))
+    # written once, so the ids of the scan are fixed for every later pass
+    raw = write_shared(spark.read.text(path).select(F.monotonically_increasing_id().alias("_mid"),
+                                                    F.col("value").alias(value_col)))
     indexed, _ = dense_index_counted(raw, ["_mid"], id_col)
     return indexed.select(id_col, value_col)
 

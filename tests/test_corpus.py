@@ -188,16 +188,16 @@ def test_read_lines_order_crlf(spark):
     assert [r["line_no"] for r in rows] == list(range(3000))
 
 
-def test_aho_corasick_path_matches_native(spark, monkeypatch):
+def test_one_tagger_at_every_lexicon_size(spark):
     import ranqa.operators.tagger as tg
-    lex = [("L1", ["ab", "abc", "bc"]), ("L2", ["x", "资费"]), ("L3", ["zz"])]
+    lex = [("L1", ["ab", "abc", "bc"]), ("L2", ["x", "资费", "ab"]), ("L3", ["zz"])]
     texts = [("abc x",), ("资费标准",), ("nothing",), ("zzz ab",), (None,)]
     df = spark.createDataFrame(texts, "t string")
-    native = [r[0] for r in df.select(tg.keyword_hits("t", lex)).collect()]
-    monkeypatch.setattr(tg, "MAX_LITERAL_KEYWORDS", 0)
-    ac = [r[0] for r in df.select(tg.keyword_hits("t", lex)).collect()]
-    assert native[:4] == ac[:4]
-    assert ac[0] == ["L1", "L1", "L1", "L2"]
+    want = [[lab for lab, kws in lex for k in kws if k in (t or "")] for t, in texts]
+    for more in (0, 2500):
+        big = lex + [("L4", [f"never{i}" for i in range(more)])]
+        assert [r[0] for r in df.select(tg.keyword_hits("t", big)).collect()] == want
+    assert want[0] == ["L1", "L1", "L1", "L2", "L2"] and want[4] == []
 
 
 def test_read_any_formats(spark):

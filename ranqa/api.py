@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranqa.functions.fuzzy import wratio_col, partial_ratio_col
+from ranqa.functions.fuzzy import weighted_ratio, window_ratio
 from ranqa.operators.rerank import rerank
 from ranqa.operators.retrieval import fuzzy_catalog_topk
 from ranqa.operators.stopwords import remove_stopwords
@@ -30,13 +30,13 @@ def search_similar_packages(spark: SparkSession, query: str, packages: DataFrame
         packages = packages.withColumn("id", F.monotonically_increasing_id())
     probes = spark.createDataFrame([(0, query)], "probe_id bigint, probe_text string")
     return fuzzy_catalog_topk(probes, packages.select("id", F.col(text_col).alias("name")),
-                              k=limit, scorer=wratio_col)
+                              k=limit, scorer=weighted_ratio)
 
 
 def search_similar_packages_with_score(spark: SparkSession, Q: str, result: DataFrame | list[dict],
                                        limit: int = 5) -> DataFrame | list[dict]:
     """Re-rank one query's hits (``id`` of any type, ``question``, ``score``, payload) with
-    the partial-ratio gate and weighted-ratio ranking.
+    the substring gate and weighted-ratio ranking.
 
     A DataFrame gives the kept hits with their payload; a list of dicts gives
     the kept dicts themselves, in rank order.  Of hits that repeat an id the last counts.
@@ -45,13 +45,13 @@ def search_similar_packages_with_score(spark: SparkSession, Q: str, result: Data
         rows = [(0, Q, pos, f"{type(h['id']).__name__}:{h['id']}", h.get("question"), float(h["score"]))
                 for pos, h in enumerate(result)]
         hits = spark.createDataFrame(rows, HIT_SCHEMA)
-        kept = rerank(hits, limit=limit, gate_scorer=partial_ratio_col, rank_scorer=wratio_col, dedupe_ids=True)
+        kept = rerank(hits, limit=limit, gate_scorer=window_ratio, rank_scorer=weighted_ratio, dedupe_ids=True)
         return [result[r["hit_pos"]] for r in kept.orderBy("rank").select("hit_pos").collect()]   # at most FINAL_K
     hits = result
     if "hit_pos" not in hits.columns:
         hits = hits.withColumn("hit_pos", F.monotonically_increasing_id())
     hits = hits.withColumn("query_id", F.lit(0).cast("bigint")).withColumn("query_text", F.lit(Q))
-    return rerank(hits, limit=limit, gate_scorer=partial_ratio_col, rank_scorer=wratio_col, dedupe_ids=True)
+    return rerank(hits, limit=limit, gate_scorer=window_ratio, rank_scorer=weighted_ratio, dedupe_ids=True)
 
 
 def remove_stopwords_col(text_col: str, stopwords: list[str], dictionary: list[str] | None = None):

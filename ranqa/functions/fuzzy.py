@@ -1,156 +1,87 @@
-"""String-similarity scorers on top of ``difflib.SequenceMatcher``.
+"""Substring and token scorers as Column expressions over the edit ratio.
 
-The pure-Python helpers score one pair; the ``*_udf`` wrappers are Arrow
-(pandas) UDFs that score a whole batch of pairs per call, so Python only sees
-columnar batches.  Scores are integers 0..100, rounded half-to-even.
-
-Semantics (public behaviour of the classic fuzzy-matching scorers):
-
-* ``ratio``: ``100 * SequenceMatcher(a, b).ratio()``; equal strings 100, an
-  empty side 0.
-* ``partial_ratio``: best ratio of the shorter string against the window of
-  the longer one anchored at each matching block; above .995 counts as 100.
-* ``wratio``: weighted maximum of ratio / partial / token-sort / token-set
-  variants after cleaning, depending on the length ratio of the two strings.
+``window_ratio`` is the best edit ratio of the shorter text against every
+window of its length in the longer one; ``weighted_ratio`` is a weighted
+maximum of the plain, sorted-token and shared-token edit ratios of the
+cleaned texts, windowed when the lengths differ much.  Scores are integers
+0..100; a null side gives null.  No Python runs on executors.
 """
 
 from __future__ import annotations
 
-import re
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-_NON_WORD = re.compile(r"(?ui)\W")
-# characters U+0080..U+00FF are dropped when cleaning in ASCII mode
-_LATIN1_DROP = {i: None for i in range(128, 256)}
-
-
-def _round(x: float) -> int:
-    return int(round(x))
-
-
-def clean(s: str, force_ascii: bool = False) -> str:
-    """Drop Latin-1 supplement (ASCII mode), non-word chars to spaces, lower, strip."""
-    if force_ascii:
-        s = s.translate(_LATIN1_DROP)
-    return _NON_WORD.sub(" ", s).lower().strip()
-
-
-def ratio(a: str | None, b: str | None) -> int:
-    if a is None or b is None:
-        return 0
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    return _round(100 * SequenceMatcher(None, a, b).ratio())
-
-
-def partial_ratio(a: str | None, b: str | None) -> int:
-    if a is None or b is None:
-        return 0
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
-    best = 0.0
-    for i, j, _n in SequenceMatcher(None, short, long_).get_matching_blocks():
-        start = max(j - i, 0)
-        r = SequenceMatcher(None, short, long_[start:start + len(short)]).ratio()
-        if r > 0.995:
-            return 100
-        best = max(best, r)
-    return _round(100 * best)
-
-
-def _sorted_tokens(s: str) -> str:
-    return " ".join(sorted(s.split())).strip()
-
-
-def token_sort_ratio(a: str, b: str, partial: bool = False) -> int:
-    fn = partial_ratio if partial else ratio
-    return fn(_sorted_tokens(a), _sorted_tokens(b))
-
-
-def token_set_ratio(a: str, b: str, partial: bool = False) -> int:
-    if a == b:
-        return 100
-    if not a or not b:
-        return 0
-    t1, t2 = set(a.split()), set(b.split())
-    common = " ".join(sorted(t1 & t2))
-    left = (common + " " + " ".join(sorted(t1 - t2))).strip()
-    right = (common + " " + " ".join(sorted(t2 - t1))).strip()
-    common = common.strip()
-    fn = partial_ratio if partial else ratio
-    return max(fn(common, left), fn(common, right), fn(left, right))
-
-
-def wratio_clean(a: str, b: str) -> int:
-    """Weighted ratio of two already-cleaned strings."""
-    if not a or not b:
-        return 0
-    base = ratio(a, b)
-    len_ratio = max(len(a), len(b)) / min(len(a), len(b))
-    if len_ratio < 1.5:
-        return _round(max(base, token_sort_ratio(a, b) * 0.95, token_set_ratio(a, b) * 0.95))
-    scale = 0.6 if len_ratio > 8 else 0.9
-    return _round(max(
-        base,
-        partial_ratio(a, b) * scale,
-        token_sort_ratio(a, b, partial=True) * 0.95 * scale,
-        token_set_ratio(a, b, partial=True) * 0.95 * scale,
-    ))
-
-
-def wratio(a: str | None, b: str | None) -> int:
-    if a is None or b is None:
-        return 0
-    return wratio_clean(clean(a, True), clean(b, True))
-
-
-def extract_score(query: str | None, choice: str | None) -> int:
-    """Score as the top-k extractor does: the query is cleaned twice
-    (Unicode, then ASCII mode), the candidate once in ASCII mode."""
-    if query is None or choice is None:
-        return 0
-    return wratio_clean(clean(clean(query), True), clean(choice, True))
-
-
-def _pair_udf(fn, name: str):
-    @F.pandas_udf(T.IntegerType())
-    def _udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        # catalog texts repeat a lot within an Arrow batch: score each
-        # distinct pair once per batch
-        memo: dict[tuple[str, str], int] = {}
-        out = []
-        for x, y in zip(a, b):
-            if x is None or y is None:
-                out.append(None)
-                continue
-            v = memo.get((x, y))
-            if v is None:
-                v = memo[(x, y)] = fn(x, y)
-            out.append(v)
-        return pd.Series(out, dtype="Int32")
-
-    _udf.__name__ = name
-    return _udf
-
-
-partial_ratio_udf = _pair_udf(partial_ratio, "partial_ratio")
-wratio_udf = _pair_udf(extract_score, "wratio")
-ratio_udf = _pair_udf(ratio, "ratio")
-
-
-def partial_ratio_col(a, b) -> Column:
-    return partial_ratio_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
-
-
-def wratio_col(a, b) -> Column:
-    return wratio_udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+
+from ranqa.functions.scoring import lev_ratio
+
+SIGNS = r"[^\p{L}\p{N}]+"                 # what cleaning turns into one space
+TOKEN_WEIGHT, FAR, VERY_FAR = 0.95, 0.9, 0.6
+SIMILAR_LENGTH, VERY_DIFFERENT_LENGTH = 1.5, 8
+
+
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def window_ratio(a, b) -> Column:
+    """Best edit ratio of the shorter text within the longer one (either order)."""
+    a, b = _col(a), _col(b)
+    first = F.char_length(a) <= F.char_length(b)
+    pair = F.struct(F.when(first, a).otherwise(b).alias("s"), F.when(first, b).otherwise(a).alias("l"))
+
+    def best(p: Column) -> Column:
+        n = F.char_length(p["s"])
+        starts = F.sequence(F.lit(1), F.char_length(p["l"]) - n + 1)
+        found = F.array_max(F.transform(starts, lambda i: lev_ratio(p["s"], F.substring(p["l"], i, n))))
+        return F.when(n == 0, F.when(F.char_length(p["l"]) == 0, 100).otherwise(0)).otherwise(found)
+
+    return F.when(a.isNotNull() & b.isNotNull(), _let(pair, best)).cast("int")
+
+
+def clean(c) -> Column:
+    """Lower case, letters and digits only, single spaces between."""
+    return F.trim(F.regexp_replace(F.lower(_col(c)), SIGNS, " "))
+
+
+def token_forms(a: Column, b: Column) -> Column:
+    """Struct of the cleaned texts' sorted tokens and their shared-token forms."""
+    tok = lambda c: F.array_sort(F.split(c, " "))
+
+    def forms(p: Column) -> Column:
+        both = F.array_intersect(p["x"], p["y"])
+        join = lambda *parts: F.array_join(F.concat(*parts), " ")
+        return F.struct(join(p["x"]).alias("x"), join(p["y"]).alias("y"), join(both).alias("both"),
+                        join(both, F.array_except(p["x"], p["y"])).alias("left"),
+                        join(both, F.array_except(p["y"], p["x"])).alias("right"))
+
+    return _let(F.struct(tok(a).alias("x"), tok(b).alias("y")), forms)
+
+
+def weighted_ratio(a, b) -> Column:
+    """Weighted maximum of the plain and the token-wise edit ratios of two cleaned texts."""
+    a, b = _col(a), _col(b)
+
+    def score(p: Column) -> Column:
+        la, lb = F.char_length(p["a"]), F.char_length(p["b"])
+        apart = F.greatest(la, lb) / F.least(la, lb)
+        scale = F.when(apart > VERY_DIFFERENT_LENGTH, VERY_FAR).otherwise(FAR)
+
+        def by_token(ratio: Callable) -> Column:
+            return _let(token_forms(p["a"], p["b"]), lambda t: F.greatest(
+                ratio(t["x"], t["y"]), ratio(t["both"], t["left"]), ratio(t["both"], t["right"]),
+                ratio(t["left"], t["right"])))
+
+        near = F.greatest(lev_ratio(p["a"], p["b"]).cast("double"), by_token(lev_ratio) * F.lit(TOKEN_WEIGHT))
+        far = F.greatest(lev_ratio(p["a"], p["b"]).cast("double"), window_ratio(p["a"], p["b"]) * scale,
+                         by_token(window_ratio) * F.lit(TOKEN_WEIGHT) * scale)
+        return F.when(F.least(la, lb) == 0, F.lit(0)).when(apart < SIMILAR_LENGTH, F.round(near)).otherwise(F.round(far))
+
+    both = F.struct(clean(a).alias("a"), clean(b).alias("b"))
+    return F.when(a.isNotNull() & b.isNotNull(), _let(both, score)).cast("int")

@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranqa.functions.fuzzy import partial_ratio_col, wratio_col
+from ranqa.functions.fuzzy import weighted_ratio, window_ratio
 from ranqa.functions.scoring import text_length_penalty
 from ranqa.operators.rerank import rerank_stages, rerank_trace
 from ranqa.plans.fixtures import brand_hits
 from ranqa.plans.registry import r6, register
 from ranqa.plans.sql_rerank import r6 as s6
-from ranqa.plans.sql_rerank import sql_penalty, with_rerank
+from ranqa.plans.sql_rerank import sql_penalty, sql_weighted_ratio, sql_window_ratio, with_rerank
 
 
 @register("cosine_hits", "H1 S7 S8: cosine hit lists from the vector index",
@@ -68,16 +68,21 @@ def fuzzy_topk_native(spark, sf):
                     r6("fuz_score").alias("fuz_score"), "pen_rank", r6("fuz_contrib").alias("fuz_contrib"))
 
 
-@register("fuzzy_topk_wratio", "D2 F2: fuzzy branch with the weighted-ratio Arrow UDF")
+@register("fuzzy_topk_wratio", "D2 F2: fuzzy branch with the weighted ratio", with_rerank(f"""
+SELECT query_id, hit_pos, id, question, fuzzy, fuzzy_rank, {s6('fuz_score')} AS fuz_score, pen_rank FROM fuzzy
+WHERE query_id IN (SELECT query_id FROM stats)""",
+          rank=sql_weighted_ratio))
 def fuzzy_topk_wratio(spark, sf):
-    f = rerank_stages(brand_hits(spark, sf), rank_scorer=wratio_col).fuzzy
+    f = rerank_stages(brand_hits(spark, sf), rank_scorer=weighted_ratio).fuzzy
     return f.select("query_id", "hit_pos", "id", "question", "fuzzy", "fuzzy_rank",
                     r6("fuz_score").alias("fuz_score"), "pen_rank")
 
 
-@register("partial_gate", "P6 F1: cosine top-limit gated by the partial-ratio Arrow UDF")
+@register("partial_gate", "P6 F1: cosine top-limit gated by the substring ratio", with_rerank(f"""
+SELECT query_id, hit_pos, question, cos_rank, partial, {s6('cos_contrib')} AS cos_contrib FROM cosine2""",
+          gate=sql_window_ratio))
 def partial_gate(spark, sf):
-    c = rerank_stages(brand_hits(spark, sf), gate_scorer=partial_ratio_col).cosine
+    c = rerank_stages(brand_hits(spark, sf), gate_scorer=window_ratio).cosine
     return c.select("query_id", "hit_pos", "question", "cos_rank", "partial",
                     r6("cos_contrib").alias("cos_contrib"))
 
@@ -120,10 +125,11 @@ def rerank_native(spark, sf):
     return _final(rerank_stages(brand_hits(spark, sf)).result)
 
 
-@register("rerank_fuzzy", "D3 F1 F2: full re-rank with partial-ratio gate and weighted-ratio ranking")
+@register("rerank_fuzzy", "D3 F1 F2: full re-rank with substring gate and weighted-ratio ranking",
+          with_rerank(RERANK_SELECT, gate=sql_window_ratio, rank=sql_weighted_ratio))
 def rerank_fuzzy(spark, sf):
-    return _final(rerank_stages(brand_hits(spark, sf), gate_scorer=partial_ratio_col,
-                                rank_scorer=wratio_col).result)
+    return _final(rerank_stages(brand_hits(spark, sf), gate_scorer=window_ratio,
+                                rank_scorer=weighted_ratio).result)
 
 
 @register("rerank_trace", "S10: every intermediate score per usable hit",

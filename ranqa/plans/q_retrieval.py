@@ -8,13 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ranqa.functions.fuzzy import wratio_col
+from ranqa.functions.fuzzy import weighted_ratio
 from ranqa.operators.retrieval import encode_texts, fuzzy_catalog_topk, hashing_encoder, l2norm
 from ranqa.plans.fixtures import indexed_catalog
 from ranqa.plans.registry import r6, register
 from ranqa.plans.sql_common import q
 from ranqa.plans.sql_rerank import r6 as s6
-from ranqa.plans.sql_rerank import sql_lev_ratio
+from ranqa.plans.sql_rerank import sql_lev_ratio, sql_weighted_ratio
 from ranqa.session import ensure_checkpoint_dir
 from ranqa.sources.sinks import read_index, write_index
 from ranqa.sources.tables import table
@@ -49,9 +49,15 @@ def fuzzy_catalog_join(spark, sf):
     return fuzzy_catalog_topk(probes(spark), _catalog(spark, sf), k=TOP_K)
 
 
-@register("fuzzy_catalog_wratio", "J7 D2 F2: per probe, top-8 catalog entries by weighted ratio (Arrow UDF)")
+@register("fuzzy_catalog_wratio", "J7 D2 F2: per probe, top-8 catalog entries by weighted ratio", f"""
+SELECT probe_id, probe_text, rank, id, name, fuzzy FROM (
+  SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY fuzzy DESC, id ASC) AS rank FROM (
+    SELECT CAST(pr.probe_id AS BIGINT) AS probe_id, pr.probe_text, p.p_partkey AS id, p.p_name AS name,
+           {sql_weighted_ratio('pr.probe_text', 'p.p_name')} AS fuzzy
+    FROM part p CROSS JOIN {_PROBES_SQL}))
+WHERE rank <= {TOP_K}""")
 def fuzzy_catalog_wratio(spark, sf):
-    return fuzzy_catalog_topk(probes(spark), _catalog(spark, sf), k=TOP_K, scorer=wratio_col)
+    return fuzzy_catalog_topk(probes(spark), _catalog(spark, sf), k=TOP_K, scorer=weighted_ratio)
 
 
 @register("index_roundtrip", "S7 S8: vector + text index written as parquet and read back", f"""

@@ -1,5 +1,5 @@
-"""The re-rank stages as one SQL CTE chain (DuckDB dialect), native edit ratio in
-both scorer slots.  Used only as the independent oracle for the Spark plans."""
+"""The re-rank stages as one SQL CTE chain (DuckDB dialect), with the edit
+ratio or the scorers of ``functions.fuzzy`` in the scorer slots.  Used only as the independent oracle for the Spark plans."""
 
 from __future__ import annotations
 
@@ -12,6 +12,49 @@ def sql_lev_ratio(a: str, b: str) -> str:
             f"END AS BIGINT)")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def sql_window_ratio(a: str, b: str, n: str = "w") -> str:
+    first = f"length({a}) <= length({b})"
+    windows = (f"list_max(list_transform(range(1, length({n}.l) - length({n}.s) + 2), lambda {n}i: "
+               + sql_lev_ratio(f"{n}.s", f"substr({n}.l, {n}i, length({n}.s))") + "))")
+    return _let(n, f"{{'s': CASE WHEN {first} THEN {a} ELSE {b} END, 'l': CASE WHEN {first} THEN {b} ELSE {a} END}}",
+                f"CASE WHEN length({n}.s) = 0 THEN CASE WHEN length({n}.l) = 0 THEN 100 ELSE 0 END ELSE {windows} END")
+
+
+def sql_clean(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def sql_weighted_ratio(a: str, b: str) -> str:
+    short, far_apart = "least(length(p.a), length(p.b))", "CAST(greatest(length(p.a), length(p.b)) AS DOUBLE)"
+    scale = f"CASE WHEN {far_apart} / {short} > 8 THEN 0.6 ELSE 0.9 END"
+    tok = lambda c: f"list_sort(string_split({c}, ' '))"
+    # distinct tokens of one side in order, by membership in the other
+    part = lambda x, y, n, neg: (f"list_filter(list_sort(list_distinct({x})), lambda {n}: "
+                                 f"{neg} list_contains({y}, {n}))")
+    text = lambda *xs: "array_to_string(list_concat(" + ", ".join(xs) + "), ' ')" if len(xs) > 1 else \
+        f"array_to_string({xs[0]}, ' ')"
+    both = part("q.x", "q.y", "k1", "")
+    forms = (f"{{'x': {text('q.x')}, 'y': {text('q.y')}, 'both': {text(both)}, "
+             f"'l': {text(both, part('q.x', 'q.y', 'k2', 'NOT'))}, 'r': {text(both, part('q.y', 'q.x', 'k3', 'NOT'))}}}")
+    tokens = _let("q", f"{{'x': {tok('p.a')}, 'y': {tok('p.b')}}}", forms)
+
+    def by_token(ratio) -> str:
+        pairs = (("t.x", "t.y"), ("t.both", "t.l"), ("t.both", "t.r"), ("t.l", "t.r"))
+        return _let("t", tokens, "greatest(" + ", ".join(ratio(x, y) for x, y in pairs) + ")")
+
+    base = f"CAST({sql_lev_ratio('p.a', 'p.b')} AS DOUBLE)"
+    near = f"greatest({base}, {by_token(sql_lev_ratio)} * CAST(0.95 AS DOUBLE))"
+    far = (f"greatest({base}, {sql_window_ratio('p.a', 'p.b')} * CAST({scale} AS DOUBLE), "
+           f"{by_token(sql_window_ratio)} * CAST(0.95 AS DOUBLE) * CAST({scale} AS DOUBLE))")
+    return "CAST(" + _let("p", f"{{'a': {sql_clean(a)}, 'b': {sql_clean(b)}}}",
+                          f"CASE WHEN {short} = 0 THEN 0 WHEN {far_apart} / {short} < 1.5 THEN round({near}) "
+                          f"ELSE round({far}) END") + " AS BIGINT)"
+
+
 def sql_penalty(len_a: str, len_b: str) -> str:
     d = f"abs({len_a} - {len_b})"
     return (f"(1.0 - greatest(0.0, least(CASE WHEN {d} <= 20 THEN 1.0 - exp(-0.005 * {d}) "
@@ -40,12 +83,12 @@ cos_ranked AS (
 cosine AS (
   SELECT c.*, s.cos_min, s.cos_max,
          {sql_minmax('c.score', 's.cos_min', 's.cos_max')} AS cos_norm,
-         {sql_lev_ratio('c.query_text', 'c.question')} AS partial
+         @GATE@ AS partial
   FROM cos_ranked c JOIN stats s USING (query_id) WHERE c.cos_rank <= {LIMIT}),
 cosine2 AS (SELECT *, CASE WHEN partial > 50 THEN cos_norm END AS cos_contrib FROM cosine),
 fz_scored AS (
   SELECT query_id, query_text, hit_pos, id, question,
-         {sql_lev_ratio('query_text', 'question')} AS fuzzy FROM usable),
+         @RANK@ AS fuzzy FROM usable),
 fz_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fuzzy DESC, hit_pos ASC) AS fuzzy_rank
   FROM fz_scored),
@@ -104,8 +147,9 @@ last_hit AS (
   WHERE rn = 1)"""
 
 
-def with_rerank(select: str) -> str:
-    return "WITH " + RERANK_CTE + "\n" + select
+def with_rerank(select: str, gate=sql_lev_ratio, rank=sql_lev_ratio) -> str:
+    return "WITH " + RERANK_CTE.replace("@GATE@", gate("c.query_text", "c.question")).replace(
+        "@RANK@", rank("query_text", "question")) + "\n" + select
 
 
 def r6(x: str) -> str:

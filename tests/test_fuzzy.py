@@ -1,50 +1,44 @@
-import pytest
-from pyspark.sql import functions as F
+import itertools
 
-from ranqa.functions.fuzzy import (clean, extract_score, partial_ratio, partial_ratio_udf, ratio,
-                                   token_set_ratio, token_sort_ratio, wratio, wratio_udf)
+from ranqa.functions.fuzzy import weighted_ratio, window_ratio
 
-# FIXTURES.md §3
-PARTIAL = [("云手机", "移动云手机", 100), ("专线", "网络", 0), ("small ring", "red widget", 30),
-           ("ring", "small ring", 100), ("5G新通话", "数字生活5G新通话包", 100)]
 
+def lev(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
-@pytest.mark.parametrize("a,b,want", PARTIAL)
-def test_partial_ratio_golden(a, b, want):
-    assert partial_ratio(a, b) == want
-    if len(a) != len(b):        # equal lengths: the first argument plays "shorter"
-        assert partial_ratio(b, a) == want
 
+def best_window(a: str, b: str) -> int:
+    s, l = sorted((a, b), key=len)
+    if not s:
+        return 0 if l else 100
+    return max(int(100 * (len(s) - lev(s, l[i:i + len(s)])) / len(s) + 0.5) for i in range(len(l) - len(s) + 1))
 
-def test_ratio_edges():
-    assert ratio("", "") == 100
-    assert ratio("a", "") == 0
-    assert ratio(None, "a") == 0
-    assert ratio("abcd", "abcd") == 100
 
+TEXTS = ["", "ring", "small ring", "ring small", "a very small golden ring indeed", "云手机", "移动云手机套餐", "5G", "!!!", "Ring!", "éa"]
 
-def test_token_scorers():
-    assert token_sort_ratio("ring small", "small ring") == 100
-    assert token_set_ratio("small ring", "small ring red") == 100
 
-
-def test_clean_and_wratio():
-    assert clean("Hello, World!") == "hello  world"
-    assert clean("café", force_ascii=True) == "caf"
-    assert wratio("!!!", "abc") == 0
-    assert wratio("small ring", "small ring") == 100
-    assert wratio("ring small", "small ring") == 95
-    assert extract_score("云手机", "移动云手机") == wratio("云手机", "移动云手机")
-    assert 0 <= wratio("5G", "数字生活5G新通话包") <= 100
+def test_window_ratio_matches_brute_force(spark):
+    pairs = list(itertools.product(TEXTS, TEXTS))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", window_ratio("a", "b").alias("w")).collect():
+        assert r.w == best_window(r.a, r.b), r
 
 
-def test_udfs_match_python(spark):
-    pairs = [(a, b) for a, b, _ in PARTIAL] + [("Small Ring!", "small ring"), (None, "x"), ("", "")]
+def test_weighted_ratio(spark):
+    pairs = [("small ring", "small ring"), ("ring small", "small ring"), ("Small, ring!", "small ring"), ("!!!", "abc"),
+             ("云手机", "移动云手机"), ("ring", "a very small golden ring indeed"), ("", ""), (None, "a"), ("xx", "yy")]
     df = spark.createDataFrame(pairs, "a string, b string")
-    rows = df.select("a", "b", partial_ratio_udf("a", "b").alias("p"), wratio_udf("a", "b").alias("w")).collect()
-    for r in rows:
-        if r["a"] is None:
-            assert r["p"] is None and r["w"] is None
-        else:
-            assert r["p"] == partial_ratio(r["a"], r["b"])
-            assert r["w"] == extract_score(r["a"], r["b"])
+    got = [r[0] for r in df.select(weighted_ratio("a", "b")).collect()]
+    assert got == [100, 95, 100, 0, 90, 90, 0, None, 0]
+    swapped = [r[0] for r in df.select(weighted_ratio("b", "a")).collect()]
+    assert swapped == got
+
+
+def test_no_python_in_plan(spark):
+    df = spark.createDataFrame([("a", "b")], "a string, b string").select(weighted_ratio("a", "b"), window_ratio("a", "b"))
+    assert "Python" not in df._jdf.queryExecution().toString()

@@ -22,6 +22,7 @@ null doc_id is kept; repeated rows are packed each; an empty table gives no row.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,12 +45,14 @@ SLOT_ROWS = 200_000
 @lru_cache(maxsize=4)
 def encoder(tokenizer_json: str, ranks: str | None, pattern: str | None):
     """text -> token ids, built once per worker process."""
-    from tokenizers import Tokenizer
-
-    full = Tokenizer.from_file(tokenizer_json)
+    full: list = []
 
     def exact(text: str) -> list[int]:
-        return full.encode(text, add_special_tokens=False).ids
+        if not full:  # loaded by workers that meet such a text only
+            from tokenizers import Tokenizer
+
+            full.append(Tokenizer.from_file(tokenizer_json))
+        return full[0].encode(text, add_special_tokens=False).ids
 
     if not ranks:
         return exact
@@ -58,8 +61,9 @@ def encoder(tokenizer_json: str, ranks: str | None, pattern: str | None):
     with open(ranks, "rb") as f:
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
-    special = [t.content for t in full.get_added_tokens_decoder().values()]
-    other = re.compile("[^\u0000-ɏ]" + "".join("|" + re.escape(s) for s in special))
+    with open(tokenizer_json, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+    other = re.compile("[^\u0000-\u024f]" + "".join("|" + re.escape(s) for s in special))
     return lambda text: exact(text) if other.search(text) else fast.encode_ordinary(text)
 
 

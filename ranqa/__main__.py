@@ -36,7 +36,7 @@ def _finetune(args, spark) -> None:
 
 
 def _rerank(args, spark) -> None:
-    from ranqa.functions.fuzzy import partial_ratio_col, wratio_col
+    from ranqa.functions.fuzzy import weighted_ratio, window_ratio
     from ranqa.operators.rerank import attach_queries, observed_rerank
     from ranqa.sources.tables import read_any
 
@@ -45,7 +45,7 @@ def _rerank(args, spark) -> None:
         hits = attach_queries(hits, read_any(spark, args.queries))
     kw = {"limit": args.limit}
     if not args.native:
-        kw.update(gate_scorer=partial_ratio_col, rank_scorer=wratio_col)
+        kw.update(gate_scorer=window_ratio, rank_scorer=weighted_ratio)
     out, obs = observed_rerank(hits, dedupe_ids=args.dedupe_ids, **kw)
     out.write.mode("overwrite").parquet(args.out)
     print(json.dumps(obs.get))

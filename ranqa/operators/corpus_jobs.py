@@ -26,7 +26,7 @@ from ranqa.sources.tables import read_any
 def assemble_corpus(spark: SparkSession, *, base_path: str, advanced_path: str, negative_path: str,
                     no_entity_path: str, catalog_tables: list[DataFrame], catalog_column: str = "Q",
                     num_samples: int = NUM_SAMPLES, seed: int = DEFAULT_SEED,
-                    lexicon: Lexicon = DEFAULT_LEXICON, keep_blank: bool = False) -> DataFrame:
+                    lexicon: Lexicon = DEFAULT_LEXICON, keep_blank: bool = True) -> DataFrame:
     """The four generators over template files and a catalog column, unioned
     in corpus order (base, advanced, negative, no-entity)."""
     ents = indexed_entities(distinct_catalog(catalog_tables, catalog_column))

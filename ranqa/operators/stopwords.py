@@ -32,6 +32,11 @@ def tokens(text) -> Column:
     return F.filter(F.split(_col(text), WHITESPACE_CLASS), lambda t: t != F.lit(""))
 
 
+def runs(text) -> Column:
+    """The text cut between whitespace and other characters, every character kept."""
+    return F.regexp_extract_all(_col(text), F.lit(f"{WHITESPACE_CLASS}|{TOKEN_PATTERN}"), F.lit(0))
+
+
 def drop_stopwords(toks: Column, stopwords: list[str]) -> Column:
     """Filter a token array against the stopword set (order and repeats kept)."""
     stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
@@ -40,18 +45,21 @@ def drop_stopwords(toks: Column, stopwords: list[str]) -> Column:
 
 def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str = "space",
                      dictionary: list[str] | None = None) -> Column:
-    """Kept tokens of ``text`` joined by ``sep`` (the reference joins with '')."""
-    toks = tokens(text) if segmenter == "space" else segment_udf(dictionary or [])(_col(text))
+    """Kept tokens of ``text`` joined by ``sep``.  Joined with '' (the default) white space counts as tokens, so what is
+    left keeps its spacing; with another ``sep`` it only separates."""
+    spaced = runs(text) if sep == "" else tokens(text)
+    toks = spaced if segmenter == "space" else segment_udf(dictionary or [])(_col(text))
     return F.array_join(drop_stopwords(toks, stopwords), sep)
 
 
 def max_match(text: str, words: set[str], max_len: int) -> list[str]:
-    """Forward maximum matching; characters outside the dictionary stand alone,
-    whitespace runs separate tokens and are dropped."""
+    """Forward maximum matching; characters outside the dictionary, white space
+    included, stand alone."""
     out: list[str] = []
     i, n = 0, len(text)
     while i < n:
         if text[i].isspace():
+            out.append(text[i])
             i += 1
             continue
         for L in range(min(max_len, n - i), 0, -1):

@@ -81,10 +81,10 @@ def indexed_entities(catalog: DataFrame, name_col: str = "name") -> tuple[DataFr
     return idx.withColumn("entity", strip_whitespace("name")), n
 
 
-def ordered_templates(templates: DataFrame, keep_blank: bool = False,
+def ordered_templates(templates: DataFrame, keep_blank: bool = True,
                       order_cols: list[str] | None = None) -> tuple[DataFrame, int]:
     """``template_id, template`` plus dense ``template_ord`` in ``order_cols`` order
-    (default ``template_id``); blank lines dropped unless asked."""
+    (default ``template_id``).  Blank lines are templates like any other; ``keep_blank=False`` leaves them out."""
     order_cols = order_cols or ["template_id"]
     cols = list(dict.fromkeys(["template_id", "template", *order_cols]))
     t = templates.select(*cols).where(F.col("template").isNotNull())
@@ -110,6 +110,18 @@ def _valid_base(marked: Column) -> Column:
     return ~(F.instr(marked, _OPEN + "{" + _CLOSE) > 0) & ~(F.instr(marked, _OPEN + "}" + _CLOSE) > 0)
 
 
+def template_rejects(templates: DataFrame) -> DataFrame:
+    """``template_id, template, reason`` of the base templates that cannot be filled: null ones, and those with a
+    brace other than ``{{``, ``}}`` and the plain entity slot (``{package_name!r}`` and format specs included).
+
+    :func:`expand_base` generates nothing for exactly these rows; a job that must not lose any
+    checks that this table is empty.
+    """
+    bad = ~_valid_base(_format_marked(F.col("template")))
+    reason = F.when(F.col("template").isNull(), "null").when(bad, "format")
+    return templates.select("template_id", "template", reason.alias("reason")).where("reason is not null")
+
+
 def _fill_base(marked: Column, entity: Column) -> Column:
     out = F.replace(marked, F.lit(_OPEN + "{{" + _CLOSE), F.lit("{"))
     out = F.replace(out, F.lit(_OPEN + "}}" + _CLOSE), F.lit("}"))
@@ -160,7 +172,7 @@ def _finish(rows: DataFrame, n_t: int, question: Column, kind: str) -> DataFrame
 
 def expand_base(templates: DataFrame, catalog: DataFrame | None = None, *, num_samples: int = NUM_SAMPLES,
                 seed: int = DEFAULT_SEED, lexicon: Lexicon = DEFAULT_LEXICON,
-                name_col: str = "name", keep_blank: bool = False,
+                name_col: str = "name", keep_blank: bool = True,
                 entities: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Base kind.  Pass ``entities=indexed_entities(catalog)`` to share one
     catalog index between generators."""
@@ -175,7 +187,7 @@ def expand_advanced(templates: DataFrame, catalog: DataFrame | None = None, *,
                     num_samples: int = NUM_SAMPLES, seed: int = DEFAULT_SEED,
                     lexicon: Lexicon = DEFAULT_LEXICON, name_col: str = "name",
                     locations: list[str] = LOCATIONS, weathers: list[str] = WEATHERS,
-                    years: tuple[int, int] = YEAR_RANGE, keep_blank: bool = False,
+                    years: tuple[int, int] = YEAR_RANGE, keep_blank: bool = True,
                     entities: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Advanced kind: entity, year, location, weather drawn independently per
     row from the four 32-bit slices of one digest, replaced in that order."""
@@ -195,7 +207,7 @@ def expand_advanced(templates: DataFrame, catalog: DataFrame | None = None, *,
 
 
 def no_entity_questions(templates: DataFrame, *, lexicon: Lexicon = DEFAULT_LEXICON,
-                        keep_blank: bool = False, order_cols: list[str] | None = None) -> DataFrame:
+                        keep_blank: bool = True, order_cols: list[str] | None = None) -> DataFrame:
     t, _ = ordered_templates(templates, keep_blank, order_cols)
     return (t.withColumn("id", F.col("template_ord") + F.lit(1))
             .withColumn("sample_no", F.lit(0).cast("int"))
@@ -207,7 +219,7 @@ def no_entity_questions(templates: DataFrame, *, lexicon: Lexicon = DEFAULT_LEXI
             .select(*OUT_COLS))
 
 
-def negative_questions(texts: DataFrame, *, keep_blank: bool = False,
+def negative_questions(texts: DataFrame, *, keep_blank: bool = True,
                        order_cols: list[str] | None = None) -> DataFrame:
     t, _ = ordered_templates(texts, keep_blank, order_cols)
     return (t.withColumn("id", F.col("template_ord") + F.lit(1))

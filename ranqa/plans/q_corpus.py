@@ -12,7 +12,7 @@ from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
                                        conversation_regroup, conversation_turns,
                                        expand_advanced, expand_base, indexed_entities, negative_questions,
-                                       no_entity_questions, union_corpus, with_records)
+                                       no_entity_questions, template_rejects, union_corpus, with_records)
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import (q, sql_answer, sql_hash60, sql_keyword_hits, sql_list,
                                     sql_strip_ws, sql_tag_labels, sql_tag_string)
@@ -401,3 +401,21 @@ def keyword_tags_large(spark, sf):
     hits = d.select("doc_id", keyword_hits("t", BIG_LEXICON).alias("hits"))
     return hits.select("doc_id", F.size("hits").alias("n_hits"),
                        F.array_join(F.array_distinct("hits"), ",").alias("labels"))
+
+
+@register("template_rejects", "X7: base templates that cannot be filled, by reason", """
+WITH t AS (
+  SELECT item_id, v, CASE v WHEN 1 THEN '{package_name} ' || text WHEN 2 THEN '{package_name!r} ' || text
+    WHEN 3 THEN 'a{b ' || text WHEN 4 THEN '{{x}} ' || text WHEN 5 THEN '' END AS t
+  FROM benchmark, (VALUES (1), (2), (3), (4), (5), (6)) AS x(v))
+SELECT CASE WHEN t IS NULL THEN 'null' ELSE 'format' END AS reason, CAST(v AS BIGINT) AS variant, count(*) AS n
+FROM t WHERE t IS NULL OR v IN (2, 3) GROUP BY ALL""")
+def template_rejects_q(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, range(1, 7)))).alias("v"))
+    text = (F.when(F.col("v") == 1, F.concat(F.lit("{package_name} "), "text"))
+            .when(F.col("v") == 2, F.concat(F.lit("{package_name!r} "), "text"))
+            .when(F.col("v") == 3, F.concat(F.lit("a{b "), "text")).when(F.col("v") == 4, F.concat(F.lit("{{x}} "), "text"))
+            .when(F.col("v") == 5, F.lit("")))
+    t = b.select((F.col("item_id") * 10 + F.col("v")).alias("template_id"), text.alias("template"))
+    return (template_rejects(t).withColumn("variant", F.col("template_id") % 10)
+            .groupBy("reason", "variant").agg(F.count(F.lit(1)).alias("n")))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranqa.operators.stopwords import TOKEN_PATTERN, drop_stopwords, tokens
+from ranqa.functions.text import WHITESPACE_CLASS
+from ranqa.operators.stopwords import TOKEN_PATTERN, drop_stopwords, remove_stopwords, tokens
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import q, sql_list
 from ranqa.sources.tables import table
@@ -33,3 +34,10 @@ def stopwords_q(spark, sf):
     kept = toks.select("doc_id", "toks", drop_stopwords(F.col("toks"), TEST_STOPWORDS).alias("kept"))
     return kept.select("doc_id", F.size("toks").alias("n_tokens"), F.size("kept").alias("n_kept"),
                        F.array_join("kept", " ").alias("cleaned"))
+
+
+@register("stopwords_joined", "D8: stopwords removed, everything else (white space too) joined as it was", f"""
+SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, {q(WHITESPACE_CLASS + "|" + TOKEN_PATTERN)}),
+  lambda t: NOT list_contains({sql_list(TEST_STOPWORDS)}, t)), '') AS cleaned FROM documents""")
+def stopwords_joined(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", remove_stopwords("text", TEST_STOPWORDS).alias("cleaned"))

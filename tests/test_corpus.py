@@ -11,7 +11,8 @@ from ranqa.operators.split import exact_split, hash_split, val_count
 from ranqa.operators.stopwords import max_match, remove_stopwords
 from ranqa.operators.tagger import DEFAULT_LEXICON, keyword_hits, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, answer_json, expand_advanced,
-                                       expand_base, negative_questions, no_entity_questions, with_records)
+                                       expand_base, negative_questions, no_entity_questions, template_rejects,
+                                       with_records)
 from ranqa.sources.catalog import column_union, read_lines
 from ranqa.sources.sinks import write_jsonl
 
@@ -58,15 +59,19 @@ def test_expand_base(spark):
     t = _templates(spark, [(0, "{package_name}的资费是多少"), (1, ""), (2, "{year}年{package_name}"),
                            (3, "介绍一下{package_name}的办理流程")])
     cat = spark.createDataFrame([("云 手机",), ("5G 套餐",), ("云 手机",)], "name string")
-    out = expand_base(t, cat, num_samples=50).collect()
-    assert len(out) == 2 * 50                        # blank dropped, {year} template rejected
+    everything = expand_base(t, cat, num_samples=50).collect()
+    assert len(everything) == 3 * 50                 # the blank line is a template, {year} is rejected
+    assert {r["question"] for r in everything if r["template_id"] == 1} == {""}
+    assert [(r.template_id, r.reason) for r in template_rejects(t).collect()] == [(2, "format")]
+    out = expand_base(t, cat, num_samples=50, keep_blank=False).collect()
+    assert len(out) == 2 * 50
     assert {r["entity"] for r in out} <= {"云手机", "5G套餐"}
     assert all(r["entity"] in r["question"] and "{" not in r["question"] for r in out)
     ids = sorted(r["id"] for r in out)
     assert len(set(ids)) == len(ids) and max(ids) <= 50 * 3
     by_t = {r["template_id"]: r["labels"] for r in out}
     assert by_t[0] == "产品资费" and by_t[3] == "业务办理"
-    again = expand_base(t.repartition(3), cat.repartition(2), num_samples=50).collect()
+    again = expand_base(t.repartition(3), cat.repartition(2), num_samples=50, keep_blank=False).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
 
 
@@ -136,6 +141,7 @@ def test_read_lines_and_jsonl(spark):
 def test_stopwords(spark):
     df = spark.createDataFrame([("the cat  and the hat",)], "t string")
     assert df.select(remove_stopwords("t", ["the", "and"], sep=" ")).first()[0] == "cat hat"
+    assert df.select(remove_stopwords("t", ["the", "and"])).first()[0] == " cat    hat"
     words = {"我要", "办理", "云手机", "业务"}
     assert max_match("我要办理云手机业务", words, 3) == ["我要", "办理", "云手机", "业务"]
     df2 = spark.createDataFrame([("我要办理云手机业务",)], "t string")

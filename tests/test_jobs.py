@@ -36,22 +36,22 @@ def test_assemble_export_and_split(spark):
                              no_entity_path=noe, catalog_tables=[sheet1, sheet2, sheet3], num_samples=20)
     out = os.path.join(d, "out")
     counts = export_corpus(corpus, out)
-    assert counts == {"base": 40, "advanced": 20, "negative": 2, "no_entity": 1, "total": 63}
+    assert counts == {"base": 60, "advanced": 20, "negative": 2, "no_entity": 1, "total": 83}   # the blank line is a template
     recs = _jsonl(os.path.join(out, "conversations"))
-    assert len(recs) == 63
+    assert len(recs) == 83
     assert [r["conversations"][0]["from"] for r in recs[:1]] == ["system"]
     kinds_in_order = []
     for r in recs:
         a = json.loads(r["conversations"][2]["value"])
         kinds_in_order.append(a["套餐名称"] != "")
-    assert all(kinds_in_order[:60]) and not any(kinds_in_order[60:])   # entity kinds come first
+    assert all(kinds_in_order[:80]) and not any(kinds_in_order[80:])   # entity kinds come first
     qa = read_qa_table(spark, os.path.join(out, "qa"), "parquet")
     split = export_finetuning(qa, os.path.join(out, "ft"))
     train = _jsonl(os.path.join(out, "ft", "split=train"))
     val = _jsonl(os.path.join(out, "ft", "split=val"))
-    assert len(val) == math.ceil(63 * 0.001) == 1 and len(train) == 62
+    assert len(val) == math.ceil(83 * 0.001) == 1 and len(train) == 82
     assert set(train[0]) == {"query", "response"}
-    assert split.count() == 63
+    assert split.count() == 83
 
 
 def test_api_shapes(spark):

@@ -2,13 +2,14 @@
 
 1. Equal vectors collapse to one with a weight (partial aggregation, so a huge group of copies costs one row).
 2. Spherical k-means on a bounded sample gives the centres; every vector gets its home cell.
-3. A vector also visits each cell that may be the home of a linked vector.  With u the unit vector from a cell's centre to
-   the home cell's, a vector at angle t across the bisecting plane needs x.u <= sin t; for a displacement that does not
-   single out u, it needs x.u <= tan t * z / sqrt(effective dimensions) but for a chance of Phi(-z).  The smaller bound is used;
-   ``z=None`` uses the first, which is exact for any data at the cost of more visits.
+3. A vector also visits cells that may be the home of a linked vector.  With u the unit vector from a cell's centre to
+   the home cell's, linked vectors x and y on both sides of the bisecting plane have x.u - y.u <= |x - y|, so one of them
+   is within half of the longest |x - y| of the plane; that one visits the other's home.  This holds for any data.
+   A given ``z`` uses the bound x.u <= tan t * z / sqrt(effective dimensions) where that is smaller, which loses links whose
+   displacement singles out u; no query uses it.
 4. Each cell compares its visitors and members with its members in blocks of bounded size: single precision finds,
-   double precision decides.  Products are counted in place; a block returns one count per vector and a spanning
-   forest of its links, never the pairs.
+   double precision decides.  Products are counted in place, for the member too when it does not visit the visitor's
+   home; a block returns one count per vector and a spanning forest of its links, never the pairs.
 5. Components of the forests name the groups; the smallest ``vec_id`` of a group is kept.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
@@ -65,11 +66,11 @@ def effective_dimensions(x: np.ndarray) -> float:
 
 
 def margin(similarity: float, z: float | None, dims: float) -> float:
-    """Largest x.u of a vector that still visits a cell."""
-    sin = math.sqrt(1 - similarity ** 2)
+    """Largest x.u of a vector that still visits a cell: half of the longest |x - y| of linked x and y."""
+    half = math.sqrt((1 - similarity) / 2)
     if z is None:
-        return sin + 1e-9
-    return min(sin, sin / similarity * z / math.sqrt(max(dims - 1, 1e-9))) + 1e-9
+        return half + 1e-9
+    return min(half, math.sqrt(1 - similarity ** 2) / similarity * z / math.sqrt(max(dims - 1, 1e-9))) + 1e-9
 
 
 def cells_of(x: np.ndarray, centres: np.ndarray, limit: float) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -77,18 +78,29 @@ def cells_of(x: np.ndarray, centres: np.ndarray, limit: float) -> tuple[np.ndarr
     dots = x @ centres.T
     home = dots.argmax(axis=1)
     apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-300))
-    s = (dots[np.arange(len(x)), home][:, None] - dots) / apart[home]
-    near = s <= limit
+    # products, not quotients: centres that are nearly equal are apart by less than the error
+    near = dots[np.arange(len(x)), home][:, None] - dots <= limit * apart[home] + 1e-7
     near[np.arange(len(x)), home] = False
     return home, [np.flatnonzero(r) for r in near]
 
 
-def block_links(query: np.ndarray, q_ids: np.ndarray, home: np.ndarray, h_ids: np.ndarray, h_weight: np.ndarray,
-                similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(summed weight of linked members by query row, forest links from, to) of one block."""
+def visited(visits: pa.Array, cells: int) -> np.ndarray:
+    """Table of rows by cells: whether the row visits the cell."""
+    if isinstance(visits, pa.ChunkedArray):
+        visits = visits.combine_chunks()
+    out = np.zeros((len(visits), cells), bool)
+    out[np.repeat(np.arange(len(visits)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()] = True
+    return out
+
+
+def block_links(query: np.ndarray, q_ids: np.ndarray, q_weight: np.ndarray, q_home: np.ndarray, home: np.ndarray,
+                h_ids: np.ndarray, h_weight: np.ndarray, h_meets: np.ndarray,
+                similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(summed weight of linked members by query row, of linked queries that the member does not meet in their home by
+    member row, forest links from, to) of one block."""
     ids = np.unique(np.concatenate([q_ids, h_ids]))
     qi, hi = np.searchsorted(ids, q_ids), np.searchsorted(ids, h_ids)
-    count, root = np.zeros(len(q_ids), np.int64), np.arange(len(ids))
+    count, back, root = np.zeros(len(q_ids), np.int64), np.zeros(len(h_ids), np.int64), np.arange(len(ids))
     q32, h32 = query.astype(np.float32), home.astype(np.float32).T
     step = 256
     for at in range(0, len(query), step):
@@ -103,15 +115,17 @@ def block_links(query: np.ndarray, q_ids: np.ndarray, home: np.ndarray, h_ids: n
         if not len(i):
             continue
         count += np.bincount(i, h_weight[j], minlength=len(q_ids)).astype(np.int64)
+        once = ~h_meets[j, q_home[i]]
+        back += np.bincount(j[once], q_weight[i[once]], minlength=len(h_ids)).astype(np.int64)
         a, b = root[qi[i]], root[hi[j]]
         pairs = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         root = local_forest(pairs // len(ids), pairs % len(ids), len(ids))[root]
     moved = np.flatnonzero(root != np.arange(len(ids)))
-    return count, ids[moved], ids[root[moved]]
+    return count, back, ids[moved], ids[root[moved]]
 
 
 def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
-                similarity: float = SIMILARITY, z: float | None = Z, cell_rows: int = CELL_ROWS,
+                similarity: float = SIMILARITY, z: float | None = None, cell_rows: int = CELL_ROWS,
                 sample_rows: int = SAMPLE_ROWS, home_block: int = HOME_BLOCK,
                 query_block: int = QUERY_BLOCK) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
@@ -136,7 +150,8 @@ def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     sample = unit_rows(one.where(part | F.lit(n <= sample_rows)).select("id", "e").orderBy("id").toArrow()["e"])
     k = max(1, min(MAX_CELLS, -(-n // cell_rows), len(sample) // 8))
     centres = spherical_kmeans(sample, k) if len(sample) else np.zeros((1, dims))
-    limit = margin(similarity, z, effective_dimensions(sample) if len(sample) else 1.0)
+    limit = margin(similarity, z, effective_dimensions(sample) if z is not None and len(sample) else 1.0)
+    n_cells = len(centres)
     shared = spark.sparkContext.broadcast((centres, limit))  # MAX_CELLS rows at most
     found = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
 
@@ -162,20 +177,24 @@ def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     range_ = lambda col: F.explode(F.sequence(F.lit(0), F.col(col) - 1))
     base = placed.select("id", "w", "e", "home", F.concat(F.array("home"), "visits").alias("cells"))
     homes = (base.join(F.broadcast(plan), F.col("home") == F.col("cell"))
-             .select("cell", spread("hb", 1).alias("h"), range_("qb").alias("q"), F.lit(True).alias("member"), "id", "w", "e"))
-    queries = (base.select("id", "w", "e", F.explode("cells").alias("c"))
+             .select("cell", spread("hb", 1).alias("h"), range_("qb").alias("q"), F.lit(True).alias("member"), "id", "w", "e", "home",
+                     "cells"))
+    queries = (base.select("id", "w", "e", "home", F.explode("cells").alias("c"))
                .join(F.broadcast(plan), F.col("c") == F.col("cell"))
-               .select("cell", range_("hb").alias("h"), spread("qb", 2).alias("q"), F.lit(False).alias("member"), "id", "w", "e"))
+               .select("cell", range_("hb").alias("h"), spread("qb", 2).alias("q"), F.lit(False).alias("member"), "id", "w", "e",
+                       "home", F.array().cast("array<int>").alias("cells")))
 
     def compare(t: pa.Table) -> pa.Table:
         member = t["member"].to_numpy()
-        x, ids, w = unit_rows(t["e"]), t["id"].to_numpy(), t["w"].to_numpy()
-        count, u, v = block_links(x[~member], ids[~member], x[member], ids[member], w[member], similarity)
-        some = count > 0
-        return pa.table({"u": np.concatenate([ids[~member][some], u]),
+        x, ids, w, home = unit_rows(t["e"]), t["id"].to_numpy(), t["w"].to_numpy(), t["home"].to_numpy()
+        count, back, u, v = block_links(x[~member], ids[~member], w[~member], home[~member], x[member], ids[member], w[member],
+                                        visited(t["cells"].filter(t["member"]), n_cells), similarity)
+        n, ids = np.concatenate([count, back]), np.concatenate([ids[~member], ids[member]])
+        some = n > 0
+        return pa.table({"u": np.concatenate([ids[some], u]),
                          "v": pa.array(np.concatenate([np.zeros(some.sum(), np.int64), v]),
                                        mask=np.arange(some.sum() + len(u)) < some.sum()),
-                         "n": np.concatenate([count[some], np.zeros(len(u), np.int64)])})
+                         "n": np.concatenate([n[some], np.zeros(len(u), np.int64)])})
 
     links = write_shared(homes.unionByName(queries).groupBy("cell", "h", "q").applyInArrow(
         compare, "u long, v long, n long"))

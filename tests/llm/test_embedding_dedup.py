@@ -51,6 +51,19 @@ def test_matches_brute_force(spark, d, z, blocks):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_drifting_families(spark):
+    """Vectors along arcs: the displacement of linked vectors lies along the line between two centres."""
+    rnd = np.random.default_rng(4)
+    x = []
+    for _ in range(30):
+        a, b = np.linalg.qr(rnd.normal(size=(200, 2)))[0].T
+        t = rnd.uniform(0, 1.2, size=(90, 1))
+        x.append(np.cos(t) * a + np.sin(t) * b + 0.002 * rnd.normal(size=(90, 200)))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(np.concatenate(x).astype(np.float32))]
+    out = E.near_copies(spark.createDataFrame(rows, SCHEMA).repartition(4), cell_rows=40)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert E.near_copies(df).count() == 0

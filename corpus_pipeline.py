@@ -5,7 +5,7 @@ stage's ``docs``; all but the last return the columns of ``documents``.
 
 1. quality: documents that the co-trained classifier rejects go.
 2. lines: boilerplate lines of a source go; ``n_chars`` follows the text.
-3. near copies: one document of each group stays, the one with the smallest id.
+3. near copies: one document of each group stays, the one with the smallest id (and digest, when texts share it).
 4. benchmark: contaminated documents go.
 5. packing: pieces of the documents with their places in sequences.
 
@@ -49,16 +49,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         k = keys.select(F.col("doc_id").alias("__k"), F.col("digest").alias("__d")).distinct()
         return rows.join(maybe_broadcast(k), (F.col("doc_id") == F.col("__k")) & (F.col("__digest") == F.col("__d")), "left_anti")
 
-    # representatives whose id has several linked rows: one of them stays
-    repeated = found.where("doc_id = class_id").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.min("digest").alias("digest")).where("n > 1")
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    # representatives that several rows repeat: one of them stays
+    repeated = found.where(first).groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
     if repeated.limit(1).count() == 0:
-        return without(rows, found.where("doc_id <> class_id")).select(*COLUMNS)
-    many = found.join(repeated.select("doc_id"), "doc_id", "left_semi")
-    single = without(rows, found.where("doc_id <> class_id").unionByName(many))
+        return without(rows, found.where(~first)).select(*COLUMNS)
+    single = without(rows, found.where(~first).select("doc_id", "digest").unionByName(repeated.select("doc_id", "digest")))
     chosen = (rows.join(repeated.select(F.col("doc_id").alias("__k"), "digest"),
                         (F.col("doc_id") == F.col("__k")) & (F.col("__digest") == F.col("digest")), "left_semi")
-              .dropDuplicates(["doc_id"]))
+              .dropDuplicates(["doc_id", "__digest"]))
     return single.select(*COLUMNS).unionByName(chosen.select(*COLUMNS))
 
 

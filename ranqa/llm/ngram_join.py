@@ -14,8 +14,10 @@
 
 Large buckets and clusters are dealt into blocks and compared by pairs of blocks, so no task holds a whole one.
 
-Defined results: rows that repeat an id are counted each and linked by their texts, and groups with the same smallest id
-are one.  Null, empty and blank texts hold no run and link with nothing, nor do rows with a null id (their group is null); an
+Nodes are (id, digest of the text) of a class's first row, so unlike texts under one id are nodes of their own.
+
+Defined results: rows that repeat an id are counted each and linked by their texts; a group is named by its smallest id,
+and ``class_digest`` tells groups with the same one apart.  Null, empty and blank texts hold no run and link with nothing, nor do rows with a null id (their group is null); an
 empty table gives no row; other columns are ignored.
 """
 
@@ -43,6 +45,10 @@ SKETCH = T.StructType([T.StructField("fp1", T.LongType()), T.StructField("fp2",
                        T.StructField("runs", T.LongType()), T.StructField("sig", T.BinaryType())])
 
 
+#: a class of equal run sets by its first row; ordered by the id, so the smallest node of a group has its smallest id
+NODE = "struct<doc_id: long, digest: long>"
+
+
 def run_set(words: np.ndarray, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words."""
     return np.unique(rolling(words, min(n, len(words)))) if len(words) else np.zeros(0, np.uint64)
@@ -158,17 +164,16 @@ def verify_block(sets: list[np.ndarray], blk: np.ndarray, weight: np.ndarray, si
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
                    target_recall: float = TARGET_RECALL, bucket_block: int = BUCKET_BLOCK, verify_rows: int = VERIFY_ROWS,
                    verify_runs: int = VERIFY_RUNS) -> DataFrame:
-    """One row per document row: ``doc_id, digest, class_id, n_links``.
+    """One row per document row: ``doc_id, digest, class_id, class_digest, n_links``.
 
-    ``class_id`` is the smallest id reachable over links, ``n_links`` the number of other rows at the
+    ``class_id`` is the smallest id reachable over links and ``class_digest`` the smallest digest that has it, ``n_links`` the number of other rows at the
     similarity or above, copies included.
     """
     slim = write_shared(sketches(docs, doc_id, text))
     usable = slim.where("doc_id is not null and runs > 0")
     one = write_shared(usable.groupBy("fp1", "fp2").agg(
-        F.min(F.struct("doc_id", "digest")).alias("rep"), F.count("*").alias("w"), F.first("runs").alias("runs"),
-        F.first("sig").alias("sig")).select("fp1", "fp2", F.col("rep.doc_id").alias("node"),
-                                            F.col("rep.digest").alias("digest"), "w", "runs", "sig"))
+        F.min(F.struct("doc_id", "digest")).alias("node"), F.count("*").alias("w"), F.first("runs").alias("runs"),
+        F.first("sig").alias("sig")))
     shortest = shortest_prefix(similarity, target_recall)
     least = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / (TREES * DEPTH)))
 
@@ -178,43 +183,44 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for t in range(TREES)])).alias("x")).select("node", "x.tree", "x.bucket")
     full = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     met = entries.join(full, "bucket").join(one.select("node", "sig"), "node")
-    # repeated ids give one node several signatures; each stays a row
     met = block_pairs(met, F.ceil(F.col("n") / bucket_block), F.col("node"))
 
     def forest():
         def run(t: pa.Table, at: np.ndarray) -> pa.Table:
-            node, tree = t["node"].to_numpy(), t["tree"].to_numpy()
+            tree = t["tree"].to_numpy()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(t), -1)
             us, vs = [], []
             for s, e in zip(at[:-1], at[1:]):
                 k = tree[s] * DEPTH
                 root = bucket_forest(sig[s:e], sig[s:e, k:k + DEPTH], shortest, least)
                 moved = np.flatnonzero(root != np.arange(e - s))
-                us.append(node[s:e][moved])
-                vs.append(node[s:e][root[moved]])
-            return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                us.append(s + moved)
+                vs.append(s + root[moved])
+            return pa.table({"u": t["node"].take(pa.array(np.concatenate(us))), "v": t["node"].take(pa.array(np.concatenate(vs)))})
         return run
 
     near = clustered_map(met.select("bucket", "bi", "bj", "tree", "node", "sig"), ["bucket", "bi", "bj"],
-                         "u long, v long", forest)
+                         f"u {NODE}, v {NODE}", forest)
     clusters = write_shared(components(near))
-    inside = (one.select("node", "digest", "w", "runs")
-              .join(clusters.select("node", F.col("component").alias("cluster")), "node"))
-    sizes = inside.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("runs").alias("all_runs"))
-    inside = write_shared(inside.join(sizes, "cluster"))
+    inside = (one.select("node", "w", "runs")
+              .join(clusters.select("node", F.col("component.doc_id").alias("c1"), F.col("component.digest").alias("c2")), "node"))
+    sizes = inside.groupBy("c1", "c2").agg(F.count("*").alias("rows"), F.sum("runs").alias("all_runs"))
+    inside = write_shared(inside.join(sizes, ["c1", "c2"]))
 
     # verification: every cluster's texts by pairs of blocks
-    texts = docs.select(F.col(doc_id).cast("long").alias("node"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest"),
+    texts = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id"),
+                                 F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest")).alias("node"),
                         F.col(text).alias("text"))
-    rows = texts.join(maybe_broadcast(inside), ["node", "digest"])
+    rows = texts.join(maybe_broadcast(inside), "node")
     blocks = F.greatest(F.ceil(F.col("rows") / verify_rows), F.ceil(F.col("all_runs") / verify_runs))
-    rows = block_pairs(rows, blocks, F.struct("node", "digest"))
+    rows = block_pairs(rows, blocks, F.col("node"))
 
     def verify():
         def run(t: pa.Table, at: np.ndarray) -> pa.Table:
-            node, digest, w, blk = (t[c].to_numpy() for c in ("node", "digest", "w", "blk"))
-            bi, bj = t["bi"].to_numpy(), t["bj"].to_numpy()
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            nodes = t["node"].combine_chunks()
+            node, digest = (c.to_numpy() for c in nodes.flatten())
+            w, blk, bi, bj = (t[c].to_numpy() for c in ("w", "blk", "bi", "bj"))
+            out: list[list[np.ndarray]] = [[], [], []]
             for s, e in zip(at[:-1], at[1:]):
                 _, first = np.unique(np.stack([node[s:e], digest[s:e]]), axis=1, return_index=True)  # repeated rows
                 first = np.sort(first) + s
@@ -224,28 +230,27 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 count, root = verify_block(sets, blk[first], w[first], similarity, bi[s] == bj[s])
                 moved = np.flatnonzero(root != np.arange(len(first)))
                 some = np.flatnonzero(count > 0)
-                for o, v in zip(out, (
-                        np.concatenate([node[first[moved]], node[first[some]]]),
-                        np.concatenate([node[first[root[moved]]], digest[first[some]]]),
-                        np.concatenate([np.zeros(len(moved), np.int64), count[some]]),
-                        np.concatenate([np.ones(len(moved), np.int64), np.zeros(len(some), np.int64)]))):
+                for o, v in zip(out, (np.concatenate([first[moved], first[some]]),
+                                      np.concatenate([first[root[moved]], np.full(len(some), -1)]),
+                                      np.concatenate([np.zeros(len(moved), np.int64), count[some]]))):
                     o.append(v)
-            return pa.table({k: np.concatenate([*o, np.zeros(0, np.int64)]) for k, o in zip(("u", "v", "n", "link"), out)})
+            u, v, n = (np.concatenate([*o, np.zeros(0, np.int64)]) for o in out)
+            return pa.table({"u": nodes.take(pa.array(u)), "v": nodes.take(pa.array(v, mask=v < 0)), "n": n})
         return run
 
     checked = write_shared(clustered_map(
-        rows.select("cluster", "bi", "bj", "blk", "node", "digest", "w", "text"), ["cluster", "bi", "bj"],
-        "u long, v long, n long, link long", verify))
-    groups = components(checked.where("link = 1").select("u", "v"))
-    counts = checked.where("link = 0").groupBy(F.col("u").alias("node"), F.col("v").alias("digest")).agg(F.sum("n").alias("n"))
-    named = (one.join(counts, ["node", "digest"], "left").select(
+        rows.select("c1", "c2", "bi", "bj", "blk", "node", "w", "text"), ["c1", "c2", "bi", "bj"],
+        f"u {NODE}, v {NODE}, n long", verify))
+    groups = components(checked.where("v is not null").select("u", "v"))
+    counts = checked.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    named = (one.join(counts, "node", "left").select(
         "fp1", "fp2", "node", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"))
         .join(groups.withColumnRenamed("component", "c"), "node", "left")
-        .select("fp1", "fp2", "n_links", F.coalesce("c", "node").alias("class_id")))
+        .select("fp1", "fp2", "n_links", F.coalesce("c", "node").alias("class")))
     linked = usable.select("doc_id", "digest", "fp1", "fp2").join(named, ["fp1", "fp2"]).select(
-        "doc_id", "digest", "class_id", "n_links")
+        "doc_id", "digest", F.col("class.doc_id").alias("class_id"), F.col("class.digest").alias("class_digest"), "n_links")
     alone = slim.where("doc_id is null or runs = 0").select(
-        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        "doc_id", "digest", F.col("doc_id").alias("class_id"), F.col("digest").alias("class_digest"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 

@@ -68,6 +68,25 @@ def test_hot_group_of_near_copies(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(brute(rows))
 
 
+def test_near_copies_under_one_id(spark, monkeypatch):
+    """Two near copies share an id and have no third; another id is held by a third of all rows."""
+    rnd = random.Random(5)
+    pair = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(pair), ""), (1, " ".join([*pair[:59], "other"]), "")]
+    base = [f"w{i}" for i in range(120)]
+    for i in range(240):
+        w = list(base)
+        w[rnd.randrange(120)] = f"x{i}"
+        rows.append((50 if i % 3 else 100 + i, " ".join(w), ""))
+    rows += [(50, " ".join(f"u{i}-{j}" for j in range(20)), "") for i in range(80)]
+    rows += [(200 + i, " ".join(f"v{i}-{j}" for j in range(20)), "") for i in range(150)]
+    met, deal = [], J.block_pairs
+    monkeypatch.setattr(J, "block_pairs", lambda df, *a: met.append(df.count()) or deal(df, *a))
+    out = J.near_documents(spark.createDataFrame(rows, SCHEMA), bucket_block=50, verify_rows=64).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in out) == sorted(brute(rows))
+    assert met[0] <= J.TREES * len(rows)  # no pairs of the hot id's signatures
+
+
 def test_recall_of_the_tries():
     for s in (0.8, 0.9):
         d = J.shortest_prefix(s)

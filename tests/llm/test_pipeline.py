@@ -79,3 +79,15 @@ def test_repeated_and_odd_rows(spark, tmp_path):
     for _, stage in P.STAGES:
         assert stage(spark, empty, SF).count() == 0
     assert P.drop_boilerplate(spark, docs, SF).count() == len(rows)
+
+
+def test_near_copies_under_one_id(spark):
+    """A group within one id keeps one row; two groups with the same smallest id keep one each."""
+    words = [[f"{c}{i}" for i in range(60)] for c in "abc"]
+    full, other = ([" ".join([*w[:59], last]) for w in words] for last in ("end", "close"))
+    rows = [(1, full[0]), (1, other[0]), (2, full[1]), (2, full[2]), (3, other[1]), (4, other[2]), (4, other[2])]
+    docs = spark.createDataFrame([(d, t, "en", "s", 9) for d, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text) for r in P.keep_one_of_each_group(spark, docs, SF).collect())
+    assert [d for d, _ in got] == [1, 2, 2] and got[0][1] in (full[0], other[0])
+    assert {t for _, t in got[1:]} == {full[1], full[2]}

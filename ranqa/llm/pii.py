@@ -18,9 +18,9 @@ ip       four octets up to 255                       32 bits
 date     yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy          the day, 1900 to 2099
 =======  ==========================================  ===============================================
 
-Values that fail their check stay as they are.  Defined results: null text stays null with no findings; empty and long
-texts are scanned whole; repeated rows get the same result; an empty table gives no row; all
-columns are carried through.  One pass, no shuffle.
+Values that fail their check stay as they are, and so do numbers in other than ASCII digits.  Defined results: null text
+stays null with no findings; empty and long texts are scanned whole; repeated rows get the same result; an empty table
+gives no row; all columns are carried through.  One pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -45,12 +45,12 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 
 FINDER = re.compile(r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?!\w))
-  | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w))
-  | (?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-  | (?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d))
-  | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-  | (?P<iban>(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w))
-  | (?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?P<sep>[ -])\d{4}(?P=sep)\d{4}(?P=sep)\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))
+  | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w))
+  | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\w|\.[0-9]))
+  | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w))
+  | (?P<card>(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w))
 """, re.VERBOSE)
 
 
@@ -119,7 +119,7 @@ def _iban_mod(country: str, check: str, account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account + country + check)) % 97
 
 
-DATES = (("%Y-%m-%d", re.compile(r"\d{4}-")), ("%d.%m.%Y", re.compile(r"\d\d\.")), ("%m/%d/%Y", re.compile(r"\d\d/")))
+DATES = (("%Y-%m-%d", re.compile(r"[0-9]{4}-")), ("%d.%m.%Y", re.compile(r"[0-9]{2}\.")), ("%m/%d/%Y", re.compile(r"[0-9]{2}/")))
 
 
 def pseudonym(kind: str, value: str, perm) -> str | None:

@@ -64,14 +64,23 @@ def binary_views(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off.astype(np.int64)
 
 
+def free_name(wanted: str, *taken: DataFrame) -> str:
+    """``wanted``, lengthened until no column of the given tables has that name (Spark compares without case)."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while wanted.lower() in names:
+        wanted += "_"
+    return wanted
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: T.StructType, make: Callable[[], Callable]) -> DataFrame:
     """``df`` plus the columns of ``schema`` in one pass without a shuffle.
 
     ``make()`` is called once per task and returns a function from the Arrow arrays of
     ``inputs`` to one Arrow array per new column.  Columns of ``df`` with a new column's name are replaced.
     """
-    keep = [c for c in df.columns if c not in schema.names]
-    given = [F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]
+    new = {c.lower() for c in schema.names}
+    keep = [c for c in df.columns if c.lower() not in new]
+    given = [F.col(f"`{c}`").alias(free_name(f"__in{i}", df)) for i, c in enumerate(inputs)]
     src = df.select(*given, *[F.col(f"`{c}`") for c in keep])
     out = T.StructType([*[df.schema[c] for c in keep], *schema.fields])
     n = len(inputs)

@@ -1,19 +1,28 @@
 """Keyword tagging: which labels of a synonym lexicon occur in a text.
 
-The lexicon is a small dimension (label order, keywords in order).  Tagging
-is a per-row native expression over a literal array of (keyword, label)
-pairs, so it needs no join; the same expression serves a lexicon of any
-size.  A null text holds no keyword (empty list); a keyword that two labels
-share counts for both.
+The lexicon is a small dimension (label order, keywords in order).  Up to
+``AUTOMATON_FROM`` keywords, tagging is a native expression over a literal
+array of (keyword, label) pairs, one search of the text per keyword.  A larger
+lexicon goes through a multi-pattern automaton (Aho-Corasick), built once per
+Python worker: one pass over the text finds every keyword, whatever their
+number.  Both give the same list.  A null text holds no keyword (empty list); a
+keyword that two labels share counts for both.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Lexicon = list[tuple[str, list[str]]]
 
+# keywords from which one pass of the automaton is cheaper than a search per keyword
+AUTOMATON_FROM = 100
+
 # The reference's lexicon, label -> synonyms, in its order.
 DEFAULT_LEXICON: Lexicon = [
     ("业务内涵", ["业务内涵", "业务的内涵", "内涵"]),
@@ -52,16 +61,52 @@ def _pairs(lexicon: Lexicon) -> Column:
                      for label, _, kw, _ in lexicon_rows(lexicon)])
 
 
-def keyword_hits(text, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+@lru_cache(maxsize=8)
+def _finder(keywords: tuple[str, ...]) -> Callable[[str], list[int]]:
+    """text -> sorted places in ``keywords`` of those that it contains; the automaton is kept per worker."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for i, kw in enumerate(keywords):
+        places.setdefault(kw, []).append(i)
+    always = places.pop("", [])
+    automaton = ahocorasick.Automaton()
+    for kw in places:
+        automaton.add_word(kw, kw)
+    if places:
+        automaton.make_automaton()
+
+    def find(text: str) -> list[int]:
+        found = {kw for _, kw in automaton.iter(text)} if places else ()
+        return sorted([*always, *(i for kw in found for i in places[kw])])
+
+    return find
+
+
+def _automaton_places(text: Column, keywords: tuple[str, ...]) -> Column:
+    @F.pandas_udf("array<int>")
+    def places(texts: pd.Series) -> pd.Series:
+        find = _finder(keywords)
+        return pd.Series([find(t) for t in texts])
+
+    return places(text)
+
+
+def keyword_hits(text, lexicon: Lexicon = DEFAULT_LEXICON, automaton_from: int = AUTOMATON_FROM) -> Column:
     """One label per keyword found (case-sensitive substring), lexicon order,
     duplicates kept: a label whose two synonyms both occur appears twice."""
     t = F.coalesce(_col(text), F.lit(""))
-    return F.transform(F.filter(_pairs(lexicon), lambda p: F.instr(t, p["k"]) > 0), lambda p: p["l"])
+    rows = lexicon_rows(lexicon)
+    if len(rows) < automaton_from:
+        return F.transform(F.filter(_pairs(lexicon), lambda p: F.instr(t, p["k"]) > 0), lambda p: p["l"])
+    # the worker returns numbers; labels are looked up in the JVM
+    labels = F.array(*[F.lit(label) for label, *_ in rows])
+    return F.transform(_automaton_places(t, tuple(kw for _, _, kw, _ in rows)), lambda i: F.get(labels, i))
 
 
-def tag_labels(text, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+def tag_labels(text, lexicon: Lexicon = DEFAULT_LEXICON, automaton_from: int = AUTOMATON_FROM) -> Column:
     """Distinct labels found, in lexicon (label) order."""
-    return F.array_distinct(keyword_hits(text, lexicon))
+    return F.array_distinct(keyword_hits(text, lexicon, automaton_from))
 
 
 def tag_string(text, lexicon: Lexicon = DEFAULT_LEXICON, sep: str = ",") -> Column:

@@ -20,7 +20,7 @@ equi-join on a dense catalog index.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranqa.functions.keyed import DEFAULT_SEED, digest_slice, keyed_digest
@@ -271,3 +271,35 @@ def conversation_turns(records: DataFrame) -> DataFrame:
     """Inverse of :func:`conversation_regroup`."""
     return records.select("conv_id", F.explode("conversations").alias("t")).select(
         "conv_id", "t.turn", F.col("t.from").alias("role"), F.col("t.value").alias("text"))
+
+
+def exchange_records(turns: DataFrame) -> DataFrame:
+    """Every turn of a turn table (conv_id, turn, role, text) in a question-answer record or listed as unmatched.
+
+    A user turn and the assistant turn with the next number make one row: ``conv_id, turn, role, id, status, question, answer``
+    with status ``record`` and ``id`` dense from 1 in (conv_id, turn) order; the assistant turn is in it.  Other turns have a row of
+    their own without id: ``unanswered`` (user), ``unasked`` (assistant) or ``other role``.  Rows that repeat a (conv_id,
+    turn, role) are matched in the order of their texts.  A null text is ''.
+    """
+    number = Window.partitionBy("conv_id", "turn", "role").orderBy(F.col("text").asc_nulls_first())
+    t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text",
+                     F.row_number().over(number).alias("copy")).withColumn("text", F.coalesce("text", F.lit("")))
+    # both sides of an exchange under the user turn's number: one aggregation instead of a join
+    side = F.when(F.col("role") == "user", "u").when(F.col("role") == "assistant", "a")
+    at = F.when(F.col("role") == "assistant", F.col("turn") - 1).otherwise(F.col("turn"))
+    sides = t.where(side.isNotNull()).select("conv_id", at.alias("at"), "copy", side.alias("side"), "text")
+    met = sides.groupBy("conv_id", "at", "copy").agg(F.max(F.when(F.col("side") == "u", F.col("text"))).alias("question"),
+                                                      F.max(F.when(F.col("side") == "a", F.col("text"))).alias("answer"))
+    both = F.col("question").isNotNull() & F.col("answer").isNotNull()
+    pairs, _ = dense_index_counted(met.where(both), ["conv_id", "at", "copy"], "idx")
+    records = pairs.select("conv_id", F.col("at").alias("turn"), F.lit("user").alias("role"), (F.col("idx") + 1).alias("id"),
+                           F.lit("record").alias("status"), "question", "answer")
+    asked = F.col("question").isNotNull()
+    alone = met.where(~both).select(
+        "conv_id", F.when(asked, F.col("at")).otherwise(F.col("at") + 1).alias("turn"),
+        F.when(asked, "user").otherwise("assistant").alias("role"), F.lit(None).cast("long").alias("id"),
+        F.when(asked, "unanswered").otherwise("unasked").alias("status"), "question", "answer")
+    other = t.where(side.isNull()).select("conv_id", "turn", "role", F.lit(None).cast("long").alias("id"),
+                                          F.lit("other role").alias("status"), F.col("text").alias("question"),
+                                          F.lit(None).cast("string").alias("answer"))
+    return records.unionByName(alone).unionByName(other)

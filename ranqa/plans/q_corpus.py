@@ -10,7 +10,7 @@ from ranqa.operators.split import (VAL_FRACTION, exact_split, finetune_split, ha
                                    keyed_shuffle)
 from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
 from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
-                                       conversation_regroup, conversation_turns,
+                                       conversation_regroup, conversation_turns, exchange_records,
                                        expand_advanced, expand_base, indexed_entities, negative_questions,
                                        no_entity_questions, template_rejects, union_corpus, with_records)
 from ranqa.plans.registry import register
@@ -89,7 +89,7 @@ btpl0 AS (
   FROM benchmark WHERE text IS NOT NULL),
 btpl AS (
   SELECT *, row_number() OVER (ORDER BY template_id) - 1 AS template_ord, count(*) OVER () AS n_t
-  FROM btpl0 WHERE template <> '')"""
+  FROM btpl0)"""
 
 
 def _slice(dg: str, i: int) -> str:
@@ -148,7 +148,7 @@ def _sql_turn_kind(kind: str, role: str, tagged: bool) -> str:
 {kind} AS (
   SELECT '{kind}' AS kind, row_number() OVER (ORDER BY conv_id, turn) AS id, 0 AS sample_no,
          conv_id AS template_id, '' AS entity, text AS question, {labels} AS labels
-  FROM conversations WHERE role = '{role}' AND text IS NOT NULL AND text <> '')"""
+  FROM conversations WHERE role = '{role}' AND text IS NOT NULL)"""
 
 
 SQL_CORPUS = ("WITH " + SQL_NAMES + "," + SQL_BASE + "," + SQL_ADV + "," +
@@ -347,24 +347,24 @@ def keyed_shuffle_q(spark, sf):
     return keyed_shuffle(c, ["conv_id", "turn"], seed=SEED)
 
 
-@register("turn_records", "D14 D18: chat records from the turn table (user turn + next assistant turn)", f"""
-WITH pairs AS (
-  SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text
-  FROM conversations u JOIN conversations a
-    ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-  WHERE u.role = 'user'),
-numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS id FROM pairs)
-SELECT conv_id, turn, id, {_rec_sql('id', 'user_text', 'assistant_text')} AS record_json FROM numbered""")
+@register("turn_records", "D14 D18: every turn in a chat record (user turn + next assistant turn) or listed as unmatched", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS copy FROM conversations),
+joined AS (
+  SELECT u.conv_id, u.turn, u.role, u.copy, u.text, a.conv_id IS NOT NULL AS answered, a.text AS answer
+  FROM t u LEFT JOIN t a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.copy = u.copy AND a.role = 'assistant'
+    AND u.role = 'user'),
+pairs AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, copy) AS id FROM joined WHERE answered)
+SELECT conv_id, turn, role, id, 'record' AS status,
+  {_rec_sql('id', "coalesce(text, '')", "coalesce(answer, '')")} AS record_json FROM pairs
+UNION ALL
+SELECT conv_id, turn, role, 0, CASE role WHEN 'user' THEN 'unanswered' WHEN 'assistant' THEN 'unasked' ELSE 'other role' END, ''
+FROM joined j WHERE NOT answered AND NOT (role = 'assistant' AND EXISTS (
+  SELECT 1 FROM t u WHERE u.conv_id = j.conv_id AND u.turn = j.turn - 1 AND u.copy = j.copy AND u.role = 'user'))""")
 def turn_records(spark, sf):
-    from ranqa.operators.indexing import dense_index_counted
-    c = table(spark, sf, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
-    a = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
-    pairs, _ = dense_index_counted(u.join(a, ["conv_id", "turn"]), ["conv_id", "turn"], "idx")
-    rec = conversation_record((F.col("idx") + 1), F.lit(SYSTEM_PROMPT), "user_text", "assistant_text")
-    return pairs.select("conv_id", "turn", (F.col("idx") + 1).alias("id"),
-                        F.to_json(rec).alias("record_json"))
+    t = exchange_records(table(spark, sf, "conversations"))
+    rec = conversation_record(F.col("id"), F.lit(SYSTEM_PROMPT), "question", "answer")
+    return t.select("conv_id", "turn", "role", F.coalesce("id", F.lit(0)).alias("id"), "status",
+                    F.when(F.col("status") == "record", F.to_json(rec)).otherwise("").alias("record_json"))
 
 
 @register("conversation_regroup", "D18: whole conversations, every turn kept in order", """
@@ -389,15 +389,16 @@ BIG_LEXICON = [(f"L{k:02d}", [a + b + c for a in "abcdefghij" for b in "aeiou" f
                for k, chars in enumerate(["abcdefghijk", "hijklmnopqr", "qrstuvwxyz ", "a!?.,:;ghi"])]
 
 
-@register("keyword_tags_large", "D9: over 2,000 keywords, shared keywords, null texts", f"""
-WITH d AS (SELECT doc_id, CASE WHEN lang <> 'es' THEN text END AS t FROM documents),
+@register("keyword_tags_large", "D9: over 2,000 keywords on whole texts and a null one, keywords that labels share", f"""
+WITH d AS (SELECT doc_id, text AS t FROM documents UNION ALL SELECT -1, NULL),
 kw AS (SELECT unnest({sql_list([kw for _, kws in BIG_LEXICON for kw in kws])}) AS k,
               unnest({sql_list([lab for lab, kws in BIG_LEXICON for _ in kws])}) AS l),
 hits AS (SELECT doc_id, l FROM d JOIN kw ON contains(d.t, kw.k))
 SELECT d.doc_id, count(h.l) AS n_hits, coalesce(string_agg(DISTINCT h.l, ',' ORDER BY h.l), '') AS labels
 FROM d LEFT JOIN hits h ON d.doc_id = h.doc_id GROUP BY d.doc_id""")
 def keyword_tags_large(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "es", F.col("text")).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t")).unionByName(
+        spark.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("t")))
     hits = d.select("doc_id", keyword_hits("t", BIG_LEXICON).alias("hits"))
     return hits.select("doc_id", F.size("hits").alias("n_hits"),
                        F.array_join(F.array_distinct("hits"), ",").alias("labels"))

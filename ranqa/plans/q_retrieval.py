@@ -15,7 +15,8 @@ from ranqa.plans.registry import r6, register
 from ranqa.plans.sql_common import q
 from ranqa.plans.sql_rerank import r6 as s6
 from ranqa.plans.sql_rerank import sql_lev_ratio, sql_weighted_ratio
-from ranqa.session import ensure_checkpoint_dir
+from ranqa.operators.vector_index import build_index, search
+from ranqa.session import ensure_checkpoint_dir, shared_dir
 from ranqa.sources.sinks import read_index, write_index
 from ranqa.sources.tables import table
 
@@ -74,6 +75,37 @@ def index_roundtrip(spark, sf):
     return back.select("id", "name", F.size("embedding").alias("dim"), r6(l2norm(vec)).alias("norm"))
 
 
+NEAREST = 10
+_SQL_COSINE = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS s FROM v),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.e, b.e) / (a.s * b.s), 9) AS score
+          FROM u a JOIN u b ON a.vec_id <> b.vec_id)"""
+
+
+def _vector_index(spark, sf):
+    vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = os.path.join(shared_dir(spark), f"ivf-{uuid.uuid4().hex}")
+    build_index(vecs, path)
+    return path, vecs
+
+
+@register("vector_topk", "H1 S7 S8: ten nearest of every vector through the inverted-file index, exact mode", f"""
+{_SQL_COSINE}
+SELECT query_id, rank, id, {s6('score')} AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs)
+WHERE rank <= {NEAREST}""")
+def vector_topk(spark, sf):
+    path, vecs = _vector_index(spark, sf)
+    return search(spark, path, vecs, NEAREST, exact=True).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+@register("vector_topk_probed", "H1: ten nearest of every vector from its nearest cells only (recall is tested)")
+def vector_topk_probed(spark, sf):
+    path, vecs = _vector_index(spark, sf)
+    return search(spark, path, vecs, NEAREST).select("query_id", "rank", "id", r6("score").alias("score"))
+
+
 @register("encode_catalog", "D17: batch encoding of the distinct catalog with mapInPandas")
 def encode_catalog(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ranqa.functions.fuzzy import weighted_ratio, window_ratio
 from ranqa.operators.rerank import rerank
-from ranqa.operators.retrieval import fuzzy_catalog_topk
+from ranqa.operators.fuzzy_index import fuzzy_catalog_topk
 from ranqa.operators.stopwords import remove_stopwords
 from ranqa.operators.templates import SYSTEM_PROMPT
 

@@ -1,10 +1,7 @@
-"""Retrieval side: vector index, cosine hit lists, fuzzy catalog top-k, batch encoding.
+"""Retrieval side: catalog rows with their vectors, cosine hit lists, batch encoding.
 
 Nothing here forms all pairs of a group.  Hit lists are built by scoring each
-catalog row against the one query vector of its group (an N:1 join), and the
-catalog-wide fuzzy top-k scores every catalog row against a size-checked
-probe list inside the scan, keeping only a per-partition top-k before the
-shuffle.
+catalog row against the one query vector of its group (an N:1 join).
 """
 
 from __future__ import annotations
@@ -14,14 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# probes held in every task when scoring the catalog (proven bound)
-MAX_PROBES = 4096
-
-
 def as_double_vector(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.transform(c, lambda x: x.cast("double"))
@@ -82,63 +75,6 @@ def group_anchor_hits(index: DataFrame, group_col: str, *, text_col: str = "ques
                     F.col(text_col).alias("question"), score.alias("score"), group_col))
 
 
-def fuzzy_catalog_topk(probes: DataFrame, catalog: DataFrame, *, k: int = 8,
-                       scorer: Callable[[Column, Column], Column] | None = None,
-                       probe_id: str = "probe_id", probe_text: str = "probe_text",
-                       cand_id: str = "id", cand_text: str = "name",
-                       max_probes: int = MAX_PROBES) -> DataFrame:
-    """Top-``k`` catalog entries per probe by a fuzzy scorer (ties: smaller id).
-
-    Probes travel to the tasks as a literal array of at most ``max_probes``
-    entries; each catalog row is scored against every probe of the array
-    inside the scan (a generator, not a join), and ``row_number() <= k`` is
-    planned as a map-side partial top-k, so the shuffle carries at most ``k``
-    rows per probe per task.  A larger probe set is cut into chunks of
-    ``max_probes`` (dense probe index, one chunk on the driver at a time) and
-    the per-chunk results are unioned: the exact top-k needs every
-    (probe, entry) score, and this keeps memory bounded while doing exactly
-    that work.
-    """
-    from ranqa.functions.scoring import lev_ratio
-    from ranqa.operators.indexing import dense_index_counted
-
-    scorer = scorer or lev_ratio
-    probes = probes.select(F.col(probe_id).cast("bigint").alias(probe_id), F.col(probe_text))
-    head = probes.limit(max_probes + 1).collect()
-    if len(head) <= max_probes:
-        chunks = [head]
-    else:
-        indexed, n = dense_index_counted(probes, [probe_id], "_pidx")
-        chunks = [indexed.where((F.col("_pidx") >= lo) & (F.col("_pidx") < lo + max_probes))
-                  .select(probe_id, probe_text).collect()
-                  for lo in range(0, n, max_probes)]
-    cat = catalog.select(F.col(cand_id), F.col(cand_text))
-    out = None
-    for rows in chunks:
-        if not rows:
-            continue
-        part = _score_chunk(cat, rows, k, scorer, probe_id, probe_text, cand_id, cand_text)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return catalog.sparkSession.createDataFrame(
-            [], f"{probe_id} bigint, {probe_text} string, rank int, {cand_id} bigint, "
-                f"{cand_text} string, fuzzy int")
-    return out
-
-
-def _score_chunk(cat: DataFrame, rows, k, scorer, probe_id, probe_text, cand_id, cand_text) -> DataFrame:
-    probe_arr = F.array(*[F.struct(F.lit(r[0]).cast("bigint").alias("pid"),
-                                   F.lit(r[1]).alias("ptext")) for r in rows])
-    scored = (cat.withColumn("p", F.explode(probe_arr))
-              .select(F.col("p.pid").alias(probe_id), F.col("p.ptext").alias(probe_text),
-                      cand_id, cand_text)
-              .withColumn("fuzzy", scorer(F.col(probe_text), F.col(cand_text))))
-    w = Window.partitionBy(probe_id).orderBy(F.col("fuzzy").desc(), F.col(cand_id).asc())
-    return (scored.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select(probe_id, probe_text, "rank", cand_id, cand_text, "fuzzy"))
-
-
 _ENCODERS: dict[str, Callable] = {}
 
 

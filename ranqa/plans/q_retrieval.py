@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ranqa.functions.fuzzy import weighted_ratio
-from ranqa.operators.retrieval import encode_texts, fuzzy_catalog_topk, hashing_encoder, l2norm
+from ranqa.operators.fuzzy_index import fuzzy_catalog_topk
+from ranqa.operators.retrieval import encode_texts, hashing_encoder, l2norm
 from ranqa.plans.fixtures import indexed_catalog
 from ranqa.plans.registry import r6, register
 from ranqa.plans.sql_common import q

@@ -149,18 +149,6 @@ def test_stopwords(spark):
     assert got == "办理云手机业务"
 
 
-def test_fuzzy_topk_chunked_equals_single(spark):
-    from ranqa.operators.retrieval import fuzzy_catalog_topk
-    cat = spark.createDataFrame([(i, n) for i, n in enumerate(
-        ["small ring", "red widget", "blue bolt", "hot gear", "small gizmo", "red ring", "ring"])],
-        "id bigint, name string")
-    probes = spark.createDataFrame([(i, p) for i, p in enumerate(["ring", "red", "bolt", "gizmo", "xx"])],
-                                   "probe_id bigint, probe_text string")
-    one = sorted(map(tuple, fuzzy_catalog_topk(probes, cat, k=3).collect()))
-    many = sorted(map(tuple, fuzzy_catalog_topk(probes, cat, k=3, max_probes=2).collect()))
-    assert one == many and len(one) == 15
-
-
 def test_base_fill_follows_str_format(spark):
     tpls = ["{{{package_name}}}", "a {{b}} {package_name}", "{package_name}}", "{year}{package_name}", "{",
             "x}}y", "plain {package_name} and {package_name}", "{{package_name}}"]

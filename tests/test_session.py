@@ -22,7 +22,7 @@ def test_submitted_settings_win(tmp_path):
 
 def test_defining_a_rerank_starts_no_job(spark):
     from ranqa.operators.rerank import rerank
-    from ranqa.operators.retrieval import fuzzy_catalog_topk  # noqa: F401
+    from ranqa.operators.fuzzy_index import fuzzy_catalog_topk  # noqa: F401
     left = spark.createDataFrame([(1, "a", 1, 1, "a", 50.0)], "query_id long, query_text string, hit_pos long, id long, question string, score double")
     right = spark.createDataFrame([(1, 2)], "query_id long, x long")
     tracker = spark.sparkContext.statusTracker()

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ranqa.functions import blocks
 from ranqa.functions.fuzzy import weighted_ratio, window_ratio
-from ranqa.functions.scoring import text_length_penalty
+from ranqa.functions.scoring import lev_ratio, text_length_penalty
 from ranqa.operators.rerank import rerank_stages, rerank_trace
 from ranqa.plans.fixtures import brand_hits
 from ranqa.plans.registry import r6, register
+from ranqa.plans.sql_blocks import block_scores
 from ranqa.plans.sql_rerank import r6 as s6
-from ranqa.plans.sql_rerank import sql_penalty, sql_weighted_ratio, sql_window_ratio, with_rerank
+from ranqa.plans.sql_rerank import sql_lev_ratio, sql_penalty, sql_weighted_ratio, sql_window_ratio, with_rerank
 
 
 @register("cosine_hits", "H1 S7 S8: cosine hit lists from the vector index",
@@ -165,3 +167,51 @@ def agreement_flag(spark, sf):
     sc = rerank_stages(brand_hits(spark, sf)).scored
     return sc.groupBy("query_id").agg(*[F.first(c).alias(c) for c in
                                         ("best_question", "best_score", "fz_question", "fz_score", "flag")])
+
+
+_HIT_PAIRS = "\nhit_pairs AS (SELECT query_text AS a, question AS b FROM hits WHERE question IS NOT NULL)," + block_scores("hit_pairs")
+
+
+def _sql_block(score: str):
+    return lambda a, b: f"(SELECT bs.{score} FROM bs WHERE bs.a = {a} AND bs.b = {b})"
+
+
+@register("block_scores", "F1 F2 D2: plain, substring and weighted matching-block scores of query and hit texts",
+          with_rerank("SELECT a AS query_text, b AS question, ratio, partial, weighted FROM bs", after_hits=_HIT_PAIRS))
+def block_scores_q(spark, sf):
+    pairs = brand_hits(spark, sf).where("question is not null").select("query_text", "question").distinct()
+    return pairs.select("query_text", "question", blocks.ratio("query_text", "question").alias("ratio"),
+                        blocks.partial_ratio("query_text", "question").alias("partial"),
+                        blocks.weighted_ratio("query_text", "question").alias("weighted"))
+
+
+@register("rerank_blocks", "D3 F1 F2 F5: full re-rank, matching-block substring gate and weighted ranking",
+          with_rerank(RERANK_SELECT, gate=_sql_block("partial"), rank=_sql_block("weighted"), after_hits=_HIT_PAIRS))
+def rerank_blocks(spark, sf):
+    return _final(rerank_stages(brand_hits(spark, sf), gate_scorer=blocks.partial_ratio,
+                                rank_scorer=blocks.weighted_ratio).result)
+
+
+# Hit lists whose search score is the texts' own edit ratio: best hit and best text agree, so the flag is true and
+# the dominant rule decides.
+def _agreeing_hits(spark, sf):
+    h = brand_hits(spark, sf)
+    return h.withColumn("score", lev_ratio("query_text", "question").cast("double"))
+
+
+_AGREEING = f"CAST({sql_lev_ratio('query_text', 'question')} AS DOUBLE)"
+
+
+@register("gate_dominant", "P9 D6 D7 A5 A6: entropy gate where both lists agree (true flag, dominant rule)",
+          with_rerank(f"""
+SELECT query_id, question, merged_rank, {s6('norm')} AS norm, {s6('h')} AS h, {s6('t_min')} AS t_min,
+       flag, branch, keep FROM gated2""", score=_AGREEING))
+def gate_dominant(spark, sf):
+    g = rerank_stages(_agreeing_hits(spark, sf)).gated
+    return g.select("query_id", "question", "merged_rank", r6("norm").alias("norm"), r6("h").alias("h"),
+                    r6("t_min").alias("t_min"), "flag", "branch", "keep")
+
+
+@register("rerank_dominant", "D3 P9: full re-rank where the dominant rule decides", with_rerank(RERANK_SELECT, score=_AGREEING))
+def rerank_dominant(spark, sf):
+    return _final(rerank_stages(_agreeing_hits(spark, sf)).result)

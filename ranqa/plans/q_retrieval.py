@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ranqa.functions import blocks
 from ranqa.functions.fuzzy import weighted_ratio
 from ranqa.operators.fuzzy_index import fuzzy_catalog_topk
 from ranqa.operators.retrieval import encode_texts, hashing_encoder, l2norm
 from ranqa.plans.fixtures import indexed_catalog
 from ranqa.plans.registry import r6, register
+from ranqa.plans.sql_blocks import block_scores
 from ranqa.plans.sql_common import q
 from ranqa.plans.sql_rerank import r6 as s6
 from ranqa.plans.sql_rerank import sql_lev_ratio, sql_weighted_ratio
@@ -62,6 +64,18 @@ def fuzzy_catalog_wratio(spark, sf):
     return fuzzy_catalog_topk(probes(spark), _catalog(spark, sf), k=TOP_K, scorer=weighted_ratio)
 
 
+@register("fuzzy_catalog_blocks", "J7 D2 F2: per probe, top-8 catalog entries by the matching-block weighted ratio", f"""
+WITH RECURSIVE probe_pairs AS (SELECT DISTINCT pr.probe_text AS a, p.p_name AS b FROM part p CROSS JOIN {_PROBES_SQL}),
+{block_scores('probe_pairs')}
+SELECT probe_id, probe_text, rank, id, name, fuzzy FROM (
+  SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY fuzzy DESC, id ASC) AS rank FROM (
+    SELECT CAST(pr.probe_id AS BIGINT) AS probe_id, pr.probe_text, p.p_partkey AS id, p.p_name AS name, bs.weighted AS fuzzy
+    FROM part p CROSS JOIN {_PROBES_SQL} JOIN bs ON bs.a = pr.probe_text AND bs.b = p.p_name))
+WHERE rank <= {TOP_K}""")
+def fuzzy_catalog_blocks(spark, sf):
+    return fuzzy_catalog_topk(probes(spark), _catalog(spark, sf), k=TOP_K, scorer=blocks.weighted_ratio)
+
+
 @register("index_roundtrip", "S7 S8: vector + text index written as parquet and read back", f"""
 SELECT p.p_partkey AS id, p.p_name AS name, len(e.embedding) AS dim,
        {s6("sqrt(list_reduce(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x), lambda a, x: a + x))")} AS norm

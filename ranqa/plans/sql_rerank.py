@@ -147,8 +147,15 @@ last_hit AS (
   WHERE rn = 1)"""
 
 
-def with_rerank(select: str, gate=sql_lev_ratio, rank=sql_lev_ratio) -> str:
-    return "WITH " + RERANK_CTE.replace("@GATE@", gate("c.query_text", "c.question")).replace(
+def with_rerank(select: str, gate=sql_lev_ratio, rank=sql_lev_ratio, score: str | None = None, after_hits: str = "") -> str:
+    """``select`` over the re-rank chain; ``score`` replaces the hits' score, ``after_hits`` holds further CTEs."""
+    chain = RERANK_CTE
+    if score:
+        chain = chain.replace("\nhits AS (", "\nhits0 AS (").replace(
+            ",\nusable AS (", f",\nhits AS (SELECT * REPLACE ({score} AS score) FROM hits0),\nusable AS (", 1)
+    if after_hits:
+        chain = chain.replace(",\nusable AS (", f",{after_hits},\nusable AS (", 1)
+    return "WITH RECURSIVE " + chain.replace("@GATE@", gate("c.query_text", "c.question")).replace(
         "@RANK@", rank("query_text", "question")) + "\n" + select
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranqa.functions.keyed import DEFAULT_SEED
-from ranqa.operators.split import VAL_FRACTION, finetune_split, keyed_shuffle
+from ranqa.operators.permute import in_permuted_order, permuted
+from ranqa.operators.split import VAL_FRACTION, finetune_split
 from ranqa.operators.tagger import DEFAULT_LEXICON, Lexicon
 from ranqa.operators.templates import (NUM_SAMPLES, SYSTEM_PROMPT, expand_advanced, expand_base,
                                        indexed_entities, negative_questions, no_entity_questions,
@@ -22,6 +23,9 @@ from ranqa.sources.catalog import distinct_catalog, read_templates
 from ranqa.sources.sinks import write_jsonl, write_splits
 from ranqa.sources.tables import read_any
 
+# records per task of the shuffled export
+EXPORT_ROWS = 500_000
+
 
 def assemble_corpus(spark: SparkSession, *, base_path: str, advanced_path: str, negative_path: str,
                     no_entity_path: str, catalog_tables: list[DataFrame], catalog_column: str = "Q",
@@ -47,24 +51,38 @@ def export_corpus(corpus: DataFrame, out_dir: str, *, seed: int = DEFAULT_SEED,
     records (each kind shuffled, kinds in corpus order) as JSONL; return
     record counts per kind and total.
 
-    The corpus is generated once: the written table is the hand-off for the
-    shuffled export (whose range sort reads its input twice) and the counts.
+    The corpus is generated once.  A record's place is a keyed bijection of its id within its kind, so the
+    shuffled export moves every record once and neither samples nor sorts the whole table.
     """
     spark = corpus.sparkSession
     qa_path = os.path.join(out_dir, "qa")
     (corpus.select("kind", "kind_ord", "id", F.col("question").alias("Q"), F.col("answer").alias("A"))
      .write.mode("overwrite").parquet(qa_path))
     qa = spark.read.parquet(qa_path)
-    shuffled = keyed_shuffle(qa.select("kind", "kind_ord", "id", F.col("Q").alias("question"),
-                                       F.col("A").alias("answer")),
-                             ["kind", "id"], seed=seed, partition_cols=["kind_ord"])
-    records = with_records(shuffled, prompt).select(F.col("record.*"))
-    write_jsonl(records, os.path.join(out_dir, "conversations"))
-    counts = {r["kind"]: r["n"] for r in qa.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = qa.groupBy("kind", "kind_ord").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).orderBy(
+        "kind_ord").collect()  # one row per kind
+    counts = {r["kind"]: r["n"] for r in kinds}
     counts["total"] = sum(counts.values())
+    rows = qa.select("kind", "kind_ord", "id", F.col("Q").alias("question"), F.col("A").alias("answer"))
+    shuffled, n = shuffled_by_kind(rows, {r["kind"]: r["last"] for r in kinds}, seed)
+    tasks = max(1, -(-counts["total"] // EXPORT_ROWS), min(spark.sparkContext.defaultParallelism, counts["total"]))
+    records = with_records(in_permuted_order(shuffled, "place", n, tasks), prompt).select(F.col("record.*"))
+    write_jsonl(records, os.path.join(out_dir, "conversations"))
     return counts
 
 
+def shuffled_by_kind(rows: DataFrame, last: dict[str, int], seed: int = DEFAULT_SEED) -> tuple[DataFrame, int]:
+    """``rows`` (``kind``, ``id`` from 1 up to the kind's ``last``) with ``place``: kinds one after the other in the order given,
+    a keyed permutation inside each; and the number of places."""
+    start, at = {}, 0
+    for kind, n in last.items():
+        start[kind] = at
+        at += n
+    per_kind = lambda values: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in values.items()], F.lit(1))
+    place = per_kind(start) + permuted(F.col("id") - 1, per_kind(last), seed)
+    return rows.withColumn("place", place.cast("long")), at
+
+
 def read_qa_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """A Q/A table in any Spark format, reduced to its ``Q``/``A`` columns
     (plus the record key when present)."""

@@ -3,20 +3,28 @@ answers, chat records, split, shuffle."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ranqa.functions.text import strip_whitespace
+from ranqa.operators.corpus_jobs import shuffled_by_kind
+from ranqa.operators.indexing import dense_index_counted
+from ranqa.operators.permute import in_permuted_order, permuted
 from ranqa.operators.split import (VAL_FRACTION, exact_split, finetune_split, hash_split,
                                    keyed_shuffle)
 from ranqa.operators.tagger import keyword_hits, tag_labels, tag_string
-from ranqa.operators.templates import (LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
+from ranqa.operators.templates import (KINDS, LOCATIONS, SYSTEM_PROMPT, WEATHERS, conversation_record,
                                        conversation_regroup, conversation_turns, exchange_records,
                                        expand_advanced, expand_base, indexed_entities, negative_questions,
                                        no_entity_questions, template_rejects, union_corpus, with_records)
 from ranqa.plans.registry import register
-from ranqa.plans.sql_common import (q, sql_answer, sql_hash60, sql_keyword_hits, sql_list,
+from ranqa.plans.sql_common import (q, sql_answer, sql_hash60, sql_keyword_hits, sql_list, sql_permuted,
                                     sql_strip_ws, sql_tag_labels, sql_tag_string)
-from ranqa.sources.catalog import column_union, distinct_catalog
+from ranqa.session import shared_dir
+from ranqa.sources.catalog import column_union, distinct_catalog, read_lines
+from ranqa.sources.sinks import read_jsonl, write_jsonl, write_splits
 from ranqa.sources.tables import table
 
 # Parameters of the registered queries (not the reference's data, which is not
@@ -261,15 +269,28 @@ def qa_table(spark, sf):
     return corpus(spark, sf).select("kind", "id", F.col("question").alias("Q"), F.col("answer").alias("A"))
 
 
-@register("conversation_records", "D14 X14 U2 T4 S4: chat records of the corpus, shuffled per kind",
-          SQL_CORPUS + f"""
-SELECT kind, id, {sql_hash60(SEED, q('shuffle'), 'kind', 'id')} AS shuffle_key,
-       {_rec_sql('id', 'question', 'answer')} AS record_json FROM corpus""")
+def _kind_sizes(spark, sf):
+    """Ids of every kind run from 1 to this number: known from the inputs, not from the generated rows."""
+    n = base_templates(spark, sf).where("template is not null").count() * SAMPLES
+    turns = lambda role: turn_texts(spark, sf, role).where("template is not null").count()
+    return {"base": n, "advanced": n, "negative": turns("assistant"), "no_entity": turns("user")}
+
+
+@register("conversation_records", "D14 X14 U2 T4 S4: chat records of the corpus, kinds in order, permuted within each",
+          SQL_CORPUS + f""",
+sized AS (SELECT *, CASE WHEN kind IN ('base', 'advanced') THEN (SELECT count(*) FROM btpl) * {SAMPLES}
+                    ELSE count(*) OVER (PARTITION BY kind) END AS kind_n FROM corpus),
+starts AS (SELECT kind, max(kind_n) AS n FROM sized GROUP BY kind),
+placed AS (
+  SELECT s.*, {sql_permuted('s.id - 1', 's.kind_n', SEED)} + coalesce((
+      SELECT sum(n) FROM starts t WHERE list_position({sql_list(list(KINDS))}, t.kind) < list_position({sql_list(list(KINDS))}, s.kind)), 0)
+    AS place FROM sized s)
+SELECT kind, id, CAST(place AS BIGINT) AS place, {_rec_sql('id', 'question', 'answer')} AS record_json FROM placed""")
 def conversation_records(spark, sf):
-    # sort the narrow rows first, then build the JSON (the constant system
-    # prompt is not carried through the shuffle)
-    shuffled = keyed_shuffle(corpus(spark, sf), ["kind", "id"], seed=SEED, partition_cols=["kind_ord"])
-    return with_records(shuffled).select("kind", "id", "shuffle_key", "record_json")
+    # rows move once, before the JSON with its constant prompt is built
+    rows, n = shuffled_by_kind(corpus(spark, sf), _kind_sizes(spark, sf), SEED)
+    ordered = in_permuted_order(rows, "place", n, spark.sparkContext.defaultParallelism)
+    return with_records(ordered).select("kind", "id", "place", "record_json")
 
 
 @register("corpus_counts", "D16 A12 U2 U4: records per kind and in total (rollup)",
@@ -347,6 +368,60 @@ def keyed_shuffle_q(spark, sf):
     return keyed_shuffle(c, ["conv_id", "turn"], seed=SEED)
 
 
+@register("permuted_turns", "T4: keyed bijection of the turn table, rows moved to their places", f"""
+WITH t AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS i, count(*) OVER () AS n
+           FROM conversations)
+SELECT conv_id, turn, role, {sql_permuted('i', 'n', SEED)} AS place FROM t""")
+def permuted_turns(spark, sf):
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    idx, n = dense_index_counted(t, ["conv_id", "turn", "role", "text"], "i")
+    placed = idx.select("conv_id", "turn", "role", permuted("i", n, SEED).alias("place"))
+    return in_permuted_order(placed, "place", n, spark.sparkContext.defaultParallelism)
+
+
+def _scratch(spark, name):
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@register("line_files", "S3 X9: chat turns written as several line files and read back with their line numbers", f"""
+SELECT row_number() OVER (ORDER BY conv_id, turn, role, text) - 1 AS line_no,
+  CASE WHEN turn % 3 = 2 THEN '' ELSE conv_id || '|' || turn || '|' || regexp_replace(text, '[\\r\\n]+', ' ', 'g') END AS value
+FROM conversations WHERE text IS NOT NULL""")
+def line_files(spark, sf):
+    c = table(spark, sf, "conversations").where("text is not null")
+    line = F.when(F.col("turn") % 3 == 2, "").otherwise(
+        F.concat_ws("|", "conv_id", "turn", F.regexp_replace("text", r"[\r\n]+", " ")))
+    path = _scratch(spark, "lines")
+    (c.select("conv_id", "turn", "role", "text", line.alias("value")).repartitionByRange(5, "conv_id", "turn", "role", "text")
+     .sortWithinPartitions("conv_id", "turn", "role", "text").select("value").write.text(path))
+    return read_lines(spark, path)
+
+
+@register("jsonl_nested", "S4: nested chat records written as JSON Lines and read back, null fields kept", f"""
+SELECT conv_id AS id, turn, role AS "from", text AS value, CAST(NULL AS VARCHAR) AS note FROM conversations""")
+def jsonl_nested(spark, sf):
+    g = conversation_regroup(table(spark, sf, "conversations")).select(
+        F.col("conv_id").alias("id"), F.col("conversations"), F.lit(None).cast("string").alias("note"))
+    path = _scratch(spark, "records")
+    write_jsonl(g, path)
+    back = read_jsonl(spark, path, "id long, conversations array<struct<turn: long, `from`: string, value: string>>, note string")
+    return back.select("id", F.explode("conversations").alias("t"), "note").select("id", "t.turn", "t.from", "t.value", "note")
+
+
+@register("jsonl_splits", "S5 D15 G2: train and validation JSON Lines written in one pass and read back", f"""
+WITH t AS (SELECT conv_id, turn, role, text, {sql_hash60(SEED, q('split'), 'conv_id', 'turn')} AS h FROM conversations),
+ranked AS (SELECT *, row_number() OVER (ORDER BY h, conv_id, turn) AS rn, count(*) OVER () AS n FROM t)
+SELECT CASE WHEN rn <= ceil(0.1 * n) THEN 'val' ELSE 'train' END AS split, text AS query,
+  CASE WHEN role = 'assistant' THEN role END AS response FROM ranked""")
+def jsonl_splits(spark, sf):
+    t = exact_split(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id", "turn"], fraction=0.1,
+                    seed=SEED)
+    path = _scratch(spark, "splits")
+    write_splits(t.select("split", F.col("text").alias("query"), F.when(F.col("role") == "assistant", F.col("role")).alias("response")),
+                 path)
+    return read_jsonl(spark, path, "query string, response string, split string").select("split", "query", "response")
+
+
 @register("turn_records", "D14 D18: every turn in a chat record (user turn + next assistant turn) or listed as unmatched", f"""
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY text NULLS FIRST) AS copy FROM conversations),
 joined AS (

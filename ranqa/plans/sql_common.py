@@ -48,3 +48,17 @@ def sql_answer(entity: str, labels: str) -> str:
 
 def sql_list(values: list[str]) -> str:
     return "[" + ", ".join(q(v) for v in values) + "]"
+
+
+def sql_permuted(i: str, n: str, seed: int) -> str:
+    """The rounds of ``operators.permute.permuted`` as a reduction over their keys."""
+    from ranqa.operators.permute import PRIME, round_keys
+    big = lambda v: f"CAST({v} AS BIGINT)"
+    row = lambda x, k, a, c, b: f"{{'x': {x}, 'k': {k}, 'a': {a}, 'c': {c}, 'b': {b}}}"
+    zero = big(0)
+    keys = [row(big(i), zero, zero, zero, zero)] + [row(zero, *map(big, key)) for key in round_keys(seed)]
+    mirror = f"((r.k % {n} + {n} - t.x) % {n})"
+    larger = f"greatest(t.x, {mirror})"
+    bit = f"(({larger} % {PRIME}) * r.a + (({larger} >> 31) % {PRIME}) * r.c + r.b) % {PRIME} % 2"
+    step = row(f"CASE WHEN {bit} = 1 THEN {mirror} ELSE t.x END", zero, zero, zero, zero)
+    return f"list_reduce([{', '.join(keys)}], lambda t, r: {step}).x"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ranqa.session import bounded_broadcast, write_shared
+
 
 def column_union(tables: list[DataFrame], column: str, out_col: str | None = None) -> DataFrame:
     """Bag union of one named column over several tables ("sheets").
@@ -26,24 +28,26 @@ def distinct_catalog(tables: list[DataFrame], column: str, out_col: str = "name"
     return column_union(tables, column, out_col).distinct()
 
 
-def read_lines(spark: SparkSession, path: str, *, id_col: str = "line_no",
-               value_col: str = "value") -> DataFrame:
-    """A text file as ``(line_no, value)``: line breaks stripped, blank lines
-    kept, ``line_no`` dense from 0 in file order (one file; a folder of files
-    is numbered in Spark's split order).
+def read_lines(spark: SparkSession, path: str, *, id_col: str = "line_no", value_col: str = "value",
+               file_col: str | None = None) -> DataFrame:
+    """Text files as ``(line_no, value)``: line breaks (LF, CRLF, CR) stripped, blank lines kept, ``line_no`` dense from 0.
 
-    Splits of one file are read in offset order, so the monotonically
-    increasing row id follows the file; the dense index turns it into line
-    numbers without a Python round trip.
+    A folder's files are numbered one after the other in the order of their paths; ``file_col`` adds the path.  A split
+    of a file is read in order, so a line's number is its place in the split plus the lines of all splits before it by (path, byte
+    offset): sums over one row per split, no sort and no shuffle of the lines (the splits' table is joined by broadcast
+    up to a checked size).
     """
-    from ranqa.operators.indexing import dense_index_counted
-    from ranqa.session import write_shared
-
-    # written once, so the ids of the scan are fixed for every later pass
-    raw = write_shared(spark.read.text(path).select(F.monotonically_increasing_id().alias("_mid"),
-                                                    F.col("value").alias(value_col)))
-    indexed, _ = dense_index_counted(raw, ["_mid"], id_col)
-    return indexed.select(id_col, value_col)
+    # written once, so that the rows of a split keep their places
+    raw = write_shared(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_mid"), F.col("value").alias("_value")))
+    splits = raw.groupBy("_file", "_start").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    offsets = splits.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"),
+                            (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    numbered = raw.join(bounded_broadcast(offsets), (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    file = [F.col("_file").alias(file_col)] if file_col else []
+    return numbered.select(*file, (F.col("_mid") + F.col("_off")).alias(id_col), F.col("_value").alias(value_col))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:

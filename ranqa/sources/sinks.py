@@ -23,6 +23,11 @@ def write_splits(split_df: DataFrame, path: str, cols: tuple[str, ...] = ("query
     write_jsonl(split_df.select("split", *cols), path, partition_by=["split"])
 
 
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON Lines with a given schema (no inference pass); a line that does not fit it fails the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
 def write_index(index: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     """Persist ``(id, name, embedding)`` as parquet (the vector + text index)."""
     index.write.mode(mode).parquet(path)

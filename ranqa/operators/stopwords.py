@@ -10,6 +10,8 @@ dictionary per Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,12 +45,17 @@ def drop_stopwords(toks: Column, stopwords: list[str]) -> Column:
     return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 
-def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str = "space",
+def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str | Callable[[Column], Column] = "space",
                      dictionary: list[str] | None = None) -> Column:
     """Kept tokens of ``text`` joined by ``sep``.  Joined with '' (the default) white space counts as tokens, so what is
-    left keeps its spacing; with another ``sep`` it only separates."""
-    spaced = runs(text) if sep == "" else tokens(text)
-    toks = spaced if segmenter == "space" else segment_udf(dictionary or [])(_col(text))
+    left keeps its spacing; with another ``sep`` it only separates.  For unspaced text ``segmenter`` is a Column function to words
+    (``operators.segment.segmenter``), or "dict" for the longest words of ``dictionary``."""
+    if callable(segmenter):
+        toks = segmenter(_col(text))
+    elif segmenter == "space":
+        toks = runs(text) if sep == "" else tokens(text)
+    else:
+        toks = segment_udf(dictionary or [])(_col(text))
     return F.array_join(drop_stopwords(toks, stopwords), sep)
 
 

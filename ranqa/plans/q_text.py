@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ranqa.functions.text import WHITESPACE_CLASS
+from ranqa.functions.text import WHITESPACE_CLASS, strip_whitespace
+from ranqa.operators.segment import MAX_WORDS, segmenter, word_counts
 from ranqa.operators.stopwords import TOKEN_PATTERN, drop_stopwords, remove_stopwords, tokens
 from ranqa.plans.registry import register
 from ranqa.plans.sql_common import q, sql_list
@@ -41,3 +42,23 @@ SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, {q(WHITESPAC
   lambda t: NOT list_contains({sql_list(TEST_STOPWORDS)}, t)), '') AS cleaned FROM documents""")
 def stopwords_joined(spark, sf):
     return table(spark, sf, "documents").select("doc_id", remove_stopwords("text", TEST_STOPWORDS).alias("cleaned"))
+
+
+@register("word_counts", "D8 F3: corpus word counts that weigh the segmenter's dictionary", f"""
+SELECT w AS word, count(*) AS n FROM (SELECT unnest({_sql_tokens('text')}) AS w FROM documents) WHERE length(w) <= 32
+GROUP BY w ORDER BY n DESC, w LIMIT {MAX_WORDS}""")
+def word_counts_q(spark, sf):
+    return word_counts(table(spark, sf, "documents"))
+
+
+@register("segment_documents", "D8 F3: whole documents without white space cut into words by the most probable path")
+def segment_documents(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    cut = segmenter(spark, word_counts(docs), ["GmbH"])
+    # a table of one row group scans in one task; cutting is the work here
+    spread = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    bare = spread.select("doc_id", strip_whitespace("text").alias("bare"))
+    words = bare.select("doc_id", "bare", cut("bare").alias("words"))
+    return words.select("doc_id", F.size("words").alias("n_words"), (F.array_join("words", "") == F.col("bare")).alias("whole"),
+                        F.md5(F.array_join("words", "|")).alias("words_md5"),
+                        F.size(drop_stopwords(F.col("words"), TEST_STOPWORDS)).alias("n_kept"))

@@ -5,8 +5,8 @@
 2. Count pieces per length: ``capacity`` numbers at most, whatever the input.
 3. Plan on these counts: single, pair and triple sums of available lengths are looked up
    by the gap that a piece leaves; combinations that fill it exactly are consumed
-   as often as the counts allow, longest pieces first.  What stays is packed best-fit decreasing.  The plan is
-   a list of rank intervals per length, bounded by the number of lengths.
+   as often as the counts allow, longest pieces first.  What stays is packed best-fit decreasing.  The plan with the fewest
+   sequences over a few settings is taken: a list of rank intervals per length, bounded by the number of lengths.
 4. Every piece gets its rank among the pieces of its length (ranked in hash slots, so a
    frequent length is spread over tasks) and reads its place from the interval that holds the rank.
 
@@ -16,7 +16,8 @@ regex engines classify alike (below U+0250); other texts, and texts that
 hold the end-of-text string, go through ``tokenizers`` itself.
 
 Defined results: null text counts as empty (one piece holding only the end id); a
-null doc_id is kept; repeated rows are packed each; an empty table gives no row.
+null doc_id is kept; repeated rows are packed each; an empty table gives no row; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from ranqa.llm.common import shuffle_partitions, table
 from ranqa.session import write_shared
 
 CAPACITY, END_ID = 1024, 2
+#: (lengths that may fill a gap exactly, least length in pairs and triples as a share of the capacity); the last is plain best fit
+ATTEMPTS = [(3, 0), (3, 1 / 32), (3, 1 / 8), (2, 0), (2, 1 / 8), (1, 0), (0, 0)]
 #: rows that one slot of a length holds on average
 SLOT_ROWS = 200_000
 
@@ -102,8 +105,24 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     """Rank intervals ``(length, first rank, n, first sequence, offset)``: the piece of ``length`` with rank
     ``first rank + i`` is in sequence ``first sequence + i`` at ``offset``.
 
-    Works on counts only, in time bounded by the capacity.
+    Pairs and triples may spend short lengths that best fit needs later, so the plan is made with the settings of
+    ``ATTEMPTS`` and the one of fewest sequences is taken (of equal ones the first); the last setting is plain best-fit
+    decreasing, so the plan never uses more sequences than that.  Works on counts only, in time bounded by the capacity.
     """
+    bound = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best, fewest = [], None
+    for members, share in ATTEMPTS:
+        out, n = _plan(counts, capacity, members, int(share * capacity))
+        if fewest is None or n < fewest:
+            best, fewest = out, n
+        if fewest <= bound:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, members: int, least: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(rank intervals, sequences) when gaps are filled exactly by up to ``members`` lengths, in pairs and triples of at least
+    ``least`` each."""
     left = np.zeros(capacity + 1, np.int64)
     for n, c in counts.items():
         left[n] += c
@@ -129,19 +148,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             return None
         hi = np.arange(min(gap - 1, below), (gap - 1) // 2, -1)
         lo = gap - hi
-        ok = hi[(left[hi] > 0) & (left[lo] > 0) & ((hi != lo) | (left[hi] > 1))]
+        ok = hi[(left[hi] > 0) & (left[lo] > 0) & ((hi != lo) | (left[hi] > 1)) & (lo >= least)]
         return (int(ok[0]), gap - int(ok[0])) if len(ok) else None
 
     def fill(a: int) -> tuple[int, ...] | None:
-        """A combination of up to three available lengths that complements ``a`` exactly."""
+        """A combination of available lengths that complements ``a`` exactly."""
         gap = capacity - a
         left[a] -= 1
         try:
             if left[gap] > 0:
                 return (gap,)
-            if p := pair(gap, gap):
+            if members > 1 and (p := pair(gap, gap)):
                 return p
-            for b in range(gap - 2, 0, -1):
+            for b in range(gap - 2, max(least, 1) - 1, -1) if members > 2 else ():
                 if left[b] > 0:
                     left[b] -= 1
                     p = pair(gap - b, min(b, gap - b))
@@ -154,7 +173,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
     if left[capacity]:
         groups.append((m := int(left[capacity]), take((capacity,), m)))
-    for a in range(capacity - 1, 0, -1):
+    for a in range(capacity - 1, 0, -1) if members else ():
         while left[a] > 0 and (rest := fill(a)):
             m = most((a, *rest))
             groups.append((m, take((a, *rest), m)))
@@ -180,7 +199,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     for bins, slots in groups:
         out += [(k, r, bins, seq, o) for k, r, o in slots]
         seq += bins
-    return out
+    return out, seq
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, slot_rows: int = SLOT_ROWS) -> DataFrame:

@@ -1,9 +1,11 @@
+import bisect
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 from tokenizers import Tokenizer
 
 from ranqa.llm import packing as K
@@ -29,14 +31,32 @@ def check_plan(counts, capacity):
     return len(bins)
 
 
-def test_plan_is_gapless_and_near_the_bound():
+def best_fit_decreasing(counts, capacity):
+    gaps: list[int] = []
+    for n in sorted(Counter(counts).elements(), reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        rest = gaps.pop(at) - n if at < len(gaps) else capacity - n
+        bisect.insort(gaps, rest)
+    return len(gaps)
+
+
+def test_never_above_best_fit_on_the_documents_own_lengths():
+    encode = K.encoder(*PATHS)
+    for sf in ("sf0.001", "sf0.01"):
+        texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()
+        counts = Counter(n for t in texts for _, n in K.cut(len(encode(t or "")) + 1, 1024))
+        n = check_plan(counts, 1024)
+        assert n <= best_fit_decreasing(counts, 1024), sf
+
+
+def test_plan_is_gapless_and_never_above_best_fit():
     rnd = random.Random(1)
     for capacity in (1, 7, 40, 1024):
         for size in (0, 1, 5, 3000):
             counts = Counter(min(capacity, 1 + int(rnd.expovariate(3 / capacity))) for _ in range(size))
             n = check_plan(counts, capacity)
             bound = -(-sum(k * c for k, c in counts.items()) // capacity)
-            assert bound <= n <= max(bound * 1.02 + 2, bound)
+            assert bound <= n <= best_fit_decreasing(counts, capacity)
     assert check_plan({600: 3, 424: 2, 300: 1, 124: 1}, 1024) == 3  # single and pair complements
     assert check_plan({500: 1, 200: 1, 300: 1, 24: 1}, 1024) == 1   # a triple
 
@@ -57,7 +77,7 @@ def test_pack_documents(spark):
     words = ["the", "of", "thering", "éau", "12", "\n"]
     rows = [(i, " ".join(rnd.choice(words) for _ in range(int(rnd.expovariate(1 / 300))))) for i in range(120)]
     rows += [(500, None), (500, None), (None, "x"), (501, "word " * 5000), (1, rows[1][1])]
-    docs = spark.createDataFrame([(d, t, 9) for d, t in rows], "doc_id long, text string, sequence_id int")
+    docs = spark.createDataFrame([(d, t, 9) for d, t in rows], "doc_id long, text string, __SLOT int")
     full = Tokenizer.from_file(PATHS[0])
     want = []
     for d, t in rows:

@@ -12,9 +12,12 @@
    home; a block returns one count per vector and a spanning forest of its links, never the pairs.
 5. Components of the forests name the groups; the smallest ``vec_id`` of a group is kept.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most
-link with nothing, as do rows with a null id (kept, without a component); repeated rows are vectors of
-their own; an empty table gives no row; other columns are ignored.
+Vectors of different lengths have no cosine: every length has centres and cells of its own, all in the same jobs.  Nodes are
+distinct vectors, so unlike vectors under one id are apart.
+
+Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do rows with
+a null id (kept, without a component); repeated rows, and rows that repeat an id, are vectors of their own; an empty table gives
+no row; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.llm.common import append_columns, table
+from ranqa.llm.common import append_columns, maybe_broadcast, table
 from ranqa.llm.components import components, local_forest
 from ranqa.session import write_shared
 
@@ -134,35 +138,46 @@ def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
     odd = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~odd & F.exists("e", lambda v: v != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    sizes = rows.where("ok").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = sizes["d"] if sizes else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("e") == dims)).withColumn(
-        "key", F.struct(F.xxhash64("e"), F.xxhash64("e", F.lit(1))))
+    rows = rows.withColumn("key", F.struct(F.size("e").alias("d"), F.xxhash64("e"), F.xxhash64("e", F.lit(1))))
     alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                         F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+
+    # the node's number is written with it, so that it is fixed
+    one = write_shared(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"),
+                                                           F.first("e").alias("e"))
+                       .withColumn("id", F.monotonically_increasing_id()))
+    sizes = {r["d"]: r["n"] for r in one.groupBy("key.d").agg(F.count("*").alias("n")).orderBy("d").collect()}  # one per length
     if not sizes:
         return alone
-
-    one = write_shared(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"),
-                                                           F.first("e").alias("e")))
-    n = one.count()
+    n = sum(sizes.values())
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample_rows / n) * (1 << 30))
-    sample = unit_rows(one.where(part | F.lit(n <= sample_rows)).select("id", "e").orderBy("id").toArrow()["e"])
-    k = max(1, min(MAX_CELLS, -(-n // cell_rows), len(sample) // 8))
-    centres = spherical_kmeans(sample, k) if len(sample) else np.zeros((1, dims))
-    limit = margin(similarity, z, effective_dimensions(sample) if z is not None and len(sample) else 1.0)
-    n_cells = len(centres)
-    shared = spark.sparkContext.broadcast((centres, limit))  # MAX_CELLS rows at most
+    sample = one.where(part | F.lit(n <= sample_rows)).select("key.d", "id", "e").orderBy("d", "id").toArrow()
+    cells: dict[int, tuple[int, np.ndarray, float]] = {}  # length -> (number of the first cell, centres, limit)
+    n_cells = 0
+    for d, m in sizes.items():
+        own = sample.filter(pc.equal(sample["d"], d))
+        x = unit_rows(own["e"]) if len(own) else np.zeros((0, d))
+        k = max(1, min(MAX_CELLS, -(-m // cell_rows), len(x) // 8))
+        centres = spherical_kmeans(x, k) if len(x) else np.zeros((1, d))
+        cells[d] = (n_cells, centres, margin(similarity, z, effective_dimensions(x) if z is not None and len(x) else 1.0))
+        n_cells += len(centres)
+    shared = spark.sparkContext.broadcast(cells)  # MAX_CELLS rows per length at most
     found = T.StructType([T.StructField("home", T.IntegerType()), T.StructField("visits", T.ArrayType(T.IntegerType()))])
 
     def make():
         def run(e: pa.Array) -> list[pa.Array]:
-            homes, visits = [], []
-            for at in range(0, len(e), 1000):
-                h, v = cells_of(unit_rows(e.slice(at, 1000)), *shared.value)
-                homes += h.tolist()
-                visits += [r.tolist() for r in v]
-            return [pa.array(homes, pa.int32()), pa.array(visits, pa.list_(pa.int32()))]
+            homes, visits = np.zeros(len(e), np.int32), [[] for _ in range(len(e))]
+            sizes = pc.list_value_length(e).to_numpy(zero_copy_only=False)
+            for d in np.unique(sizes):
+                first, centres, limit = shared.value[int(d)]
+                own = np.flatnonzero(sizes == d)
+                for at in range(0, len(own), 1000):
+                    some = own[at:at + 1000]
+                    h, v = cells_of(unit_rows(e.take(pa.array(some))), centres, limit)
+                    homes[some] = first + h
+                    for i, r in zip(some, v):
+                        visits[i] = (first + r).tolist()
+            return [pa.array(homes), pa.array(visits, pa.list_(pa.int32()))]
         return run
 
     placed = write_shared(append_columns(one, ["e"], found, make))
@@ -200,9 +215,12 @@ def near_copies(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "em
         compare, "u long, v long, n long"))
     counts = links.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
     groups = components(links.where("v is not null").select("u", "v"))
-    named = (one.select("key", "id", "w").join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
-             .select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"),
-                     F.coalesce("component", "id").alias("component_id")))
+    nodes = write_shared(one.select("key", "first", "id", "w").join(counts, "id", "left").join(
+        groups, F.col("id") == F.col("node"), "left").select(
+        "key", "first", "component", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links")))
+    smallest = nodes.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
+    named = nodes.join(maybe_broadcast(smallest), F.col("component") == F.col("c"), "left").select(
+        "key", "n_links", F.coalesce("component_id", "first").alias("component_id"))
     linked = rows.where("ok").select("vec_id", "key").join(named, "key").select(
         "vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)

@@ -7,11 +7,14 @@ SCHEMA = "vec_id long, embedding array<float>, n_links string"
 
 
 def brute(rows):
-    ok = [i for i, (k, e, _) in enumerate(rows) if k is not None and e and len(e) == len(rows[0][1])
+    ok = [i for i, (k, e, _) in enumerate(rows) if k is not None and e
           and all(v is not None and np.isfinite(v) for v in e) and any(e)]
-    x = np.array([np.asarray(rows[i][1], np.float32) for i in ok], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    near = x @ x.T >= 0.95
+    near = np.zeros((len(ok), len(ok)), bool)
+    for d in {len(rows[i][1]) for i in ok}:  # vectors of one length
+        own = [a for a, i in enumerate(ok) if len(rows[i][1]) == d]
+        x = np.array([np.asarray(rows[ok[a]][1], np.float32) for a in own], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near[np.ix_(own, own)] = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
     comp = np.array([rows[i][0] for i in ok])
     while True:
@@ -64,6 +67,15 @@ def test_drifting_families(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows)
 
 
+def test_all_lengths_and_ids_with_several_vectors(spark):
+    rows = [(10, [1.0, 1.0], "x"), (11, [1.0, 1.0], "x"), (12, [-1.0, 0.5], "x"), (20, [0.0, 0.0, 1.0, 0.0], "x"),
+            (20, [0.0, 0.0, 1.0, 0.01], "x"), (21, [0.0, 0.0, -1.0, 0.01], "x"), (5, [0.0, 0.0, 2.0, 0.02], "x"), (30, [3.0], "x"),
+            (31, [4.0], "x"), (32, [-1.0], "x"), (1, [0.0, 0.0, 1.0, 0.0], "x"), (1, [1.0, 1.05], "x"), (1, [0.0, 5.0, 0.0, 0.0], "x")]
+    rows += [(100 + i, r[1], "x") for i, r in enumerate(make(24, 60, 2)) if r[1]]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted((tuple(r) for r in E.near_copies(df, cell_rows=20, sample_rows=80).collect()), key=str) == brute(rows)
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert E.near_copies(df).count() == 0

@@ -8,26 +8,35 @@ is its coverage, so a passage whose parts were reordered still counts.  A docume
 contaminated when the coverage of an item reaches ``MIN_COVERAGE``.
 
 The benchmark side is broadcast after its size was checked; beyond the bound seeds are joined by
-shuffles, with the same rows.  A pair whose seeds alone cannot reach the coverage is not tiled.
+shuffles (salted, so that a passage which many documents share is spread), with the same rows.  A pair whose seeds alone
+cannot reach the coverage is not tiled.
 
 Defined results: null and empty texts match nothing; items of fewer than ``MIN_MATCH`` tokens hold no seed and match
 nothing; repeated items are matched each; repeated documents are judged each; empty tables give no
-match or no row; all columns of the documents are carried through.
+match or no row; all columns of the documents are carried through, those with a result's name (whatever its case) are replaced;
+long texts of one repeated word are matched like others (pairs of equal starts are looked at in portions).
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.llm.common import append_columns, rolling, row_key, table, tokens
+from ranqa.llm.common import append_columns, free_name, rolling, row_key, table, tokens
+from ranqa.session import write_shared
 
 MIN_MATCH, MIN_COVERAGE = 5, 0.5
 #: benchmark characters up to which the item side is broadcast
 BROADCAST_CHARS = 16_000_000
+#: pairs of equal starts that are looked at together
+PAIRS = 1_000_000
+#: copies of an item's seeds in the shuffled join, so that a frequent seed is spread
+SALTS = 16
 
 FOUND = T.StructType([T.StructField("n_items", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())),
                       T.StructField("max_coverage", T.DoubleType()), T.StructField("contaminated", T.BooleanType())])
@@ -41,21 +50,24 @@ def _matches(doc: np.ndarray, item: np.ndarray, free_d: np.ndarray, free_i: np.n
     pd, pi = np.flatnonzero(whole(free_d)), np.flatnonzero(whole(free_i))
     pi = pi[np.argsort(hi[pi], kind="stable")]
     keys = hi[pi]
-    lo, hi_ = np.searchsorted(keys, hd[pd], "left"), np.searchsorted(keys, hd[pd], "right")
-    out, seen = [], set()
-    for k in np.flatnonzero(hi_ > lo):
-        d = int(pd[k])
-        for i in pi[lo[k]:hi_[k]]:
-            i = int(i)
-            if (d - 1, i - 1) in seen:  # inside the match that began earlier
-                seen.add((d, i))
-                continue
-            n = min(len(doc) - d, len(item) - i)
-            same = (doc[d:d + n] == item[i:i + n]) & (free_d[d:d + n] & free_i[i:i + n]).astype(bool)
-            n = n if same.all() else int(same.argmin())
-            if n >= s:
-                out.append((n, d, i))
-                seen.add((d, i))
+    lo, end = np.searchsorted(keys, hd[pd], "left"), np.searchsorted(keys, hd[pd], "right")
+    out: list[tuple[int, int, int]] = []
+    counts = np.cumsum(end - lo)
+    at = 0
+    while at < len(pd):  # equal starts in portions; a pair that the one before it extends into is inside that match
+        stop = max(at + 1, int(np.searchsorted(counts, (counts[at - 1] if at else 0) + PAIRS, "right")))
+        n = (end - lo)[at:stop]
+        d = np.repeat(pd[at:stop], n)
+        i = pi[np.repeat(lo[at:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        inside = (d > 0) & (i > 0)
+        inside &= (doc[d - 1] == item[i - 1]) & (free_d[d - 1] > 0) & (free_i[i - 1] > 0)
+        for x, y in zip(d[~inside].tolist(), i[~inside].tolist()):
+            most = min(len(doc) - x, len(item) - y)
+            same = (doc[x:x + most] == item[y:y + most]) & (free_d[x:x + most] & free_i[y:y + most]).astype(bool)
+            size = most if same.all() else int(same.argmin())
+            if size >= s:
+                out.append((size, x, y))
+        at = stop
     return out
 
 
@@ -101,17 +113,19 @@ class Items:
         """(item id, coverage) of the items that reach ``min_coverage`` in a document."""
         h = rolling(doc, min_match)
         h = np.unique(h[self.maybe[(h & self.low).view(np.int64)]])
-        if not len(h):
+        lo, hi = np.searchsorted(self.seeds, h), np.searchsorted(self.seeds, h, "right")
+        n = hi - lo
+        if not n.any():
             return []
-        lo, hi = np.searchsorted(h, self.seeds), np.searchsorted(h, self.seeds, "right")
-        hit = hi > lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())  # places of the document's seeds among the items'
+        at = at[np.argsort(self.owner[at], kind="stable")]
+        owners, first = np.unique(self.owner[at], return_index=True)
         out = []
-        for k in np.unique(self.owner[hit]):
+        for k, places in zip(owners, np.split(self.place[at], first[1:])):
             item = self.tokens[k]
             reach = np.zeros(len(item) + 1, np.int64)
-            at = self.place[hit & (self.owner == k)]
-            np.add.at(reach, at, 1)
-            np.add.at(reach, at + min_match, -1)
+            np.add.at(reach, places, 1)
+            np.add.at(reach, places + min_match, -1)
             if (np.cumsum(reach)[:-1] > 0).sum() < min_coverage * len(item):
                 continue  # even all seeds together stay below
             c = sum(n for n, _, _ in tile(doc, item, min_match)) / len(item)
@@ -120,6 +134,10 @@ class Items:
         return out
 
 
+#: the items of the worker's latest call, by the call's token
+_KNOWN: dict[str, Items] = {}
+
+
 def _summary(found: list[list[tuple[int, float]]]) -> list[pa.Array]:
     return [pa.array([len(f) for f in found], pa.int64()),
             pa.array([sorted(i for i, _ in f) for f in found], pa.list_(pa.int64())),
@@ -137,8 +155,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if chars <= broadcast_chars:
         rows = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])
 
+        token = uuid.uuid4().hex
+
         def make():
-            known = Items(rows.value, min_match)
+            if token not in _KNOWN:  # once per worker, not per task
+                _KNOWN.clear()
+                _KNOWN[token] = Items(rows.value, min_match)
+            known = _KNOWN[token]
             return lambda texts: _summary([known.coverage(t, min_match, min_coverage) for t in tokens(texts, bare=True)])
 
         return append_columns(docs, [text], FOUND, make)
@@ -148,19 +171,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 def _by_shuffles(docs: DataFrame, items: DataFrame, doc_id: str, text: str, min_match: int,
                  min_coverage: float) -> DataFrame:
     """The same for a benchmark of any size: seeds, then candidate pairs, joined by shuffles."""
-    seed = T.StructType([T.StructField("seeds", T.ArrayType(T.LongType()))])
+    found_seeds = T.StructType([T.StructField("seeds", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
     def seeds_of():
-        return lambda texts: [pa.array([np.unique(rolling(t, min_match)).view(np.int64)
-                                        for t in tokens(texts, bare=True)], pa.list_(pa.int64()))]
-
-    keyed = docs.withColumn("__key", row_key(F.col(doc_id), F.col(text)))
-    d = append_columns(keyed.select("__key", F.col(text).alias("__t")).dropDuplicates(["__key"]), ["__t"], seed, seeds_of)
-    # repeated items stay apart: an item is its id and its text
-    i = append_columns(items, ["t"], seed, seeds_of)
-    pairs = (d.select("__key", F.explode("seeds").alias("seed"))
-             .join(i.select("i", "t", F.explode("seeds").alias("seed")), "seed").select("__key", "i", "t").distinct())
-    both = pairs.join(d.select("__key", "__t"), "__key")
+        def run(texts: pa.Array) -> list[pa.Array]:
+            words = tokens(texts, bare=True)
+            return [pa.array([np.unique(rolling(t, min_match)).view(np.int64) for t in words], pa.list_(pa.int64())),
+                    pa.array([len(t) for t in words], pa.int64())]
+        return run
+
+    # internal columns: the documents' own are joined to the result by the row's key only
+    d = write_shared(append_columns(docs.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"),
+                                                F.col(f"`{text}`").alias("doc_text")).dropDuplicates(["key"]), ["doc_text"],
+                                    found_seeds, seeds_of))
+    # an item is its text; how often it is repeated, and under which ids, joins at the end
+    texts = items.select("t").distinct().withColumn("item", F.struct(F.xxhash64("t").alias("a"), F.xxhash64("t", F.lit(5)).alias("b")))
+    i = append_columns(texts, ["t"], found_seeds, seeds_of)
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")
+    left = d.select("key", salt, F.explode("seeds").alias("seed"))
+    right = i.select("item", "n", F.explode("seeds").alias("seed")).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # a distinct seed lies at one place of the document at least and covers min_match words of the item: few seeds
+    # cannot reach the coverage, unless the item repeats them
+    pairs = left.join(right, ["seed", "salt"]).groupBy("key", "item", "n").agg(F.count("*").alias("met"))
+    repeats = append_columns(i.select("item", "t"), ["t"], T.StructType([T.StructField("most", T.LongType())]),
+                             lambda: _most_repeated(min_match)).select("item", "most")
+    pairs = pairs.join(repeats, "item").where(F.col("met") * F.col("most") * min_match >= min_coverage * F.col("n"))
+    both = pairs.select("key", "item").join(i.select("item", "t"), "item").join(d.select("key", "doc_text"), "key")
     cover = T.StructType([T.StructField("c", T.DoubleType())])
 
     def tiles():
@@ -170,18 +207,30 @@ def _by_shuffles(docs: DataFrame, items: DataFrame, doc_id: str, text: str, min_
 
         return lambda ts, ds: [pa.array([one(a.as_py(), b) for a, b in zip(ts, tokens(ds, bare=True))], pa.float64())]
 
-    times = items.groupBy("i", "t").agg(F.count("*").alias("times"))
-    found = (append_columns(both, ["t", "__t"], cover, tiles).where(F.col("c") >= min_coverage)
-             .select("__key", "i", "t", "c").join(times, ["i", "t"])
-             .groupBy("__key").agg(F.sum("times").alias("n_items"),
-                                   F.sort_array(F.flatten(F.collect_list(F.array_repeat("i", F.col("times").cast("int")))))
-                                   .alias("item_ids"), F.max("c").alias("max_coverage")))
-    kept = [c for c in docs.columns if c not in FOUND.names]
-    out = keyed.select("__key", *[F.col(f"`{c}`") for c in kept]).join(found, "__key", "left")
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-                      F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
-                      F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"),
-                      F.col("n_items").isNotNull().alias("contaminated"))
+    named = items.groupBy("t", "i").agg(F.count("*").alias("times")).groupBy("t").agg(
+        F.sum("times").alias("times"), F.sort_array(F.flatten(F.collect_list(F.array_repeat("i", F.col("times").cast("int")))))
+        .alias("ids"))
+    found = (append_columns(both, ["t", "doc_text"], cover, tiles).where(F.col("c") >= min_coverage).select("key", "t", "c")
+             .join(named, "t").groupBy(F.col("key").alias("found_key")).agg(
+                 F.sum("times").alias("found_n"), F.sort_array(F.flatten(F.collect_list("ids"))).alias("found_ids"),
+                 F.max("c").alias("found_c")))
+    mine = {c: free_name(c, docs) for c in found.columns}
+    found = found.select(*[F.col(c).alias(mine[c]) for c in found.columns])
+    new = {c.lower() for c in FOUND.names}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    out = docs.join(found, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")) == F.col(mine["found_key"]), "left")
+    n, ids, c = (F.col(mine[x]) for x in ("found_n", "found_ids", "found_c"))
+    return out.select(*kept, F.coalesce(n, F.lit(0)).cast("long").alias("n_items"),
+                      F.coalesce(ids, F.array().cast("array<long>")).alias("item_ids"),
+                      F.coalesce(c, F.lit(0.0)).alias("max_coverage"), n.isNotNull().alias("contaminated"))
+
+
+def _most_repeated(min_match: int):
+    """Texts -> how often the most frequent seed of each stands in it."""
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [pa.array([int(np.unique(rolling(t, min_match), return_counts=True)[1].max(initial=0)) for t in tokens(texts, bare=True)],
+                         pa.int64())]
+    return run
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -59,14 +60,15 @@ def fixture(spark):
     docs[7] = (7, " ".join(a[20:] + ["zz"] + a[10:20] + ["yy"] + a[:10]), 1, "x")  # reordered
     docs[9] = (9, filler(5) + " " + " ".join(items[2][:8]), 1, "x")  # too little
     docs += [(7, docs[7][1], 1, "x"), (40, None, 1, "x"), (41, "", 1, "x"), (None, bench[0][1], 1, "x")]
-    return (spark.createDataFrame(docs, "doc_id long, text string, n_items int, item_id string"),
+    return (spark.createDataFrame([(*d, "k", 2, "t") for d in docs], "doc_id long, text string, N_Items int, item_id string, __key string, __in0 int, found_n string"),
             spark.createDataFrame(bench, BENCH))
 
 
 def test_finds_planted_and_reordered_items_both_ways(spark):
     docs, bench = fixture(spark)
     got = [sorted(map(str, D.decontaminate(docs, bench, broadcast_chars=n).select(
-        "doc_id", "n_items", "item_ids", "max_coverage", "contaminated", "item_id").collect())) for n in (10**7, 0)]
+        "doc_id", "n_items", "item_ids", "max_coverage", "contaminated", "item_id", "__key", "__in0", "found_n").collect()))
+        for n in (10**7, 0)]
     assert got[0] == got[1] and len(got[0]) == docs.count()
     rows = D.decontaminate(docs, bench).where("contaminated").collect()
     assert sorted((str(r.doc_id), r.item_ids) for r in rows) == [("4", [3, 3]), ("7", [5]), ("7", [5]), ("None", [0])]
@@ -93,3 +95,63 @@ def test_tokens_are_the_words():
             for h, word in zip(g.tolist(), w):
                 assert names.setdefault(h, word) == word
         assert len(names) == len({w for ws in want for w in ws})
+
+
+def words(text):
+    return [w for w in ("".join(c for c in x if c.isalnum()) for x in (text or "").lower().split()) if w]
+
+
+def covered(doc, item):
+    return sum(n for n, _, _ in brute(words(doc), words(item), 5)) / len(words(item)) if len(words(item)) >= 5 else 0.0
+
+
+def test_coverage_end_to_end_against_brute_force(spark):
+    rnd = random.Random(12)
+    vocab = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
+    make = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(make(rnd.randrange(0, 24)))) for i in range(14)]
+    items += [items[6], (50, items[6][1]), (51, None)]
+    docs = []
+    for i in range(50):
+        w = make(rnd.randrange(0, 30))
+        for _ in range(rnd.randrange(0, 3)):  # parts of items, cut and moved
+            x = words(items[rnd.randrange(14)][1])
+            a = rnd.randrange(0, len(x) + 1)
+            at = rnd.randrange(0, len(w) + 1)
+            w[at:at] = x[a:a + rnd.randrange(3, 25)]
+        docs.append((i, ", ".join(w)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, BENCH)
+    want = {i: sorted(k for k, x in items if covered(t, x) >= 0.5) for i, t in docs}
+    for chars in (10**7, 0):
+        got = {r.doc_id: r for r in D.decontaminate(d, b, broadcast_chars=chars).collect()}
+        assert {i: r.item_ids for i, r in got.items()} == want
+        assert all(r.n_items == len(r.item_ids) and r.contaminated == bool(r.item_ids) for r in got.values())
+
+
+def test_repeated_words_are_bounded_in_time():
+    doc, item = np.full(60_000, 7, np.uint64), np.full(400, 7, np.uint64)
+    t = time.time()
+    assert D.tile(doc, item) == [(400, 0, 0)]
+    assert D.tile(np.tile(np.array([3, 5], np.uint64), 5_000), np.tile(np.array([3, 5], np.uint64), 100)) == [(200, 0, 0)]
+    assert time.time() - t < 20
+
+
+def test_cost_follows_the_document_not_the_benchmark():
+    rnd = np.random.default_rng(3)
+    took = []
+    for n in (400, 40_000):
+        k = D.Items([], 5)
+        k.tokens = [rnd.integers(1, 1 << 62, 60, dtype=np.uint64) for _ in range(n)]
+        k.ids = list(range(n))
+        flat = np.concatenate([D.rolling(t, 5) for t in k.tokens])
+        order = np.argsort(flat)
+        k.seeds, k.owner, k.place = flat[order], np.repeat(np.arange(n), 56)[order], np.tile(np.arange(56), n)[order]
+        k.low = np.uint64((1 << max(16, (8 * len(flat)).bit_length())) - 1)
+        k.maybe = np.zeros(int(k.low) + 1, bool)
+        k.maybe[(flat & k.low).astype(np.int64)] = True
+        docs = [rnd.integers(1, 1 << 62, 360, dtype=np.uint64) for _ in range(300)]
+        t = time.time()
+        assert all(k.coverage(d, 5, 0.5) == [] for d in docs)
+        took.append((time.time() - t) / len(docs))
+        assert k.coverage(np.concatenate([docs[0], k.tokens[7]]), 5, 0.5) == [(7, 1.0)]
+    assert took[1] < 10 * took[0] + 1e-3, took

@@ -13,7 +13,8 @@ The fit sees a bounded sample: ``max_labelled`` labelled ids in the order of a k
 
 Defined results: null and empty texts hold no word and get the grade of the thresholds alone; labels that are null or
 contradict each other for an id are left out; with no usable labels or one grade only, every document gets severity 0;
-repeated rows are scored each; an empty table gives no row; all columns are carried through.
+repeated rows are scored each; an empty table gives no row; all columns are carried through, those with a result's name are
+replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranqa.llm.common import append_columns, labelled_sample, mix64, rolling, sigmoid, table, tokens
+from ranqa.session import write_shared
 
 MAX_LABELLED, GRADES, MAX_WORDS, MIN_Z, MIN_DOCS = 8_000, 4, 2_000, 4.0, 4
 #: a word must be in this share of the toxic or of the other documents, lest words of one family of copies count
@@ -89,65 +91,77 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nd
     return par[:n_words], par[n_words] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def fit_documents(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, grades: int = GRADES) -> Model | None:
-    """Model from (word hashes, counts) by document and labels."""
-    if len(docs) == 0 or y.max() <= 0 or y.min() > 0:
-        return None
-    words, inverse = np.unique(np.concatenate([w for w, _ in docs]), return_inverse=True)
-    rows = np.repeat(np.arange(len(docs)), [len(w) for w, _ in docs])
-    counts = np.concatenate([c for _, c in docs]).astype(float)
-    bad = y > 0
-    a = np.bincount(inverse, bad[rows], minlength=len(words))
-    b = np.bincount(inverse, ~bad[rows], minlength=len(words))
-    na, nb = bad.sum(), (~bad).sum()
-    pooled = (a + b) / (na + nb)
-    z = (a / na - b / nb) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / na + 1 / nb))
-    order = np.lexsort((words, -np.abs(z)))
-    chosen = order[(np.abs(z) >= MIN_Z)[order] & (np.maximum(a / na, b / nb) >= MIN_SHARE)[order]
-                   & (a + b >= min(MIN_DOCS, len(docs)))[order]][:MAX_WORDS]
-    if not len(chosen):
-        return None
-    if y.max() == 1 and grades > 2:  # grade toxic documents by how much they hold
-        hot = np.zeros(len(words))
-        hot[chosen] = np.maximum(z[chosen], 0)
-        much = np.bincount(rows, np.log1p(counts) * hot[inverse], minlength=len(docs))
-        cuts = np.quantile(much[bad], np.linspace(0, 1, grades)[1:-1])
-        y = np.where(bad, 1 + np.searchsorted(cuts, much, "left"), 0)
-    levels, y = np.unique(y, return_inverse=True)
-    column = np.full(len(words), -1)
-    chosen = np.sort(chosen)  # keeps the hashes sorted
-    column[chosen] = np.arange(len(chosen))
-    use = column[inverse] >= 0
-    w, theta = fit_ordinal(rows[use], column[inverse][use], np.log1p(counts[use]), y, len(chosen), len(levels))
-    return Model(words[chosen], w, theta)
+def choose_words(held: DataFrame, n_bad: int, n_good: int, max_words: int = MAX_WORDS) -> list[tuple[int, float]]:
+    """(word, z score) of at most ``max_words`` separating words of ``held`` (one row per document and word, ``bad`` or not)."""
+    per = held.groupBy("word").agg(F.sum(F.col("bad").cast("long")).alias("a"), F.sum((~F.col("bad")).cast("long")).alias("b"))
+    pooled = (F.col("a") + F.col("b")) / F.lit(float(n_bad + n_good))
+    share_a, share_b = F.col("a") / F.lit(float(n_bad)), F.col("b") / F.lit(float(n_good))
+    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * F.lit(1 / n_bad + 1 / n_good))
+    scored = per.withColumn("z", (share_a - share_b) / spread).where(
+        (F.abs("z") >= MIN_Z) & (F.greatest(share_a, share_b) >= MIN_SHARE) & (F.col("a") + F.col("b") >= min(MIN_DOCS, n_bad + n_good)))
+    return [(r["word"], r["z"]) for r in scored.orderBy(F.abs("z").desc(), "word").limit(max_words).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
         max_labelled: int = MAX_LABELLED, grades: int = GRADES) -> Model | None:
-    """Model fitted on the bounded sample; None when the labels cannot be learned."""
-    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = labelled_sample(bare, labels.withColumnRenamed(doc_id, "doc_id"), label, max_labelled)
-    rows = T.StructType([T.StructField("family", T.LongType()), T.StructField("words", T.BinaryType()),
-                         T.StructField("counts", T.BinaryType())])
+    """Model fitted on the bounded sample; None when the labels cannot be learned.
+
+    Words are counted and chosen in Spark; the driver gets the chosen ones (``MAX_WORDS`` at most) and, per sampled document,
+    its counts of these.
+    """
+    bare = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    known = labelled_sample(bare, labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").alias(label)), label,
+                            max_labelled)
+    pair = T.StructType([T.StructField("word", T.LongType()), T.StructField("n", T.IntegerType())])
+    rows = T.StructType([T.StructField("family", T.LongType()), T.StructField("words", T.ArrayType(pair))])
 
     def make():
+        kind = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
+
         def run(texts: pa.Array) -> list[pa.Array]:
-            out = []
+            families, words = [], []
             for t in tokens(texts, bare=True):
                 family = mix64(rolling(t, 3)) if len(t) >= 3 else t
                 w, n = np.unique(t, return_counts=True)
-                out.append((int(family.min().view(np.int64)) if len(family) else 0, w.tobytes(),
-                            n.astype(np.uint32).tobytes()))
-            return [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+                families.append(int(family.min().view(np.int64)) if len(family) else 0)
+                words.append([{"word": a, "n": b} for a, b in zip(w.view(np.int64).tolist(), n.tolist())])
+            return [pa.array(families, pa.int64()), pa.array(words, kind)]
         return run
 
-    got = append_columns(known, ["text"], rows, make).select("family", "__label", "doc_id", "words", "counts")
-    one = got.groupBy("family", "__label").agg(F.min_by(F.struct("words", "counts"), F.struct("doc_id", F.length("words")))
-                                               .alias("x")).orderBy("family", "__label").collect()
-    if not one:
+    got = append_columns(known, ["text"], rows, make).select("family", F.col("__label").alias("label"), "doc_id", "words")
+    # near copies once: of a family the row of the smallest id
+    one = write_shared(got.groupBy("family", "label").agg(F.min_by("words", F.struct("doc_id", F.size("words"))).alias("words")))
+    sampled = [(r["family"], r["label"]) for r in one.select("family", "label").orderBy("family", "label").collect()]  # MAX_LABELLED
+    y = np.array([g for _, g in sampled], np.int64)
+    if not len(y) or y.max() <= 0 or y.min() > 0:
+        return None
+    held = one.select("family", "label", F.explode("words").alias("x")).select("family", "label", "x.word", "x.n")
+    chosen = choose_words(held.select("word", (F.col("label") > 0).alias("bad")), int((y > 0).sum()), int((y == 0).sum()))
+    if not chosen:
         return None
-    return fit_documents([(np.frombuffer(bytes(r.x.words), np.uint64), np.frombuffer(bytes(r.x.counts), np.uint32))
-                          for r in one], np.array([r["__label"] for r in one]), grades)
+    signed = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w, _ in chosen], "w long"))
+    hits = held.join(signed, F.col("word") == F.col("w"), "left_semi").select("family", "label", "word", "n").toArrow()
+    words = np.array([w for w, _ in chosen], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, z = words[order], np.array([v for _, v in chosen])[order]
+    place = {k: i for i, k in enumerate(sampled)}
+    at = np.array([place[k] for k in zip(hits["family"].to_pylist(), hits["label"].to_pylist())], np.int64)
+    column = np.searchsorted(words, hits["word"].to_numpy().view(np.uint64))
+    order = np.lexsort((column, at))
+    return fit_words(words, z, at[order], column[order], hits["n"].to_numpy()[order].astype(float), y, grades)
+
+
+def fit_words(words: np.ndarray, z: np.ndarray, rows: np.ndarray, cols: np.ndarray, counts: np.ndarray, y: np.ndarray,
+              grades: int = GRADES) -> Model:
+    """Model from the counts (row, column, count) of the chosen words in the sampled documents."""
+    bad = y > 0
+    if y.max() == 1 and grades > 2:  # grade toxic documents by how much they hold
+        much = np.bincount(rows, np.log1p(counts) * np.maximum(z, 0)[cols], minlength=len(y))
+        cuts = np.quantile(much[bad], np.linspace(0, 1, grades)[1:-1])
+        y = np.where(bad, 1 + np.searchsorted(cuts, much, "left"), 0)
+    levels, y = np.unique(y, return_inverse=True)
+    w, theta = fit_ordinal(rows, cols, np.log1p(counts), y, len(words), len(levels))
+    return Model(words, w, theta)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

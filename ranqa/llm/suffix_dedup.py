@@ -325,8 +325,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that repeated strings of 400 bytes cover."""
+    """Every document without the bytes that repeated strings of 400 bytes cover; after the digest, whether it held any and
+    the remaining text (bytes that are no whole character any more show as U+FFFD)."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"),
-                      (F.octet_length("bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = (F.octet_length("bytes") - F.octet_length("kept")).cast("long")
+    return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      (removed > 0).alias("repeats"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

@@ -8,7 +8,7 @@ Lines are the parts between ``\\n``, compared exactly; blank lines are neither
 counted nor dropped.  A repeated line counts once per page.  Defined results: null text stays
 null with 0 lines; an empty text has one blank line; a null host is a host of
 its own; repeated rows count as pages of their own; an empty table gives no row; every other column is
-carried through untouched.
+carried through untouched, whatever its name.
 
 Scale: one partial aggregation over (host, line digest); text is not shuffled
 when the boilerplate table is proven small, and joined by line otherwise.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranqa.llm.common import BROADCAST_ROWS, row_key, table
+from ranqa.llm.common import BROADCAST_ROWS, free_name, row_key, table
 from ranqa.session import write_shared
 
 MAX_RATIO, MIN_PAGES = 0.08, 4
@@ -52,33 +52,28 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", te
     """``docs`` with the text's boilerplate lines removed, plus ``n_lines`` and ``n_dropped`` (existing columns of
     these names are replaced)."""
     found = write_shared(boilerplate(docs, host, text, max_ratio, min_pages))
-    bare = docs.drop("n_lines", "n_dropped")
-    small = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    if small:
-        per_host = found.groupBy(F.col("host").alias("__host")).agg(
-            F.collect_set(F.struct("a", "b")).alias("__drop"))
-        marked = bare.join(F.broadcast(per_host), F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
+    bare = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")])
+    of, drop, kept, key, k = (free_name(c, bare) for c in ("__host", "__drop", "__kept", "__key", "__k"))  # unlike any given column
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        per_host = found.groupBy(F.col("host").alias(of)).agg(F.collect_set(F.struct("a", "b")).alias(drop))
+        marked = bare.join(F.broadcast(per_host), F.col(f"`{host}`").eqNullSafe(F.col(of)), "left").drop(of)
     else:  # line by line, then once per page
-        rows = bare.select(F.col(host).alias("host"), row_key(F.col(doc_id), F.col(text)).alias("k"),
-                           F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _digest))).alias("d"))
+        rows = bare.select(F.col(f"`{host}`").alias("host"), row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("k"),
+                           F.explode(F.array_distinct(F.transform(_lines(F.col(f"`{text}`")), _digest))).alias("d"))
         rows = rows.select("host", "k", "d.a", "d.b").distinct()
         hit = rows.join(found.select(F.col("host").alias("h2"), F.col("a").alias("a2"), F.col("b").alias("b2")),
                         F.col("host").eqNullSafe(F.col("h2")) & (F.col("a") == F.col("a2"))
                         & (F.col("b") == F.col("b2")), "left_semi")
-        per_page = hit.groupBy(F.col("k").alias("__k"), F.col("host").alias("__host")).agg(
-            F.collect_set(F.struct("a", "b")).alias("__drop"))
-        marked = (bare.withColumn("__key", row_key(F.col(doc_id), F.col(text)))
-                  .join(per_page, (F.col("__key") == F.col("__k")) & F.col(host).eqNullSafe(F.col("__host")), "left")
-                  .drop("__k", "__key", "__host"))
-    lines = _lines(F.col(text))
-    stays = F.filter(lines, lambda s: (F.trim(s) == "") | ~F.array_contains(F.col("__drop"), _digest(s)))
-    kept = F.when(F.col("__drop").isNull() | F.col(text).isNull(), lines).otherwise(stays)
-    marked = marked.withColumn("__kept", kept)
-    return (marked.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-            .withColumn("n_dropped", F.when(F.col(text).isNull(), 0)
-                        .otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-            .withColumn(text, F.when(F.col("n_dropped") > 0, F.concat_ws("\n", "__kept")).otherwise(F.col(text)))
-            .drop("__drop", "__kept"))
+        per_page = hit.groupBy(F.col("k").alias(k), F.col("host").alias(of)).agg(F.collect_set(F.struct("a", "b")).alias(drop))
+        marked = (bare.withColumn(key, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+                  .join(per_page, (F.col(key) == F.col(k)) & F.col(f"`{host}`").eqNullSafe(F.col(of)), "left").drop(k, key, of))
+    whole = F.col(f"`{text}`")
+    lines = _lines(whole)
+    stays = F.filter(lines, lambda s: (F.trim(s) == "") | ~F.array_contains(F.col(drop), _digest(s)))
+    marked = marked.withColumn(kept, F.when(F.col(drop).isNull() | whole.isNull(), lines).otherwise(stays))
+    return (marked.withColumn("n_lines", F.when(whole.isNull(), 0).otherwise(F.size(lines)).cast("long"))
+            .withColumn("n_dropped", F.when(whole.isNull(), 0).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
+            .withColumn(text, F.when(F.col("n_dropped") > 0, F.concat_ws("\n", kept)).otherwise(whole)).drop(drop, kept))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from functools import lru_cache
 from math import isqrt
 
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranqa.llm.common import append_columns, table
+from ranqa.llm.common import append_columns, free_name, table
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -218,7 +219,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
 
     ``back`` inverts the pseudonyms of the same key.
     """
-    schema = T.StructType([T.StructField("__text", T.StringType()), T.StructField("pii", FOUND)])
+    new = free_name("__text", docs)
+    schema = T.StructType([T.StructField(new, T.StringType()), T.StructField("pii", FOUND)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
     def make():
@@ -231,8 +233,8 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", back: bool = F
         return run
 
     out = append_columns(docs, [text], schema, make)
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`")
-                        for c in docs.columns if c != "pii"], "pii")
+    return out.select(*[F.col(new).alias(text) if c == text else F.col(f"`{c}`")
+                        for c in docs.columns if c.lower() != "pii"], "pii")
 
 
 #: setting that holds the key; the default serves tests and must be replaced where pseudonyms matter
@@ -241,7 +243,11 @@ KEY_SETTING, DEFAULT_KEY = "ranqa.pii.key", "not a secret"
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and how many values of each kind were replaced."""
-    key = spark.conf.get(KEY_SETTING, DEFAULT_KEY).encode()
+    key = spark.conf.get(KEY_SETTING, None)
+    if key is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms come from the public default key and protect nothing", stacklevel=2)
+        key = DEFAULT_KEY
+    key = key.encode()
     out = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     kinds = ("email", "phone", "card", "ssn", "iban", "ip", "date")
 

@@ -9,7 +9,7 @@ TURNS = "conv_id long, turn long, role string, text string, formatted string"
 
 def test_round_trip_of_control_strings(spark):
     texts = ["", None, C.PROBE, "\\", "\\\\###", "a </turn>\n### user: b", "<|image:0|>", "é\U0001F600 </turn>", " "]
-    roles = ["user", "assistant", "a:b", "x\;y", "q\\:;", None, "###", "assistant", "user"]
+    roles = ["user", "assistant", "a:b", "x\\;y", "q\\:;", None, "###", "assistant", "user"]
     rows = [(1, i, r, t, "clash") for i, (r, t) in enumerate(zip(roles, texts))]
     out = C.format_conversations(spark.createDataFrame(rows, TURNS))
     got = out.select(C.read_back(F.col("formatted")).alias("t"),

@@ -111,18 +111,3 @@ def encode_texts(df: DataFrame, encoder_factory: Callable[[], Callable[[list[str
             yield pdf.assign(**{out_col: [next(it) if t else None for t in there]})
 
     return df.mapInPandas(run, schema)
-
-
-def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A dependency-free stand-in encoder: character-trigram feature hashing."""
-    import zlib
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for r, t in enumerate(texts):
-            padded = f"  {t} "
-            for i in range(len(padded) - 2):
-                out[r, zlib.crc32(padded[i:i + 3].encode("utf-8")) % dim] += 1.0
-        return out
-
-    return encode

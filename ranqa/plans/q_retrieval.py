@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ranqa.functions import blocks
 from ranqa.functions.fuzzy import weighted_ratio
+from ranqa.operators.encoder import encode, fit_encoder
 from ranqa.operators.fuzzy_index import fuzzy_catalog_topk
-from ranqa.operators.retrieval import encode_texts, hashing_encoder, l2norm
+from ranqa.operators.retrieval import l2norm
 from ranqa.plans.fixtures import indexed_catalog
 from ranqa.plans.registry import r6, register
 from ranqa.plans.sql_blocks import block_scores
@@ -19,7 +20,7 @@ from ranqa.plans.sql_common import q
 from ranqa.plans.sql_rerank import r6 as s6
 from ranqa.plans.sql_rerank import sql_lev_ratio, sql_weighted_ratio
 from ranqa.operators.vector_index import build_index, search
-from ranqa.session import ensure_checkpoint_dir, shared_dir
+from ranqa.session import ensure_checkpoint_dir, shared_dir, write_shared
 from ranqa.sources.sinks import read_index, write_index
 from ranqa.sources.tables import table
 
@@ -91,6 +92,7 @@ def index_roundtrip(spark, sf):
 
 
 NEAREST = 10
+ENCODED = 32   # dimensions of the trained encoder
 _SQL_COSINE = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
 u AS (SELECT vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS s FROM v),
@@ -121,9 +123,21 @@ def vector_topk_probed(spark, sf):
     return search(spark, path, vecs, NEAREST).select("query_id", "rank", "id", r6("score").alias("score"))
 
 
-@register("encode_catalog", "D17: batch encoding of the distinct catalog with mapInPandas")
+@register("encode_catalog", "D17 F4: batch encoding of the distinct catalog with an encoder trained on it")
 def encode_catalog(spark, sf):
     names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    enc = encode_texts(names, lambda: hashing_encoder(64), text_col="name")
+    enc = encode(names, fit_encoder(names, dimensions=ENCODED))
     return enc.select("name", F.size("embedding").alias("dim"),
-                      r6(l2norm(F.transform("embedding", lambda x: x.cast("double")))).alias("norm"))
+                      F.round(l2norm(F.transform("embedding", lambda x: x.cast("double"))), 4).alias("norm"))
+
+
+@register("encoded_topk", "D17 F4 H1 S7 S8: encode the whole catalog, index the vectors, five nearest names of every name")
+def encoded_topk(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    names = part.groupBy("name").agg(F.min("id").alias("id"))  # a name's vector once
+    vecs = write_shared(encode(names, fit_encoder(names, dimensions=ENCODED)).select("id", "name", "embedding"))
+    path = os.path.join(shared_dir(spark), f"encoded-{uuid.uuid4().hex}")
+    build_index(vecs, path)
+    near = search(spark, path, vecs, 5, exact=True)
+    return near.join(vecs.select(F.col("id").alias("query_id"), F.col("name").alias("query")), "query_id").join(
+        vecs.select("id", "name"), "id").select("query_id", "query", "rank", "id", "name", F.round("score", 4).alias("score"))

@@ -220,3 +220,25 @@ def test_keyed_draw_helpers(spark):
     assert (r[3], r[4]) == (0, 33) and r[5] < 2 ** 32
     again = spark.range(5000).repartition(7).select(keyed_randint(2015, 2023, 42, F.col("id")).alias("y"))
     assert sorted(x[0] for x in again.collect()) == sorted(x[0] for x in df.select("y").collect())
+
+
+def test_automaton_gives_the_native_list(spark):
+    lex = [("L1", ["ab", "abc", "", "ab"]), ("L2", ["x", "b", "云"]), ("L3", ["zz", "abc"]), ("L1", ["c ab"])]
+    texts = ["x abc ab", "", None, "云手机", "zzz", "nothing", "ab" * 5000, "\U0001F600abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    rows = df.select(keyword_hits("t", lex).alias("native"), keyword_hits("t", lex, automaton_from=0).alias("automaton")).collect()
+    assert all(r.native == r.automaton for r in rows) and any(len(r.native) > 4 for r in rows)
+
+
+def test_every_turn_is_in_a_record_or_listed(spark):
+    from ranqa.operators.templates import exchange_records
+    rows = [(1, 0, "user", "q0"), (1, 1, "assistant", "a0"), (1, 2, "user", "q1"), (1, 3, "user", "q2"), (1, 4, "assistant", "a2"),
+            (1, 5, "assistant", "a3"), (1, 6, "system", "s"), (2, 0, "assistant", "x"), (3, 0, "user", None), (3, 1, "assistant", "b"),
+            (4, 0, "user", "p"), (4, 0, "user", "r"), (4, 1, "assistant", "c"), (None, 0, "user", "n")]
+    got = exchange_records(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    records = sorted((r.id, r.conv_id, r.turn, r.question, r.answer) for r in got if r.status == "record")
+    assert records == [(1, 1, 0, "q0", "a0"), (2, 1, 3, "q2", "a2"), (3, 3, 0, "", "b"), (4, 4, 0, "p", "c")]
+    alone = sorted((str(r.conv_id), r.turn, r.role, r.status) for r in got if r.status != "record")
+    assert alone == [("1", 2, "user", "unanswered"), ("1", 5, "assistant", "unasked"), ("1", 6, "system", "other role"),
+                     ("2", 0, "assistant", "unasked"), ("4", 0, "user", "unanswered"), ("None", 0, "user", "unanswered")]
+    assert 2 * len(records) + len(alone) == len(rows)

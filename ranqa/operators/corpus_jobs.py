@@ -99,8 +99,8 @@ def export_finetuning(qa: DataFrame, out_dir: str, *, fraction: float = VAL_FRAC
     ``out_dir/split=train`` and ``out_dir/split=val`` as JSONL."""
     if keys is None:
         keys = [c for c in ("kind", "id") if c in qa.columns]
-        if not keys:
-            # a Q/A table without a key: the content and the number of its
+        if not keys or qa.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+            # a Q/A table without a key, or whose ids repeat: the content and the number of its
             # occurrence (equal rows are interchangeable), whatever the file layout
             qa = (qa.groupBy("Q", "A").agg(F.count(F.lit(1)).alias("_n"))
                   .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).drop("_n")

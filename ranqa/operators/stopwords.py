@@ -10,6 +10,7 @@ dictionary per Python worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -41,8 +42,19 @@ def runs(text) -> Column:
 
 def drop_stopwords(toks: Column, stopwords: list[str]) -> Column:
     """Filter a token array against the stopword set (order and repeats kept)."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-    return F.filter(toks, lambda t: ~F.array_contains(stop, t))
+    stop = sorted(set(stopwords))
+    return F.filter(toks, lambda t: ~t.isin(stop))  # a hash set for longer lists
+
+
+# stopwords up to which they are removed by one pattern
+PATTERN_WORDS = 500
+
+
+def _whole_token(stopwords: list[str]) -> str:
+    """Pattern of a token that is one of the stopwords: white space or an end of the text on both sides."""
+    inside = WHITESPACE_CLASS[:-1]
+    other = "[^" + inside[1:]
+    return f"(?<!{other})(?:" + "|".join(re.escape(w) for w in sorted(set(stopwords), key=lambda w: (-len(w), w))) + f")(?!{other})"
 
 
 def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str | Callable[[Column], Column] = "space",
@@ -50,6 +62,10 @@ def remove_stopwords(text, stopwords: list[str], sep: str = "", segmenter: str |
     """Kept tokens of ``text`` joined by ``sep``.  Joined with '' (the default) white space counts as tokens, so what is
     left keeps its spacing; with another ``sep`` it only separates.  For unspaced text ``segmenter`` is a Column function to words
     (``operators.segment.segmenter``), or "dict" for the longest words of ``dictionary``."""
+    words = [w for w in stopwords if w]
+    if segmenter == "space" and sep == "" and 0 < len(words) <= PATTERN_WORDS and not any(c.isspace() for w in words for c in w):
+        # the text as it is, less the tokens that are stopwords
+        return F.regexp_replace(_col(text), _whole_token(words), "")
     if callable(segmenter):
         toks = segmenter(_col(text))
     elif segmenter == "space":

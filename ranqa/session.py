@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 # Row bound under which a derived (not literal) dimension is broadcast.  Above
 # it the join stays a shuffle join and AQE decides at runtime.
 BROADCAST_ROW_LIMIT = 200_000
+# ... and the bytes of its strings and arrays up to which it counts as small
+BROADCAST_BYTE_LIMIT = 64 << 20
+# Bytes of one Arrow batch on its way to or from a Python worker: whole texts are long, and a batch is held on both sides
+ARROW_BATCH_BYTES = 8 << 20
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -78,9 +82,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder + package shipping: call before running any query."""
+    """Checkpoint folder, package shipping, bounded Arrow batches: call before running any query."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(bound):  # a submitted setting wins
+        spark.conf.set(bound, str(ARROW_BATCH_BYTES))
     return spark
 
 
@@ -126,16 +133,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT,
-                      known_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when a count proves it small; otherwise leave it to AQE.
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, known_rows: int | None = None,
+                      max_bytes: int = BROADCAST_BYTE_LIMIT) -> DataFrame:
+    """Broadcast ``df`` only when a count proves it small in rows and in bytes; otherwise leave it to AQE.
 
     The count is one cheap job over an already-reduced side (a per-group
-    table); above the bound the join stays a shuffle join and AQE's runtime
-    statistics may still convert it.
+    table) that stops after ``max_rows``; above a bound the join stays a shuffle join and AQE's runtime
+    statistics may still convert it.  Bytes are those of strings, as JSON for nested columns.
     """
     from pyspark.sql import functions as F
-
-    n = known_rows if known_rows is not None else df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
+    from pyspark.sql import types as T
+
+    if known_rows is not None and known_rows > max_rows:
+        return df
+    wide = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    if known_rows is not None and not wide:
+        return F.broadcast(df)
+
+    def size(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        plain = isinstance(f.dataType, (T.StringType, T.BinaryType))
+        return F.coalesce(F.octet_length(c if plain else F.to_json(F.struct(c))), F.lit(0))
+
+    total = F.coalesce(F.sum(sum((size(f) for f in wide), F.lit(0))), F.lit(0)).alias("bytes")
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), total).first()
+    return F.broadcast(df) if seen["n"] <= max_rows and seen["bytes"] <= max_bytes else df

@@ -1,6 +1,7 @@
 import json
 import math
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -242,3 +243,15 @@ def test_every_turn_is_in_a_record_or_listed(spark):
     assert alone == [("1", 2, "user", "unanswered"), ("1", 5, "assistant", "unasked"), ("1", 6, "system", "other role"),
                      ("2", 0, "assistant", "unasked"), ("4", 0, "user", "unanswered"), ("None", 0, "user", "unanswered")]
     assert 2 * len(records) + len(alone) == len(rows)
+
+
+def test_stopwords_by_pattern_equal_runs(spark):
+    from ranqa.operators.stopwords import PATTERN_WORDS, runs
+    stop = ["the", "a.b", "and", "云", "th", "x|y", "(", ""]
+    texts = ["the cat and the hat", "theand the", " the\u3000the\tand\n", "a.b aXb a.b", "x|y x (", None, "", "云 云手机 云", "the", "é the"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    many = stop + [f"w{i}" for i in range(PATTERN_WORDS)]
+    want = [None if t is None else "".join(k for k in re.findall(r"\s+|\S+", t) if k not in stop) for t in texts]
+    assert [r[0] for r in df.select(remove_stopwords("t", stop)).collect()] == want
+    assert [r[0] for r in df.select(remove_stopwords("t", many)).collect()] == want
+    assert df.select(runs("t")).count() == len(texts)

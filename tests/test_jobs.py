@@ -64,3 +64,11 @@ def test_api_shapes(spark):
     assert out and all(h in hits[:2] for h in out)
     text_ids = [{"id": "a", "question": "移动云手机", "score": 80.0, "extra": [1, 2]}]
     assert api.search_similar_packages_with_score(spark, "云手机", text_ids) == text_ids
+
+
+def test_repeated_ids_split_exactly(spark):
+    d = tempfile.mkdtemp(prefix="ranqa-jobs-")
+    qa = spark.createDataFrame([(i % 10, f"q{i // 2}", "a") for i in range(100)], "id long, Q string, A string")
+    split = export_finetuning(qa, os.path.join(d, "ft"), fraction=0.08)
+    assert split.where("split = 'val'").count() == 8 and split.count() == 100
+    assert len(_jsonl(os.path.join(d, "ft", "split=val"))) == 8

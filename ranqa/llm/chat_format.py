@@ -17,7 +17,8 @@ turn end reads the turns back.
 Defined results: null text or role counts as empty; rows that repeat
 (conv_id, turn) are all kept, ordered by (turn, role, text); a null conv_id is
 one conversation; a null turn sorts first; a null part list is no part, an unknown part kind
-is a zero-token attachment; an empty table gives no row.  A conversation is
+is a zero-token attachment; an empty table gives no row; other columns are ignored,
+whatever their names.  A conversation is
 one output row, so its turns meet in one aggregation buffer: memory is that
 of the longest conversation's own text, whatever its copies.
 """

@@ -36,7 +36,7 @@ from ranqa.session import write_shared
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 16, 8, 0.9995
 BUCKET_BLOCK = 4_096                 # documents of a bucket that one task compares
-VERIFY_ROWS, VERIFY_RUNS = 1_024, 2_000_000  # documents and runs of a cluster's block
+VERIFY_ROWS, VERIFY_RUNS = 1_024, 500_000  # documents and runs of a cluster's block
 
 _rnd = np.random.default_rng(20240229)
 MULTIPLIERS = _rnd.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,7 +143,7 @@ def verify_block(sets: list[np.ndarray], blk: np.ndarray, weight: np.ndarray, si
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     shared = np.zeros((n, n), np.float32)
-    width = max(256, min(8192, 16_000_000 // max(n, 1)))
+    width = max(256, min(8192, 4_000_000 // max(n, 1)))
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         lo, hi = np.searchsorted(column, [c, c + width])
         m = np.zeros((n, width), np.float32)

@@ -5,6 +5,10 @@ frequent ones) and user words join with a count of their own.  A text is a row o
 a node leads to the node behind it, and a single character always does (count 1).  The path of the largest summed
 log probability wins, of equal ones the one whose first word is longer, and so on.
 
+Words that the dictionary lacks come out as single characters.  With a model of word shapes (``word_shapes``, counted from
+the same corpus) a run of single characters that holds one outside the dictionary is cut again by the
+characters' most probable places in a word; white space stands alone.
+
 The dictionary is broadcast (its size is bounded) and turned into a prefix table once per worker.
 """
 
@@ -19,8 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranqa.operators.stopwords import tokens
+from ranqa.operators.word_shapes import WordShapes, model_rows
 
 MAX_WORDS = 100_000
+#: dictionaries that a worker keeps
+KEPT = 3
 
 
 def word_counts(texts: DataFrame, text: str = "text", max_words: int = MAX_WORDS, min_count: int = 1,
@@ -32,9 +39,10 @@ def word_counts(texts: DataFrame, text: str = "text", max_words: int = MAX_WORDS
 
 
 class Lattice:
-    """Words with their log probabilities, and every prefix of a word."""
+    """Words with their log probabilities, every prefix of a word, and a model of unknown words if there is one."""
 
-    def __init__(self, counts: Iterable[tuple[str, int]], user_words: Iterable[str] = ()):
+    def __init__(self, counts: Iterable[tuple[str, int]], user_words: Iterable[str] = (), shapes: WordShapes | None = None):
+        self.shapes = shapes
         known = {w: n for w, n in counts if w}
         most = max(known.values(), default=1)
         for w in user_words:  # a user's word is at least as likely as the most frequent one
@@ -63,6 +71,20 @@ class Lattice:
         while i < n:
             out.append(text[i:step[i]])
             i = step[i]
+        return out if self.shapes is None else self._regrouped(out)
+
+    def _regrouped(self, pieces: list[str]) -> list[str]:
+        """Runs of single characters with an unknown one among them, cut by word shapes."""
+        out: list[str] = []
+        run: list[str] = []
+        for piece in [*pieces, ""]:
+            if len(piece) == 1 and not piece.isspace():
+                run.append(piece)
+                continue
+            out += run if all(c in self.words for c in run) else self.shapes.cut("".join(run))
+            run = []
+            if piece:
+                out.append(piece)
         return out
 
 
@@ -70,18 +92,22 @@ _LATTICES: dict[str, Lattice] = {}
 
 
 def segmenter(spark: SparkSession, counts: DataFrame, user_words: list[str] | None = None,
-              max_words: int = MAX_WORDS) -> Callable[[Column], Column]:
-    """Column function from a text to its array of words.  ``counts`` (``word, n``) holds ``max_words`` rows at most."""
+              max_words: int = MAX_WORDS, states: DataFrame | None = None) -> Callable[[Column], Column]:
+    """Column function from a text to its array of words.  ``counts`` (``word, n``) holds ``max_words`` rows at most;
+    ``states`` (``word_shapes.character_states``) adds the model of unknown words."""
     rows = [(r["word"], r["n"]) for r in counts.select("word", "n").limit(max_words + 1).collect()]
     if len(rows) > max_words:
         raise ValueError(f"the dictionary holds more than {max_words} words")
-    shared = spark.sparkContext.broadcast((rows, list(user_words or [])))
+    shapes = None if states is None else model_rows(states)
+    shared = spark.sparkContext.broadcast((rows, list(user_words or []), shapes))
     token = uuid.uuid4().hex
 
     def lattice() -> Lattice:
-        if token not in _LATTICES:  # one per worker; an older dictionary is let go
-            _LATTICES.clear()
-            _LATTICES[token] = Lattice(*shared.value)
+        if token not in _LATTICES:  # once per worker; of more than a few dictionaries the oldest is let go
+            while len(_LATTICES) >= KEPT:
+                _LATTICES.pop(next(iter(_LATTICES)))
+            known, own, shapes = shared.value
+            _LATTICES[token] = Lattice(known, own, None if shapes is None else WordShapes(shapes))
         return _LATTICES[token]
 
     @F.pandas_udf("array<string>")

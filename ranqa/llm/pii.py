@@ -6,19 +6,21 @@ Equal values get equal pseudonyms in every document, whatever their separators;
 different; the key's owner can invert them.  Check digits are computed anew, so pseudonyms validate, and
 lengths do not change.
 
-=======  ==========================================  ===============================================
-kind     found and checked                           permuted
-=======  ==========================================  ===============================================
-email    local part, domain with a dot               ASCII letters and digits of the local part
-phone    +1 (ddd) ddd-dddd and its usual variants    the ten digits
-card     13-19 digits, plain or grouped, Luhn        all digits but the last, which is computed
-ssn      ddd-dd-dddd, number ranges in use           the number among those in use
-iban     country, mod 97                             the account part by character class
-ip       four octets up to 255                       32 bits
-date     yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy          the day, 1900 to 2099
-=======  ==========================================  ===============================================
-
-Values that fail their check stay as they are, and so do numbers in other than ASCII digits.  Defined results: null text
+=======  ===========================================  ===============================================
+kind     found and checked                            permuted
+=======  ===========================================  ===============================================
+email    local part, domain with a dot                ASCII letters and digits of the local part
+phone    +1 (ddd) ddd-dddd and its usual variants     the ten digits
+card     13-19 digits, plain or grouped, Luhn         all digits but the last, which is computed
+ssn      ddd-dd-dddd, number ranges in use            the number among those in use
+iban     country, mod 97, plain or in groups of four  the account part by character class
+ip       four octets up to 255                        32 bits
+date     yyyy-mm-dd (a time may follow after T),      the day, 1900 to 2099
+         dd.mm.yyyy, mm/dd/yyyy
+=======  ===========================================  ===============================================
+
+Values that fail their check stay as they are, and so do numbers in other than ASCII digits, phone numbers whose groups
+are parted by spaces only or that belong to other number plans, and IBANs in groups of countries without a length below.  Defined results: null text
 stays null with no findings; empty and long texts are scanned whole; repeated rows get the same result; an empty table
 gives no row; all columns are carried through.  One pass, no shuffle.
 """
@@ -48,13 +50,20 @@ FINDER = re.compile(r"""
     (?P<email>(?<![\w.+%-])[\w.+%-]+@(?:[\w-]+\.)+[^\W\d_]{2,}(?!\w))
   | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w/-]|\.[0-9]))
+  | (?P<date>(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!(?!T[0-9]{2}:)[\w/-]|\.[0-9]))
   | (?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\w|\.[0-9]))
-  | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w))
+  | (?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:[ ][A-Z0-9]{4}){2,7}(?:[ ][A-Z0-9]{1,4})?)(?!\w))
   | (?P<card>(?<!\w)(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w))
 """, re.VERBOSE)
 
 
+# Characters of a country's IBAN, which end one that is written in groups.
+IBAN_LENGTHS = {"AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20,
+                "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LI": 21,
+                "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24,
+                "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26}
+
+
 class Feistel:
     """Keyed permutation of the numbers below ``n``, one for every kind."""
 
@@ -163,11 +172,22 @@ def pseudonym(kind: str, value: str, perm) -> str | None:
         if max(octets) > 255 or value != ".".join(map(str, octets)):
             return None
         return _same_widths(octets, perm)
-    country, check, account = value[:2], value[2:4], value[4:]  # iban
+    plain = value.replace(" ", "")  # iban
+    country, check, account = plain[:2], plain[2:4], plain[4:]
     if _iban_mod(country, check, account) != 1:
         return None
     account = _by_class(perm, f"{kind}:{country}", account)
-    return f"{country}{98 - _iban_mod(country, '00', account):02d}{account}"
+    it = iter(f"{country}{98 - _iban_mod(country, '00', account):02d}{account}")
+    return "".join(c if c == " " else next(it) for c in value)
+
+
+def _own_part(kind: str, value: str) -> str:
+    """What of a match is the value: an IBAN in groups ends where its country's length does."""
+    if kind != "iban" or " " not in value:
+        return value
+    n = IBAN_LENGTHS.get(value[:2], 0)
+    end = n + (n - 1) // 4 if n else len(value) + 1
+    return value[:end] if end == len(value) or value[end:end + 1] == " " else ""
 
 
 #: octets by their number of digits
@@ -198,16 +218,20 @@ class Pseudonymiser:
 
     def text(self, text: str) -> tuple[str, list[dict]]:
         found: list[dict] = []
-
-        def put(m: re.Match) -> str:
-            new = self.one(m.lastgroup if m.lastgroup != "sep" else "card", m.group())
-            if new is None:
-                return m.group()
-            found.append({"kind": m.lastgroup if m.lastgroup != "sep" else "card", "start": m.start(),
-                          "length": len(new)})
-            return new
-
-        return FINDER.sub(put, text), found
+        out: list[str] = []
+        done = at = 0
+        while m := FINDER.search(text, at):
+            kind = m.lastgroup if m.lastgroup != "sep" else "card"
+            value = _own_part(kind, m.group())
+            new = self.one(kind, value) if value else None
+            # groups that are no IBAN may begin another value: "AB12 4845 1681 1440 7329"
+            at = m.start() + 4 if kind == "iban" and " " in m.group() else m.end()
+            if new is not None:
+                at = m.start() + len(value)
+                out += [text[done:m.start()], new]
+                found.append({"kind": kind, "start": m.start(), "length": len(new)})
+                done = at
+        return "".join([*out, text[done:]]), found
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),

@@ -8,12 +8,15 @@ VALID = {
     "phone": ["+1 (017) 555-7713", "(017) 555-7713", "017-555-7713", "+1 212.555.0000"],
     "card": ["4845168114407329", "4845 1681 1440 7329", "378282246310005", "3782-822463-10005"],
     "ssn": ["123-45-6789", "899-99-9999"],
-    "iban": ["DE89370400440532013000", "GB82WEST12345698765432"],
+    "iban": ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00",
+             "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034"],
     "ip": ["97.51.17.173", "0.0.0.0", "255.255.255.255"],
     "date": ["2024-02-29", "31.12.2099", "12/31/1999"],
 }
 LEFT = ["4845168114407328", "000-12-3456", "666-12-3456", "DE89370400440532013001", "256.1.1.1", "1.2.3", "2023-02-29",
-        "31.04.2020", '"04dbebab91ab85687d33eeaaf9ac699e1188f962"', "2.0.", "555-7713", "x@y", "97.51.17.173.4"]
+        "31.04.2020", '"04dbebab91ab85687d33eeaaf9ac699e1188f962"', "2.0.", "555-7713", "x@y", "97.51.17.173.4",
+        "DE89 3704 0044 0532 0130 01", "DE89 3704 0044 0532 0130", "DE89 3704 0044 0532 0130 00AB", "ZZ89 3704 0044 0532 0130 00",
+        "2024-02-29Tea", "2024-02-30T10:00:00Z"]
 
 
 def test_feistel_is_a_permutation():
@@ -40,6 +43,7 @@ def test_pseudonyms_validate_link_and_invert():
     phones = [digits(p.text(v)[0])[-10:] for v in VALID["phone"][:3]]
     assert len(set(phones)) == 1  # the same number in other separators
     assert digits(p.text(VALID["card"][0])[0]) == digits(p.text(VALID["card"][1])[0])
+    assert p.text(VALID["iban"][0])[0] == p.text(VALID["iban"][2])[0].replace(" ", "")
     for v in LEFT:
         assert p.text(f"a {v} b") == (f"a {v} b", [])
     rnd = random.Random(1)
@@ -48,6 +52,20 @@ def test_pseudonyms_validate_link_and_invert():
         assert back.text(p.text(v)[0])[0] == v
 
 
+def test_what_follows_a_value():
+    p, back = P.Pseudonymiser(KEY), P.Pseudonymiser(KEY, back=True)
+    date = p.text("2024-02-29")[0]
+    assert p.text("at 2024-02-29T10:00:00Z.")[0] == f"at {date}T10:00:00Z."
+    iban, card = p.text("BE68 5390 0754 7034")[0], p.text("4845 1681 1440 7329")[0]
+    for after in (" EUR", " PAID NOW", " 12", ", then", " 4845 1681 1440 7329"):
+        new, found = p.text(f"BE68 5390 0754 7034{after}")
+        assert new.startswith(iban) and back.text(new)[0] == f"BE68 5390 0754 7034{after}"
+    assert new == f"{iban} {card}" and [f["kind"] for f in found] == ["iban", "card"]
+    assert found[1]["start"] == len(iban) + 1 and found[1]["length"] == len(card)
+    for before in ("AB12", "BE12"):  # groups that look like an IBAN up to the card's end
+        assert p.text(f"{before} 4845 1681 1440 7329") == (f"{before} {card}", [{"kind": "card", "start": 5, "length": len(card)}])
+
+
 def test_other_digits_stay(spark):
     """Full-width and Arabic digits in the shapes of all kinds, beside a value that is found."""
     values = [v for kind in VALID if kind != "email" for v in VALID[kind]]

@@ -41,15 +41,17 @@ def character_states(texts: DataFrame, text: str = "text", max_length: int = 32)
     def place(k: Column) -> Column:
         return (F.when(F.col("size") == 1, SINGLE).when(k == 1, BEGIN).when(k == F.col("size"), END).otherwise(INSIDE))
 
-    def item(k: Column, nxt: Column, character: Column) -> Column:
-        return F.struct(place(k).alias("state"), nxt.alias("next"), character.alias("character"))
-
+    k = F.col("k")
+    at = distinct.select("word", "after", "n", "size", F.explode(F.sequence(F.lit(1), "size")).alias("k"))
+    # one row per character, its place and the next place; both kinds of counts are sums over these few
+    joint = at.groupBy(place(k).alias("state"), F.when(k < F.col("size"), place(k + 1)).otherwise(F.col("after")).alias("next"),
+                       F.substring("word", k, F.lit(1)).alias("character")).agg(F.sum("n").alias("n"))
     none = F.lit(None).cast("string")
-    at = F.sequence(F.lit(1), "size")
-    shown = F.transform(at, lambda k: item(k, none, F.substring("word", k, F.lit(1))))
-    moves = F.transform(at, lambda k: item(k, F.when(k < F.col("size"), place(k + 1)).otherwise(F.col("after")), none))
-    items = distinct.select("n", F.explode(F.concat(shown, F.filter(moves, lambda m: m["next"].isNotNull()))).alias("x"))
-    return items.groupBy("x.state", "x.next", "x.character").agg(F.sum("n").alias("n"))
+    both = joint.select("state", "n", F.explode(F.array(
+        F.struct(none.alias("next"), F.col("character")),
+        F.struct(F.col("next"), none.alias("character")))).alias("x")).select("state", "x.*", "n")
+    counts = both.groupBy("state", "next", "character").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("next").isNotNull() | F.col("character").isNotNull())
 
 
 class WordShapes:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranqa.functions.text import WHITESPACE_CLASS, strip_whitespace
 from ranqa.operators.segment import MAX_WORDS, segmenter, word_counts
@@ -87,7 +88,7 @@ def character_states_q(spark, sf):
 KNOWN_FROM = 20
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _ends(words: pd.Series) -> pd.Series:
     """Places in the joined text where a word ends."""
     return words.map(lambda ws: None if ws is None else np.cumsum([len(w) for w in ws], dtype=np.int64))

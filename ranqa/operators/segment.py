@@ -57,15 +57,16 @@ class Lattice:
         """The words of the most probable path; they join to the text."""
         n = len(text)
         best, step = [0.0] * (n + 1), [0] * n
-        words, prefixes, single = self.words, self.prefixes, self.single
+        known, prefixes, single = self.words.get, self.prefixes, self.single
         for i in range(n - 1, -1, -1):
-            top, to, j = best[i + 1] + words.get(text[i], single), i + 1, i + 1
-            piece = text[i]
+            piece, j = text[i], i + 1
+            top, to = best[j] + known(piece, single), j
             while piece in prefixes and j < n:
                 j += 1
                 piece = text[i:j]
-                if piece in words and words[piece] + best[j] >= top:
-                    top, to = words[piece] + best[j], j
+                weight = known(piece)
+                if weight is not None and weight + best[j] >= top:
+                    top, to = weight + best[j], j
             best[i], step[i] = top, to
         out, i = [], 0
         while i < n:

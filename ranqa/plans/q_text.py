@@ -59,8 +59,8 @@ def word_counts_q(spark, sf):
 def segment_documents(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cut = segmenter(spark, word_counts(docs), ["GmbH"])
-    # a table of one row group scans in one task; cutting is the work here
-    spread = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    # a table of one row group scans in one task; cutting is the work here, so tasks grow in number with the table
+    spread = docs.repartition("doc_id")
     bare = spread.select("doc_id", strip_whitespace("text").alias("bare"))
     words = bare.select("doc_id", "bare", cut("bare").alias("words"))
     return words.select("doc_id", F.size("words").alias("n_words"), (F.array_join("words", "") == F.col("bare")).alias("whole"),
@@ -99,7 +99,7 @@ def _ends(words: pd.Series) -> pd.Series:
 def segment_unknown(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     cut = segmenter(spark, word_counts(docs, min_count=KNOWN_FROM), states=character_states(docs))
-    spread = docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    spread = docs.repartition("doc_id")
     words = spread.select("doc_id", tokens("text").alias("spaced"), cut(strip_whitespace("text")).alias("words"))
     ends = words.select("doc_id", _ends("spaced").alias("spaced"), _ends("words").alias("words"))
     return ends.select("doc_id", F.size("spaced").alias("n_spaced"), F.size("words").alias("n_words"),

@@ -3,8 +3,9 @@
 ``build_index`` clusters a bounded sample into cells, assigns every vector to the cell of its nearest centre and
 writes the vectors as Parquet partitioned by cell, with one row per cell beside them (centre, size, widest angle).
 ``search`` deals queries to their ``n_probe`` nearest cells, compares them there in blocks of bounded size, keeps
-the best ``k`` per query and block and merges these.  With ``exact=True`` every query then also visits each other cell
+the best ``k`` per query and block and merges these.  With ``exact=True`` every query is then compared with each cell
 that can hold a better vector: one within angle ``r`` of its centre has at most cosine ``cos(max(0, angle(q, centre) - r))``.
+Any share of the cells may be such, so blocks of queries and members meet in a cross join that reads them again and moves none.
 
 A cell (or a query's cell) may hold any share of the rows: its vectors and its visitors are dealt into blocks by
 hash, a task holds one pair of blocks.  No pairs leave a task but the best ``k`` per query.
@@ -28,6 +29,8 @@ from ranqa.session import write_shared
 
 SAMPLE_ROWS, CELL_ROWS, MAX_CELLS = 20_000, 1_000, 4_096
 MEMBER_BLOCK, QUERY_BLOCK = 4_096, 4_096
+#: parts that the members are dealt into when all of them may be asked; a task holds one of them (Spark spills it) and a block of queries
+SHARES = 16
 DIGITS = 9
 #: files that a cell's vectors are spread over at least, per ``MEMBER_BLOCK`` rows
 _FOUND = "query long, id long, score double"
@@ -135,16 +138,14 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, id_col
     shared = spark.sparkContext.broadcast((np.array([c[0] for c in cells]), np.array([c[2] for c in cells]),
                                            np.array([c[3] for c in cells])))
     asked = write_shared(unit_vectors(queries, id_col, vec_col).where(F.size("v") == len(cells[0][3]))
-                         .dropDuplicates(["id"]).withColumn("least", F.lit(None).cast("double")))
+                         .dropDuplicates(["id"]))
     probe = len(cells) if exact and len(cells) <= n_probe else n_probe
-    first = _best(spark, path, _visits(asked, shared, probe, False), cells, k, keep_self, member_block, query_block)
+    first = _best(spark, path, _visits(asked, shared, probe), cells, k, keep_self, member_block, query_block)
     if exact and probe < len(cells):
-        first = write_shared(first)
-        least = first.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("low"))
-        wider = asked.drop("least").join(least, F.col("id") == F.col("query"), "left").select(
+        least = _rank(first, k).groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("low"))
+        wider = asked.join(least, F.col("id") == F.col("query"), "left").select(
             "id", "v", F.col("low").alias("least"))
-        rest = _best(spark, path, _visits(wider, shared, probe, True), cells, k, keep_self, member_block, query_block)
-        first = first.unionByName(rest)
+        first = _wide(spark, path, wider, shared, k, keep_self, member_block, query_block)
     return _rank(first, k).select(F.col("query").alias("query_id"), "rank", "id", "score")
 
 
@@ -154,23 +155,16 @@ def _rank(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _visits(asked: DataFrame, shared, n_probe: int, others: bool) -> DataFrame:
-    """Queries with each cell that they visit: the ``n_probe`` nearest ones, or those ``others`` that may still hold
-    a vector as good as ``least`` (null: all)."""
+def _visits(asked: DataFrame, shared, n_probe: int) -> DataFrame:
+    """Queries with each cell that they visit: the ``n_probe`` nearest ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, radius, centres = shared.value
+        ids, _, centres = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
                 part = b.slice(at, 1_000)
                 dots = (_matrix(part.column(1)) @ centres.T).clip(-1, 1)
-                order = np.argsort(-dots, axis=1, kind="stable")
-                near = np.zeros(dots.shape, bool)
-                np.put_along_axis(near, order[:, :n_probe], True, axis=1)
-                if others:
-                    least = part.column(2).to_numpy(zero_copy_only=False).astype(float)
-                    most = np.cos(np.maximum(np.arccos(dots) - radius, 0))
-                    near = ~near & (np.isnan(least)[:, None] | (most >= least[:, None] - 1e-7))
-                row, col = np.nonzero(near)
+                near = np.argsort(-dots, axis=1, kind="stable")[:, :n_probe]
+                row, col = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(ids[col], pa.int32())],
                     names=["id", "v", "cell"])
@@ -178,6 +172,95 @@ def _visits(asked: DataFrame, shared, n_probe: int, others: bool) -> DataFrame:
     return asked.mapInArrow(run, "id long, v array<double>, cell int")
 
 
+_BLOCK = "ids binary, vectors binary, other binary"
+
+
+def _blocks(rows: DataFrame, other: str, kind: type, size: int) -> DataFrame:
+    """Up to ``size`` rows of a partition as one row: ids, vectors and the column ``other`` as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, size):
+                part = b.slice(at, size)
+                more = part.column(2).to_numpy(zero_copy_only=False).astype(kind)
+                packed = (part.column(0).to_numpy().tobytes(), _matrix(part.column(1)).tobytes(), more.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["ids", "vectors", "other"])
+
+    return rows.select("id", "v", other).mapInArrow(run, _BLOCK)
+
+
+def _wide(spark: SparkSession, path: str, wider: DataFrame, shared, k: int, keep_self: bool, member_block: int,
+          query_block: int) -> DataFrame:
+    """Per query and share of the cells, the best ``k`` of those vectors that reach ``least`` (null: all) as ``query, id, score``.
+
+    Every block of queries meets every block of members, and is compared with those cells of it that can hold a vector as
+    good as ``least``.  Blocks are read again for each meeting and not shuffled; the members are in ``SHARES`` shares
+    whatever their number, so what is moved grows with the queries.
+    """
+    members = write_shared(_blocks(spark.read.schema("id long, v array<double>, cell int").parquet(f"{path}/cells"), "cell",
+                                   np.int32, member_block).repartition(SHARES))
+    queries = write_shared(_blocks(wider, "least", float, query_block))
+    pairs = queries.toDF("q_ids", "q_vectors", "q_least").hint("shuffle_replicate_nl").crossJoin(members.coalesce(SHARES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, radius, centres = shared.value
+        last, near, kept = None, None, None
+        for b in batches:
+            for row in range(b.num_rows):
+                mine, q, least, theirs, y, cell = (np.frombuffer(c[row].as_buffer(), t) for c, t in
+                                                   zip(b.columns, (np.int64, float, float, np.int64, float, np.int32)))
+                q, y = q.reshape(len(mine), -1), y.reshape(len(theirs), -1)
+                if last is None or not np.array_equal(mine, last):  # the blocks of a share meet one block of queries after the other
+                    if kept is not None:
+                        yield kept.best()
+                    last, kept = mine.copy(), _Kept(mine.copy(), least, k)
+                    most = np.cos(np.maximum(np.arccos((q @ centres.T).clip(-1, 1)) - radius, 0))
+                    near = np.isnan(least)[:, None] | (most >= least[:, None] - 1e-7)
+                for c in np.unique(cell):
+                    inside, asking = np.flatnonzero(cell == c), np.flatnonzero(near[:, np.searchsorted(cells, c)])
+                    x, ids = y[inside].T, theirs[inside]
+                    for at in range(0, len(asking), 256):
+                        some = asking[at:at + 256]
+                        s = np.round(q[some] @ x, DIGITS) + 0.0
+                        if not keep_self:
+                            s[mine[some, None] == ids[None, :]] = -np.inf
+                        r, col = np.nonzero((s >= kept.low[some, None]) & (s > -np.inf))
+                        kept.add(some[r], ids[col], s[r, col])
+        if kept is not None:
+            yield kept.best()
+
+    return pairs.mapInArrow(run, _FOUND)
+
+
+class _Kept:
+    """The best ``k`` so far per query of a block; ``low`` is the score that a further one must reach."""
+
+    def __init__(self, ids: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.low = np.where(np.isnan(least), -np.inf, least - 10.0 ** -(DIGITS - 1))
+        self.found, self.n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.found.append((row, ids, score))
+        self.n += len(row)
+        if self.n > 4 * self.k * len(self.ids) + 100_000:
+            self._cut()
+
+    def _cut(self) -> None:
+        row, ids, score = (np.concatenate(c) for c in zip(*self.found))
+        by = np.lexsort((ids, -score, row))
+        row, ids, score = row[by], ids[by], score[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        full = rank == self.k - 1
+        self.low[row[full]] = np.maximum(self.low[row[full]], score[full])
+        top = rank < self.k
+        self.found, self.n = [(row[top], ids[top], score[top])], int(top.sum())
+
+    def best(self) -> pa.RecordBatch:
+        self._cut()
+        row, ids, score = self.found[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[row]), pa.array(ids), pa.array(score)], names=["query", "id", "score"])
+
+
 def _best(spark: SparkSession, path: str, visits: DataFrame, cells: list, k: int, keep_self: bool, member_block: int,
           query_block: int) -> DataFrame:
     """The best ``k`` per query and pair of blocks as ``query, id, score``."""

@@ -69,3 +69,15 @@ def test_recall_of_probing(spark):
     recall = len(near & true) / len(true)
     print("recall", recall)
     assert len(true) == 10 * vecs.count() and recall >= 0.9
+
+
+def test_exact_mode_moves_no_vector_per_cell(spark):
+    """The plan of the wide pass: blocks meet in a cross join; vectors are not shuffled once per cell that may hold a better one."""
+    rows = make(400, 8, 3)
+    path = f"{shared_dir(spark)}/ivf-{uuid.uuid4().hex}"
+    VI.build_index(spark.createDataFrame(rows, SCHEMA), path, n_cells=10)
+    out = VI.search(spark, path, spark.createDataFrame(rows, SCHEMA), 3, exact=True, n_probe=2, query_block=50, member_block=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapGroupsInArrow" not in plan
+    got = sorted((r.query_id, r.rank, r.id, round(r.score, 6) + 0.0) for r in out.collect())
+    assert got == exact(rows, rows, 3)

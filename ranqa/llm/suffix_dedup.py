@@ -34,6 +34,7 @@ from ranqa.llm.common import BASE, INVERSE, append_columns, binary_views, mix64,
 from ranqa.session import write_shared
 
 LENGTH, HOT_ROWS = 400, 20_000
+GROUP_ROWS = 4_000         # suffixes that are sorted at once, or those of one run
 SEGMENT = 1 << 16          # window starts that are handled at once
 BASE2 = 0xC2B2AE3D27D4EB4F  # of the second hash
 INVERSE2 = pow(BASE2, -1, 1 << 64)
@@ -115,9 +116,9 @@ def _padded(data: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, s
     """Rows of ``width`` bytes from ``start`` on (``step`` -1: to the left), zero beyond ``size``."""
     out = np.zeros((len(start), width), np.uint8)
     col = np.arange(width)
-    for at in range(0, len(start), 4096):
-        s, n = start[at:at + 4096, None], size[at:at + 4096, None]
-        out[at:at + 4096] = np.where(col < n, data[np.minimum(np.maximum(s + step * col, 0), len(data) - 1)], 0)
+    for at in range(0, len(start), 256):  # the indexes take eight bytes for each byte
+        s, n = start[at:at + 256, None], size[at:at + 256, None]
+        out[at:at + 256] = np.where(col < n, data[np.minimum(np.maximum(s + step * col, 0), len(data) - 1)], 0)
     return out
 
 
@@ -226,9 +227,12 @@ def _sorted_stretches(suffixes: DataFrame, length: int) -> DataFrame:
             held = t if held is None else pa.concat_tables([held, t])
             runs = held["run"].to_numpy()
             ends = np.flatnonzero(runs[1:] != runs[:-1])
-            if len(ends) and len(held) >= 10_000:  # whole groups only; the last one may go on
-                yield some(held.slice(0, ends[-1] + 1))
-                held = held.slice(ends[-1] + 1)
+            at = 0
+            for end in ends + 1:  # whole groups only; the last one may go on
+                if end - at >= GROUP_ROWS or end == ends[-1] + 1 and len(held) >= GROUP_ROWS:
+                    yield some(held.slice(at, end - at))
+                    at = end
+            held = held.slice(at)
         if held is not None and len(held):
             yield some(held)
 

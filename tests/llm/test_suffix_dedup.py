@@ -84,3 +84,21 @@ def test_multikey_quicksort():
 
 def test_empty(spark):
     assert S.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_padding_takes_little_more_than_its_rows():
+    import tracemalloc
+
+    import numpy as np
+
+    from ranqa.llm.suffix_dedup import _padded
+
+    rnd = np.random.default_rng(1)
+    data = rnd.integers(0, 256, 50_000).astype(np.uint8)
+    start, size = rnd.integers(0, 49_000, 4_096), rnd.integers(0, 400, 4_096)
+    tracemalloc.start()
+    out = _padded(data, start, size, 400)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(bytes(out[i]) == bytes(data[start[i]:start[i] + size[i]]).ljust(400, b"\0") for i in range(0, 4_096, 97))
+    assert peak < 4 * out.nbytes

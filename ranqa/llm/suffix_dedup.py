@@ -18,6 +18,9 @@ sorting:
 * Runs that more than ``hot_rows`` different contexts hold would fill one range: their windows are compared across ranges by
   digests of the whole window, pre-aggregated, which gives the same windows.
 
+``shared_runs`` finds shorter passages by the same anchors over words: runs of more than ``WORDS`` words that another document
+holds too.  They are counted, not removed.
+
 Defined results: null text is empty; texts shorter than ``length`` keep all; rows that repeat (id, text) are copies of each
 other; a null id is kept; an empty table gives no row; other columns are ignored.
 """
@@ -34,6 +37,7 @@ from ranqa.llm.common import BASE, INVERSE, append_columns, binary_views, mix64,
 from ranqa.session import write_shared
 
 LENGTH, HOT_ROWS = 400, 20_000
+WORDS = 50                 # a passage has more words than these
 GROUP_ROWS = 4_000         # suffixes that are sorted at once, or those of one run
 SEGMENT = 1 << 16          # window starts that are handled at once
 BASE2 = 0xC2B2AE3D27D4EB4F  # of the second hash
@@ -293,13 +297,94 @@ def covered(keyed: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) ->
     return out
 
 
+WORD_ANCHOR = "id long, digest long, doc long, first long, shape long, run long, context long"
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of the words of one text: stretches without ASCII control characters and spaces."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], data > 32, [False]]).astype(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    sums = _hashes(data, BASE)
+    return start, end, mix64((sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start])
+
+
+def _word_rows(keyed: DataFrame, words: int) -> DataFrame:
+    """One row per anchor over words; ``first`` is a byte and ``shape`` packs the bytes of the context and its windows."""
+
+    def run(batches):
+        for b in batches:
+            data, off = binary_views(b.column(3))
+            ids, digests, docs = (b.column(c).to_numpy() for c in range(3))
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for k in np.flatnonzero(np.diff(off) >= 2 * words - 1):
+                start, end, hashes = _words(data[off[k]:off[k + 1]])
+                _, first, count, h, context = anchors(hashes, words)
+                size = end[first + count + words - 2] - start[first]
+                for c, v in zip(cols, (*(np.full(len(first), x[k]) for x in (ids, digests, docs)), start[first],
+                                       size << 20 | count, h.view(np.int64), context.view(np.int64))):
+                    c.append(v)
+            yield _batch(cols, WORD_ANCHOR)
+
+    return keyed.select("id", "digest", F.xxhash64("id", "digest").alias("doc"), "bytes").mapInArrow(run, WORD_ANCHOR)
+
+
+def _word_windows(contexts: DataFrame, words: int) -> DataFrame:
+    """One row per window of the contexts."""
+    schema = "run long, window long, context long, count long, lo long, hi long"
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            data, off = binary_views(t["words"].combine_chunks())
+            held = [t[c].to_numpy() for c in ("run", "context", "count", "lo", "hi")]
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for k in range(len(t)):
+                sums = _hashes(_words(data[off[k]:off[k + 1]])[2], BASE2)
+                m = len(sums) - words
+                cols[1].append(mix64((sums[words:] - sums[:m]) * powers(INVERSE2, m)).view(np.int64))
+                for c, v in zip((cols[0], *cols[2:]), held):
+                    c.append(np.full(m, v[k]))
+            yield _batch(cols, schema)
+
+    return contexts.select("run", "context", "count", "lo", "hi", "words").mapInArrow(run, schema)
+
+
+def shared_runs(keyed: DataFrame, words: int = WORDS + 1) -> DataFrame:
+    """(id, digest, n_shared): places of a text where a run of ``words`` words starts that another document holds too.
+
+    Words are compared byte by byte, what separates them is not.  Rows that repeat (id, text) are one document.
+    """
+    rows = write_shared(_word_rows(keyed, words))
+    documents = [F.min("doc").alias("lo"), F.max("doc").alias("hi")]
+    found = write_shared(rows.join(write_shared(rows.groupBy("run").agg(*documents).where("lo < hi").select("run")), "run")
+                         .withColumn("count", F.col("shape").bitwiseAND(F.lit(WINDOWS))))
+    key = ["run", "context", "count"]
+    # contexts of several documents are shared as a whole; the windows of the others are compared within their run
+    contexts = write_shared(found.groupBy(*key).agg(*documents, F.min(F.struct("id", "digest", "first", "shape")).alias("rep")))
+    open_runs = contexts.groupBy("run").agg(F.count("*").alias("kinds"), F.max(F.expr("lo = hi")).alias("alone"))
+    go = write_shared(contexts.join(open_runs.where("kinds > 1 and alone").select("run"), "run").select(*key, "lo", "hi", "rep.*"))
+    per_text = go.groupBy("id", "digest").agg(F.collect_list(F.struct("first", "shape", *key, "lo", "hi")).alias("at"))
+    once = keyed.join(per_text, ["id", "digest"]).dropDuplicates(["id", "digest"])  # rows may repeat
+    held = once.select("bytes", F.explode("at").alias("x")).select("bytes", "x.*")
+    windows = _word_windows(held.withColumn("words", F.substring(
+        "bytes", (F.col("first") + 1).cast("int"), F.shiftright("shape", 20).cast("int"))), words)
+    shared = windows.groupBy("run", "window").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    partly = windows.where("lo = hi").join(shared.select("run", "window"), ["run", "window"]).groupBy(*key).agg(
+        F.count("*").alias("n"))
+    counted = contexts.where("lo < hi").select(*key, F.col("count").alias("n")).unionByName(partly)
+    # one count per place, also if the row repeats
+    places = found.join(counted, key).groupBy("id", "digest", "first").agg(F.max("n").alias("n"))
+    return places.groupBy("id", "digest").agg(F.sum("n").alias("n_shared"))
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 RESULT = T.StructType([T.StructField("spans", SPANS), T.StructField("kept", T.BinaryType())])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per document: ``doc_id, bytes, spans`` (maximal removed stretches, 0-based bytes) and ``kept``."""
+                   hot_rows: int = HOT_ROWS, words: int = WORDS + 1) -> DataFrame:
+    """One row per document: ``doc_id, bytes, spans`` (maximal removed stretches, 0-based bytes), ``kept`` and ``n_shared``
+    (places where a run of ``words`` words starts that another document holds too)."""
     keyed = _keyed(docs, doc_id, text)
     stretches = covered(keyed, length, hot_rows).groupBy("id", "digest").agg(
         F.collect_list(F.struct("start", "end")).alias("stretches"))
@@ -323,16 +408,19 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             return [pa.array(spans, span), pa.array(kept, pa.binary())]
         return run
 
-    joined = keyed.join(stretches, ["id", "digest"], "left")
+    joined = keyed.join(stretches.join(shared_runs(keyed, words), ["id", "digest"], "full"), ["id", "digest"], "left")
     return append_columns(joined, ["bytes", "stretches"], RESULT, make).select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "bytes", "spans", "kept")
+        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "bytes", "spans", "kept",
+        F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that repeated strings of 400 bytes cover; after the digest, whether it held any and
-    the remaining text (bytes that are no whole character any more show as U+FFFD)."""
+    """Every document without the bytes that repeated strings of 400 bytes cover; after the digest, whether it held any, the
+    remaining text (bytes that are no whole character any more show as U+FFFD) and the places where a run of over 50 words
+    starts that another document holds too, removed or not."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     removed = (F.octet_length("bytes") - F.octet_length("kept")).cast("long")
     return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-                      (removed > 0).alias("repeats"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+                      (removed > 0).alias("repeats"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
+                      "n_shared")

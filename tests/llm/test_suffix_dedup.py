@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -102,3 +103,42 @@ def test_padding_takes_little_more_than_its_rows():
     tracemalloc.stop()
     assert all(bytes(out[i]) == bytes(data[start[i]:start[i] + size[i]]).ljust(400, b"\0") for i in range(0, 4_096, 97))
     assert peak < 4 * out.nbytes
+
+
+def shared_brute(rows, words):
+    held: dict[tuple, set] = {}
+    for d, t, _ in rows:
+        w = [x for x in re.split(rb"[\x00-\x20]+", (t or "").encode()) if x]
+        for p in range(len(w) - words + 1):
+            held.setdefault(tuple(w[p:p + words]), set()).add((d, t or ""))
+    out = []
+    for d, t, _ in rows:
+        w = [x for x in re.split(rb"[\x00-\x20]+", (t or "").encode()) if x]
+        out.append((d, sum(len(held[tuple(w[p:p + words])]) > 1 for p in range(len(w) - words + 1))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed,letters,words", [(1, "ab", 5), (2, "abcdefgh", 7), (3, "ab\u00e9", 2), (4, "abc", 1)])
+def test_shared_runs_match_brute_force(spark, seed, letters, words):
+    rnd = random.Random(seed)
+    text = lambda n: "".join(rnd.choice(letters) + rnd.choice(["", " ", " ", "\n "]) for _ in range(n))
+    passages = [text(rnd.randrange(10, 60)) for _ in range(5)]
+    rows = [(i, text(rnd.randrange(30)) + " " + rnd.choice(passages)[rnd.randrange(8):] + " " + text(rnd.randrange(30)), 0)
+            for i in range(60)]
+    rows += [(70, rows[3][1], 0), rows[4], (None, rows[5][1], 0), (None, rows[6][1], 0), (71, None, 0), (72, "", 0),
+             (73, "q r s t u v w " * 9, 0), (74, "z" * 90, 0), (5, "x " + passages[0], 0), (75, passages[1] * 2, 0)]
+    out = S.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(4), words=words).select("doc_id", "n_shared")
+    assert sorted((tuple(r) for r in out.collect()), key=str) == shared_brute(rows, words)
+
+
+def test_query_shows_passages_of_over_50_words_below_400_bytes(spark, tmp_path):
+    rnd = random.Random(9)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8))) for _ in range(n))
+    passage, short = text(55), text(50)
+    assert len(passage) < 400
+    rows = [(1, f"{text(80)} {passage} {text(9)}"), (2, f"{passage} {text(70)}"), (3, f"{text(40)} {short} {text(9)}"),
+            (4, f"{short} {text(60)}"), (5, text(200)), (6, f"{passage.replace(passage[:9], 'other')} {text(3)}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.n_shared) for r in S.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {d: n for d, (n, _) in got.items()} == dict.fromkeys(range(1, 7), 0)
+    assert [got[d][1] for d in (1, 2, 3, 4, 5)] == [5, 5, 0, 0, 0] and 0 < got[6][1] < 5
